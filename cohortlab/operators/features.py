@@ -56,8 +56,9 @@ def engineer(df: DataFrame, medians: Mapping[str, float] | None = None) -> DataF
     return df.select(*keep, *[c.alias(n) for n, c in new.items()])
 
 
-def drop_leakage_inputs(df: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
-    return df.drop(*[c for c in (*LEAKAGE_INPUTS, *extra) if c in df.columns])
+def drop_leakage_inputs(df: DataFrame, extra: Sequence[str] = (), keep: Sequence[str] = ()) -> DataFrame:
+    """Remove the label and label-construction columns (``keep`` spares some, e.g. the label)."""
+    return df.drop(*[c for c in (*LEAKAGE_INPUTS, *extra) if c in df.columns and c not in keep])
 
 
 def align_schema(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str],
