@@ -143,3 +143,49 @@ def request_metrics(events: DataFrame, p: str = "probability", latency: str = "l
 def last_n(events: DataFrame, n: int = 500, ts: str = "ts", tie: str = "trace_id") -> DataFrame:
     """Newest n events (top-k by time, no full sort)."""
     return events.orderBy(F.col(ts).desc(), F.col(tie).desc()).limit(n)
+
+
+def evaluate(df: DataFrame, y: str = "y", p: str = "p", by: Sequence[str] = (),
+             t: float = 0.5) -> DataFrame:
+    """Long metric table (by..., metric, value): the ten validation metrics.
+
+    Each family is one aggregate over the score table; the families are
+    joined on the group key (one row per group each) and unpivoted.
+    """
+    from .curves import average_precision, pr_auc
+
+    df2, keys = _group(df, by)
+    tm = threshold_metrics(df2, y, p, t, keys)
+    curve = score_curve(df2, y, p, keys)
+    parts = [tm.select(*keys, "accuracy", "precision", "recall", "f1", "mcc"),
+             roc_auc(curve), pr_auc(curve), average_precision(curve),
+             brier(df2, y, p, keys), ece(df2, y, p, keys)]
+    wide = parts[0]
+    for part in parts[1:]:
+        wide = wide.join(F.broadcast(part), on=keys, how="left")
+    names = ["accuracy", "precision", "recall", "f1", "roc_auc", "pr_auc", "average_precision",
+             "mcc", "brier_score", "ece"]
+    rows = ", ".join(f"'{n}', CAST(`{n}` AS DOUBLE)" for n in names)
+    long = wide.selectExpr(*[f"`{k}`" for k in keys], f"stack({len(names)}, {rows}) AS (metric, value)")
+    return long if by else long.drop("_g")
+
+
+def validate_external(df: DataFrame, baseline_auc: float | None, y: str = "y", p: str = "p",
+                      threshold: float = 0.5, max_drop: float = 0.10,
+                      raise_on_fail: bool = False) -> DataFrame:
+    """AUC, Brier and accuracy on another cohort; fails when baseline - AUC > max_drop
+    (an absolute AUC difference)."""
+    auc = roc_auc(score_curve(df, y, p))
+    other = df.agg(F.avg(F.pow(F.col(p) - F.col(y), 2)).alias("brier_score"),
+                   F.avg((F.col(y) == (F.col(p) >= threshold).cast("int")).cast("double"))
+                   .alias("accuracy"))
+    row_auc = auc.collect()[0]["roc_auc"]
+    base = F.lit(baseline_auc).cast("double")
+    out = other.select(F.lit(row_auc).cast("double").alias("roc_auc"), "brier_score", "accuracy",
+                       base.alias("baseline_auc"),
+                       (base - F.lit(row_auc)).alias("auc_drop"))
+    out = out.withColumn("passed", F.coalesce(F.col("auc_drop") <= max_drop, F.lit(True)))
+    if raise_on_fail and baseline_auc is not None and baseline_auc - row_auc > max_drop:
+        raise RuntimeError(f"external ROC AUC dropped by more than {max_drop:.2f} "
+                           f"(baseline={baseline_auc:.3f}, external={row_auc:.3f})")
+    return out

@@ -46,3 +46,12 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = labelled(spark, sf_dir).filter(F.col("bmi").isNotNull())
     p = 1.0 / (1.0 + F.exp(-0.25 * (F.col("bmi") - 26.0)))
     return df.select("patient_id", "ts", F.col("ir_label").alias("y"), "bmi", p.alias("p"))
+
+
+def prediction_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prediction log fixture from ``events``: trace_id, ts (timestamp), probability, latency_ms."""
+    from ..sources.tables import read_table
+    e = read_table(spark, sf_dir, "events")
+    return e.select(F.col("event_id").alias("trace_id"), F.col("ts").cast("timestamp").alias("ts"),
+                    (F.col("value") / 500).alias("probability"),
+                    (F.col("event_id") % 200).alias("latency_ms"), "event_type", "user_id")
