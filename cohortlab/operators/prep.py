@@ -171,6 +171,7 @@ def apply_prep(df: DataFrame, state: PrepState, keep: Sequence[str] = ()) -> Dat
     df = one_hot(df, state.one_hot)
     for c, p in state.ordinal.items():
         df = ordinal(df, c, spark.read.parquet(p), state.ordinal_sizes.get(c))
+    keep = [c for c in keep if c in df.columns]
     cols = [c for c in state.selected if c in df.columns and c not in keep]
     return df.select(*keep, *cols)
 
