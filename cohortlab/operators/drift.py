@@ -30,44 +30,59 @@ def kolmogorov_sf(lam: F.Column, terms: int = KS_TERMS) -> F.Column:
 
 
 def ks_drift(ref: DataFrame, new: DataFrame, features: Sequence[str],
-             alpha: float = KS_ALPHA, n_buckets: int | None = None) -> DataFrame:
-    """(feature, d, n_ref, n_new, p_value, drifted) for features present in both samples.
+             alpha: float = KS_ALPHA, n_buckets: int | None = None,
+             by: Sequence[str] = ()) -> DataFrame:
+    """(by..., feature, d, n_ref, n_new, p_value, drifted) for features in both samples.
 
     NULLs are dropped per feature; a feature with an empty side is skipped.
+    With ``by`` (e.g. a window), ``new`` is tested group by group against the
+    one reference: reference value counts are joined to each (group, feature)
+    -- fan-out bounded by the number of groups -- and all groups run in one plan.
     p uses the asymptotic distribution with n_eff = n_ref*n_new/(n_ref+n_new);
     the exact small-sample p of some libraries can differ near the cut.
     """
+    by = list(by)
     feats = [f for f in features if f in ref.columns and f in new.columns]
     if not feats:
         return ref.sparkSession.createDataFrame(
             [], "feature string, d double, n_ref bigint, n_new bigint, p_value double, drifted boolean")
-    long = (unpivot(ref.select(*feats), [], feats).withColumn("_side", F.lit(0))
-            .unionByName(unpivot(new.select(*feats), [], feats).withColumn("_side", F.lit(1)))
-            .filter(F.col("value").isNotNull() & ~F.isnan("value")))
-    counts = long.groupBy("feature", "value").agg(
-        F.count(F.when(F.col("_side") == 0, 1)).alias("c_ref"),
-        F.count(F.when(F.col("_side") == 1, 1)).alias("c_new"))
-    totals = counts.groupBy("feature").agg(F.sum("c_ref").alias("n_ref"),
-                                           F.sum("c_new").alias("n_new"))
+
+    def clean(df):
+        return df.filter(F.col("value").isNotNull() & ~F.isnan("value"))
+
+    ref_counts = (clean(unpivot(ref.select(*feats), [], feats))
+                  .groupBy("feature", "value").agg(F.count(F.lit(1)).alias("c_ref"))
+                  .withColumn("c_new", F.lit(0).cast("long")))
+    new_counts = (clean(unpivot(new.select(*by, *feats), by, feats))
+                  .groupBy(*by, "feature", "value").agg(F.count(F.lit(1)).alias("c_new"))
+                  .withColumn("c_ref", F.lit(0).cast("long")))
+    if by:
+        groups = new.select(*by).distinct().withColumn(
+            "feature", F.explode(F.array(*[F.lit(f) for f in feats])))
+        ref_counts = ref_counts.join(F.broadcast(groups), on="feature")
+    keys = [*by, "feature"]
+    counts = (ref_counts.unionByName(new_counts)
+              .groupBy(*keys, "value").agg(F.sum("c_ref").alias("c_ref"), F.sum("c_new").alias("c_new")))
+    totals = counts.groupBy(*keys).agg(F.sum("c_ref").alias("n_ref"), F.sum("c_new").alias("n_new"))
     totals = totals.filter((F.col("n_ref") > 0) & (F.col("n_new") > 0))
-    cum = cumulative(counts, ["feature"], "value", ["c_ref", "c_new"], n_buckets=n_buckets)
-    # totals: one row per feature
-    gap = (cum.join(F.broadcast(totals), on="feature")
-              .select("feature", "n_ref", "n_new",
+    cum = cumulative(counts, keys, "value", ["c_ref", "c_new"], n_buckets=n_buckets)
+    # totals: one row per (group, feature)
+    gap = (cum.join(F.broadcast(totals), on=keys)
+              .select(*keys, "n_ref", "n_new",
                       F.abs(F.col("cum_c_ref") / F.col("n_ref")
                             - F.col("cum_c_new") / F.col("n_new")).alias("gap")))
-    d = gap.groupBy("feature").agg(F.max("gap").alias("d"), F.first("n_ref").alias("n_ref"),
-                                   F.first("n_new").alias("n_new"))
+    d = gap.groupBy(*keys).agg(F.max("gap").alias("d"), F.first("n_ref").alias("n_ref"),
+                               F.first("n_new").alias("n_new"))
     en = F.col("n_ref") * F.col("n_new") / (F.col("n_ref") + F.col("n_new"))
     lam = d.select("*", (F.col("d") * F.sqrt(en)).alias("_lam"))
-    withp = lam.select("feature", "d", "n_ref", "n_new", kolmogorov_sf(F.col("_lam")).alias("p_value"))
+    withp = lam.select(*keys, "d", "n_ref", "n_new", kolmogorov_sf(F.col("_lam")).alias("p_value"))
     return withp.withColumn("drifted", F.col("p_value") < alpha)
 
 
-def drift_alerts(ks: DataFrame, at: F.Column | None = None) -> DataFrame:
-    """One alert row (alert_ts, drift_features sorted) when any feature drifted, else none."""
+def drift_alerts(ks: DataFrame, at: F.Column | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """One alert row (alert_ts, drift_features sorted) per group with a drifted feature."""
     drifted = ks.filter("drifted")
-    g = drifted.agg(F.sort_array(F.collect_list("feature")).alias("drift_features"),
-                    F.count(F.lit(1)).alias("n_drifted"))
+    g = drifted.groupBy(*by).agg(F.sort_array(F.collect_list("feature")).alias("drift_features"),
+                                 F.count(F.lit(1)).alias("n_drifted"))
     g = g.filter(F.col("n_drifted") > 0)
     return g.withColumn("alert_ts", at if at is not None else F.current_timestamp())
