@@ -63,9 +63,10 @@ def cumulative(df: DataFrame, by: Sequence[str], order: str, values: Sequence[st
         bucket = F.expr(f"size(filter(_cuts, c -> c >= `{order}`))")
     else:
         bucket = F.expr(f"size(filter(_cuts, c -> c < `{order}`))")
-    joined = joined.withColumn("_bucket", bucket).drop("_cuts")
+    joined = joined.withColumn(
+        "_bucket", F.when(F.col(order).isNotNull(), bucket)).drop("_cuts")
 
-    totals = joined.groupBy(*by, "_bucket").agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
+    totals = joined.filter(F.col("_bucket").isNotNull()).groupBy(*by, "_bucket").agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
     w_off = (Window.partitionBy(*by).orderBy("_bucket")
              .rowsBetween(Window.unboundedPreceding, -1))
     offsets = totals.select(*by, "_bucket", *[
