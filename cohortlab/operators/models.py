@@ -276,6 +276,7 @@ def rf_importance(df: DataFrame, label: str, feature_cols: Sequence[str], key: s
     cols = list(feature_cols)
     imp = Imputer(inputCols=cols, outputCols=[f"_i_{c}" for c in cols], strategy="mean")
     data = random_split(df.select(key, label, *[F.col(c).cast("double") for c in cols]), key, test_share)
+    data = data.persist(StorageLevel.MEMORY_AND_DISK)
     train, test = data.filter("split = 'train'"), data.filter("split = 'test'")
     pipe = Pipeline(stages=[imp, VectorAssembler(inputCols=[f"_i_{c}" for c in cols], outputCol="_x"),
                             RandomForestClassifier(featuresCol="_x", labelCol=label, numTrees=trees,
@@ -283,6 +284,7 @@ def rf_importance(df: DataFrame, label: str, feature_cols: Sequence[str], key: s
     scored = pipe.transform(test).withColumn("_p", positive_probability("probability"))
     auc = _auc(scored, label, "_p")
     importances = pipe.stages[-1].featureImportances.toArray().tolist()
+    data.unpersist()
     spark = df.sparkSession
     rows = spark.createDataFrame(list(zip(cols, [float(v) for v in importances])),
                                  "feature string, importance double")

@@ -4,9 +4,9 @@ A ``Window.orderBy(x)`` with no ``partitionBy`` moves every row into one
 task. Instead:
 
 1. the caller collapses ties first (input is unique on ``by + [order]``),
-2. cut points per group come from ``percentile_approx`` (a mergeable sketch;
-   a few thousand doubles collected to the driver, so recomputation after
-   executor loss sees the same cuts),
+2. cut points per group come from ``percentile_approx`` (a mergeable sketch)
+   computed in the same query and broadcast once, so every task of the
+   execution buckets with the same cuts,
 3. each row gets a bucket by comparing with the cuts (equal values never
    straddle a bucket),
 4. bucket totals (groups x buckets rows) are prefix-summed and joined back as
@@ -23,7 +23,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_MAX_BROADCAST_OFFSET_ROWS = 2_000_000
 
 
 def default_buckets(spark) -> int:
@@ -31,6 +30,27 @@ def default_buckets(spark) -> int:
     return max(16, 2 * parts)
 
 
+def count_below(df: DataFrame, cuts: str, value: str, out: str, max_len: int) -> DataFrame:
+    """``out`` = number of elements of the sorted array ``cuts`` that are < ``value``.
+
+    A binary search as one ``aggregate`` over the halving step sizes:
+    O(log buckets) comparisons per row, and the position is a lambda
+    variable, so the optimizer cannot inline it into an exponential tree.
+    """
+    steps, step = [], 1
+    while step * 2 <= max_len:
+        step *= 2
+    while step >= 1:
+        steps.append(step)
+        step //= 2
+    v = F.col(value)
+
+    def advance(pos, st):
+        nxt = pos + st
+        return F.when((nxt <= F.size(cuts)) & (F.element_at(cuts, nxt) < v), nxt).otherwise(pos)
+    return df.withColumn(out, F.aggregate(F.array(*[F.lit(x) for x in steps]), F.lit(0), advance))
+
+
 def cumulative(df: DataFrame, by: Sequence[str], order: str, values: Sequence[str],
                descending: bool = False, n_buckets: int | None = None,
                prefix: str = "cum_") -> DataFrame:
@@ -39,8 +59,6 @@ def cumulative(df: DataFrame, by: Sequence[str], order: str, values: Sequence[st
     ``df`` must be unique on ``by + [order]`` (collapse ties with a groupBy).
     Rows with a NULL ``order`` get NULL sums.
     """
-    from pyspark.sql.types import ArrayType, StructType
-
     spark = df.sparkSession
     cols_out = list(df.columns)
     by = list(by)
@@ -49,30 +67,26 @@ def cumulative(df: DataFrame, by: Sequence[str], order: str, values: Sequence[st
         by = ["_g"]
     nb = n_buckets or default_buckets(spark)
     pcts = [i / nb for i in range(1, nb)]
-    cut_rows = (df.groupBy(*by)
-                  .agg(F.percentile_approx(order, pcts, 10000).alias("_cuts"))
-                  .collect())
-    cuts_schema = StructType([df.schema[c] for c in by]).add(
-        "_cuts", ArrayType(df.schema[order].dataType))
-    cuts = spark.createDataFrame([tuple(r) for r in cut_rows], cuts_schema)
-    cuts = cuts.withColumn("_cuts", F.array_distinct(F.array_sort("_cuts")))
+    # cut points per group inside the same query: a (groups x buckets) aggregate,
+    # broadcast once per execution, so every task buckets with the same cuts and
+    # the upstream exchange of ``df`` is reused rather than recomputed
+    cuts = (df.filter(F.col(order).isNotNull()).groupBy(*by)
+              .agg(F.array_distinct(F.array_sort(
+                  F.percentile_approx(order, pcts, 10000))).alias("_cuts")))
 
     # cuts: one row per group, size bounded by the bucket count
-    joined = df.join(F.broadcast(cuts), on=by, how="left")
-    if descending:
-        bucket = F.expr(f"size(filter(_cuts, c -> c >= `{order}`))")
-    else:
-        bucket = F.expr(f"size(filter(_cuts, c -> c < `{order}`))")
+    joined = count_below(df.join(F.broadcast(cuts), on=by, how="left"), "_cuts", order, "_below", nb)
+    bucket = F.size("_cuts") - F.col("_below") if descending else F.col("_below")
+    # descending: bucket = number of cuts >= value, so higher values get lower buckets
     joined = joined.withColumn(
-        "_bucket", F.when(F.col(order).isNotNull(), bucket)).drop("_cuts")
+        "_bucket", F.when(F.col(order).isNotNull(), bucket)).drop("_cuts", "_below")
 
     totals = joined.filter(F.col("_bucket").isNotNull()).groupBy(*by, "_bucket").agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
     w_off = (Window.partitionBy(*by).orderBy("_bucket")
              .rowsBetween(Window.unboundedPreceding, -1))
     offsets = totals.select(*by, "_bucket", *[
         F.coalesce(F.sum(f"_t_{v}").over(w_off), F.lit(0)).alias(f"_o_{v}") for v in values])
-    if len(cut_rows) * nb <= _MAX_BROADCAST_OFFSET_ROWS:
-        offsets = F.broadcast(offsets)
+    offsets = F.broadcast(offsets)  # groups x buckets rows
     out = joined.join(offsets, on=[*by, "_bucket"], how="left")
 
     ordering = F.col(order).desc() if descending else F.col(order).asc()

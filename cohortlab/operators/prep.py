@@ -13,6 +13,7 @@ import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,8 +22,7 @@ from ..session import scratch_path
 from .clean import INSULIN
 from .features import MISSING_CATEGORY
 from .ordered import default_buckets
-from .profile import (MAX_ONE_HOT_CARDINALITY, all_null_columns, column_means, column_medians,
-                      numeric_columns, string_columns)
+from .profile import MAX_ONE_HOT_CARDINALITY, column_medians, numeric_columns, string_columns
 from .select import MI_BINS, MI_THRESHOLD, binned_mi
 
 MAX_BROADCAST_DICTIONARY = 1_000_000
@@ -114,29 +114,49 @@ def fit_prep(df: DataFrame, label: str, key: Sequence[str] = (), exact: bool = F
              mi_bins: int = MI_BINS, threshold: float = MI_THRESHOLD,
              include_categoricals: bool = False, max_card: int = MAX_ONE_HOT_CARDINALITY,
              path: str | None = None) -> PrepState:
+    """Fit fills, encoders and the MI selection on ``df`` (the training split).
+
+    The frame is persisted (recoverable from lineage) for the fit's passes:
+    one aggregate for non-null counts, medians, the insulin mean and HLL
+    cardinalities; one for the category sets of low-cardinality columns;
+    then the ordinal dictionaries and the MI table.
+    """
     spark = df.sparkSession
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
     skip = set(key) | {label}
     numeric = numeric_columns(df, exclude=list(skip))
     categorical = string_columns(df, exclude=list(skip))
-    dead = set(all_null_columns(df, numeric)) if numeric else set()
-    numeric = [c for c in numeric if c not in dead]
-    medians = {k: v for k, v in column_medians(
-        df, [c for c in numeric if c != INSULIN], exact=exact).items() if v is not None}
-    means = {k: v for k, v in column_means(df, [INSULIN]).items()
-             if v is not None} if INSULIN in numeric else {}
-
-    card = {}
-    if categorical:
-        row = df.agg(*[F.approx_count_distinct(c, 0.02).alias(f"d{i}")
-                       for i, c in enumerate(categorical)]).collect()[0]
-        card = {c: row[f"d{i}"] for i, c in enumerate(categorical)}
-        near = [c for c in categorical if 0.8 * max_card <= card[c] <= 1.25 * max_card]
-        if near:
-            ex = df.agg(*[F.count_distinct(c).alias(f"d{i}") for i, c in enumerate(near)]).collect()[0]
-            card.update({c: ex[f"d{i}"] for i, c in enumerate(near)})
-    low = [c for c in categorical if card[c] <= max_card]
+    aggs = []
+    for i, c in enumerate(numeric):
+        aggs.append(F.count(c).alias(f"n{i}"))
+        if c != INSULIN and not exact:
+            aggs.append(F.percentile_approx(F.col(c).cast("double"), 0.5, 10000).alias(f"m{i}"))
+    if INSULIN in numeric:
+        aggs.append(F.avg(INSULIN).alias("insulin_mean"))
+    aggs += [F.approx_count_distinct(c, 0.02).alias(f"d{i}") for i, c in enumerate(categorical)]
+    row = df.agg(*aggs).collect()[0] if aggs else {}
+    alive = [c for i, c in enumerate(numeric) if row[f"n{i}"] > 0]
+    if exact:
+        medians = column_medians(df, [c for c in alive if c != INSULIN], exact=True)
+    else:
+        medians = {c: row[f"m{i}"] for i, c in enumerate(numeric) if c in alive and c != INSULIN}
+    medians = {k: float(v) for k, v in medians.items() if v is not None}
+    means = ({INSULIN: float(row["insulin_mean"])}
+             if INSULIN in alive and row["insulin_mean"] is not None else {})
+    numeric = alive
+
+    card = {c: row[f"d{i}"] for i, c in enumerate(categorical)}
+    near = [c for c in categorical if 0.8 * max_card <= card[c] <= 1.25 * max_card]
+    low_guess = [c for c in categorical if card[c] <= 1.25 * max_card]
+    cats = {}
+    if low_guess:
+        # bounded: HLL says these columns have at most ~60 values
+        r2 = df.agg(*[F.sort_array(F.collect_set(c)).alias(f"s{i}")
+                      for i, c in enumerate(low_guess)]).collect()[0]
+        sets = {c: list(r2[f"s{i}"]) for i, c in enumerate(low_guess)}
+        card.update({c: len(sets[c]) for c in near})
+        cats = {c: sets[c] for c in low_guess if card[c] <= max_card}
     high = [c for c in categorical if card[c] > max_card]
-    cats = one_hot_categories(df, low) if low else {}
 
     base = path or scratch_path(spark, f"prep-{uuid.uuid4().hex}")
     ordinal_paths, ordinal_sizes = {}, {}
@@ -148,11 +168,12 @@ def fit_prep(df: DataFrame, label: str, key: Sequence[str] = (), exact: bool = F
 
     filled = df.fillna({**medians, **means})
     mi_rows = binned_mi(filled, label, numeric, mi_bins, threshold).collect() if numeric else []
+    df.unpersist()
     mi = sorted(((r["feature"], float(r["mi"])) for r in mi_rows), key=lambda t: (-t[1], t[0]))
     picked = {f for f, v in mi if v >= threshold}
     selected = [c for c in numeric if c in picked]
     if include_categoricals:
-        selected += [f"{c}_{v}" for c in low for v in cats[c]] + high
+        selected += [f"{c}_{v}" for c in cats for v in cats[c]] + high
     return PrepState(numeric, categorical, medians, means, cats, ordinal_paths, ordinal_sizes,
                      selected, mi)
 

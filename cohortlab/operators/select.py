@@ -44,22 +44,25 @@ def binned_mi(df: DataFrame, label: str, features: Sequence[str], bins: int = MI
     cells = (vcounts.join(b, on=["feature", "value"], how="left")
                  .withColumn("bin", F.coalesce("bin", F.lit(-1)))
                  .groupBy("feature", "bin", label).agg(F.sum("_c").alias("n_xy")))
-    # marginals per feature: small tables (features x bins)
-    nx = cells.groupBy("feature", "bin").agg(F.sum("n_xy").alias("n_x"))
-    ny = cells.groupBy("feature", label).agg(F.sum("n_xy").alias("n_y"))
-    nn = cells.groupBy("feature").agg(F.sum("n_xy").alias("n"),
-                                      F.count(F.lit(1)).alias("k_xy"))
-    kx = nx.groupBy("feature").agg(F.count(F.lit(1)).alias("k_x"))
-    ky = ny.groupBy("feature").agg(F.count(F.lit(1)).alias("k_y"))
-    j = (cells.join(nx, ["feature", "bin"]).join(ny, ["feature", label])
-              .join(nn, "feature"))
-    term = (F.col("n_xy") / F.col("n")) * F.ln(F.col("n_xy") * F.col("n")
-                                               / (F.col("n_x") * F.col("n_y")))
-    mi = j.groupBy("feature").agg(F.sum(term).alias("mi_plugin"), F.first("n").alias("n"),
-                                  F.first("k_xy").alias("k_xy"))
-    mi = mi.join(kx, "feature").join(ky, "feature")
-    corr = (F.col("k_xy") - F.col("k_x") - F.col("k_y") + 1) / (2.0 * F.col("n"))
-    out = mi.select("feature", "mi_plugin", (F.col("mi_plugin") - corr).alias("mi"), "n")
+    # a feature has at most 2 * (bins + 1) cells: gather them and finish in one projection
+    g = cells.groupBy("feature").agg(F.collect_list(F.struct(
+        F.col("bin").alias("b"), F.col(label).alias("y"), F.col("n_xy").cast("double").alias("n")))
+        .alias("cells"))
+    n = F.aggregate("cells", F.lit(0.0), lambda acc, c: acc + c["n"])
+
+    def marg(c, field):
+        return F.aggregate(F.filter("cells", lambda o: o[field] == c[field]), F.lit(0.0),
+                           lambda acc, o: acc + o["n"])
+    g = g.withColumn("_n", n)
+    term = F.aggregate("cells", F.lit(0.0), lambda acc, c: acc + c["n"] / F.col("_n") * F.ln(
+        c["n"] * F.col("_n") / (marg(c, "b") * marg(c, "y"))))
+    k_xy = F.size("cells")
+    k_x = F.size(F.array_distinct(F.transform("cells", lambda c: c["b"])))
+    k_y = F.size(F.array_distinct(F.transform("cells", lambda c: c["y"])))
+    out = g.select("feature", term.alias("mi_plugin"),
+                   ((k_xy - k_x - k_y + 1) / (2.0 * F.col("_n"))).alias("_bias"),
+                   F.col("_n").cast("long").alias("n"))
+    out = out.select("feature", "mi_plugin", (F.col("mi_plugin") - F.col("_bias")).alias("mi"), "n")
     return out.withColumn("selected", F.col("mi") >= threshold)
 
 
