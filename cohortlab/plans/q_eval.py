@@ -331,3 +331,50 @@ def top_k_correlation(spark, sf_dir):
     top = corr.orderBy(F.col("corr").desc(), "feature").limit(10).withColumn("side", F.lit("top"))
     bottom = corr.orderBy(F.col("corr").asc(), "feature").limit(10).withColumn("side", F.lit("bottom"))
     return top.unionByName(bottom)
+
+
+# ---------------------------------------------------------------- text cohort (second label source)
+
+_TEXT = """
+text_scores AS (SELECT d.doc_id, l.quality AS y, CAST(d.n_chars AS DOUBLE) AS p
+                FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
+tcounts AS (SELECT p, CAST(sum(y) AS BIGINT) AS pos, CAST(sum(1 - y) AS BIGINT) AS neg
+            FROM text_scores GROUP BY p),
+tcurve AS (SELECT pos, neg, sum(pos) OVER (ORDER BY p DESC ROWS UNBOUNDED PRECEDING) AS tp,
+             sum(pos) OVER () AS n_pos, sum(neg) OVER () AS n_neg FROM tcounts)"""
+
+
+def text_scores(spark, sf_dir):
+    from ..sources.tables import read_table
+    d = read_table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    lab = read_table(spark, sf_dir, "labels").select("doc_id", "quality")
+    return d.join(lab, "doc_id").select("doc_id", F.col("quality").alias("y"),
+                                        F.col("n_chars").cast("double").alias("p"))
+
+
+@query("text_label_auc", with_ctes(_TEXT, body=(
+    "SELECT CAST(sum(CAST(neg AS HUGEINT) * (2 * (tp - pos) + pos)) AS DOUBLE)"
+    " / (2.0 * max(n_pos) * max(n_neg)) AS roc_auc, CAST(max(n_pos) AS BIGINT) AS n_pos,"
+    " CAST(max(n_neg) AS BIGINT) AS n_neg FROM tcurve")))
+def text_label_auc(spark, sf_dir):
+    """How well document length ranks quality labels (documents joined to labels)."""
+    return _auc_with_totals(curves.score_curve(text_scores(spark, sf_dir), "y", "p"))
+
+
+def _auc_with_totals(c):
+    term = (F.col("neg").cast("decimal(38,0)")
+            * (2 * (F.col("tp") - F.col("pos")) + F.col("pos")).cast("decimal(38,0)"))
+    g = c.agg(F.sum(term).alias("_num"), F.first("n_pos").alias("n_pos"), F.first("n_neg").alias("n_neg"))
+    return g.select((F.col("_num").cast("double") / (2.0 * F.col("n_pos") * F.col("n_neg"))).alias("roc_auc"),
+                    "n_pos", "n_neg")
+
+
+@query("text_label_correlation", with_ctes(body=(
+    "SELECT 'n_chars' AS feature, round(covar_pop(CAST(d.n_chars AS DOUBLE), CAST(l.quality AS DOUBLE))"
+    " / NULLIF(stddev_pop(CAST(d.n_chars AS DOUBLE)) * stddev_pop(CAST(l.quality AS DOUBLE)), 0), 6) AS corr"
+    " FROM documents d JOIN labels l ON d.doc_id = l.doc_id")))
+def text_label_correlation(spark, sf_dir):
+    from ..operators import profile
+    s = text_scores(spark, sf_dir).select(F.col("p").alias("n_chars"), F.col("y").alias("quality"))
+    c = profile.label_correlation(s, "quality", ["n_chars"])
+    return c.select("feature", R("corr").alias("corr"))

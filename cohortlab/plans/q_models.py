@@ -65,7 +65,10 @@ def calibrated_scores(spark, sf_dir):
 def test_report(spark, sf_dir):
     """Hold-out evaluation of the calibrated stack at the chosen threshold."""
     b, _ = trained(spark, sf_dir)
-    te = b.score(_split_frame(spark, sf_dir, "test"))
+    from pyspark import StorageLevel
+    # the metric families are several passes over the scored split: score once
+    te = (b.score(_split_frame(spark, sf_dir, "test")).select("ir_label", "probability")
+           .persist(StorageLevel.MEMORY_AND_DISK))
     ev = metrics.evaluate(te, "ir_label", "probability", t=b.threshold)
     return ev.withColumn("threshold", F.lit(b.threshold))
 
@@ -111,3 +114,45 @@ def hash_split_sizes(spark, sf_dir):
     """Split sizes per label (stratification check)."""
     df = split.hash_split(frames.prepared(spark, sf_dir), "patient_id")
     return df.groupBy("split", "ir_label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("model_cv_summary")
+def model_cv_summary(spark, sf_dir):
+    """Per learner: mean and population std of the out-of-fold AUC across folds."""
+    from .training import oof_auc
+    b, _ = trained(spark, sf_dir)
+    p_cols = b.meta.p_cols
+    return metrics.cv_summary(oof_auc(b.extras["oof"], "ir_label", p_cols), by=["model"])
+
+
+@query("model_generalisation_gap")
+def model_generalisation_gap(spark, sf_dir):
+    """Per learner: train AUC minus validation AUC (full-train models)."""
+    from ..operators import prep
+    b, _ = trained(spark, sf_dir)
+    cfg = TrainConfig.quick()
+    data = prepare_training_frame(frames.prepared(spark, sf_dir), cfg).filter(
+        F.col("split").isin("train", "validation"))
+    x = models.assemble(prep.apply_prep(data, b.state, keep=["patient_id", "ir_label", "split"]),
+                        b.state.selected)
+    s = models.add_scores(x, b.base)
+    names = list(b.base)
+    rows = ", ".join(f"'{n}', `p_{n}`" for n in names)
+    long = s.selectExpr("ir_label", "split", f"stack({len(names)}, {rows}) AS (model, p)")
+    return metrics.generalisation_gap(metrics.auc_by(long, ["model", "split"], y="ir_label", p="p"),
+                                      by=["model"])
+
+
+@query("model_thresholds")
+def model_thresholds(spark, sf_dir):
+    """Thresholds chosen on calibrated validation scores, as written to the model document."""
+    import uuid
+    from ..session import scratch_path
+    from .training import load_bundle, save_bundle
+    b, _ = trained(spark, sf_dir)
+    path = scratch_path(spark, f"bundle-{uuid.uuid4().hex}")
+    save_bundle(b, spark, path)
+    back = load_bundle(spark, path)
+    rows = [(k, float(v)) for k, v in sorted(back.thresholds.items())]
+    return spark.createDataFrame(rows, "name string, value double").withColumn(
+        "calibration", F.lit(back.calibrator.method))

@@ -131,3 +131,46 @@ def base_validation_metrics(bundle: Bundle, x_val: DataFrame, label: str) -> Dat
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def save_bundle(bundle: Bundle, spark, path: str) -> None:
+    """Spark ML writers for every model, JSON documents for state and thresholds."""
+    import json
+    from ..operators.prep import save_state
+    save_state(bundle.state, spark, f"{path}/prep_state")
+    for name, m in bundle.base.items():
+        m.write().overwrite().save(f"{path}/base/{name}")
+    bundle.meta.model.write().overwrite().save(f"{path}/meta")
+    for i, m in enumerate(bundle.calibrator.models):
+        m.write().overwrite().save(f"{path}/calibrator/{i}")
+    doc = {"model_version": bundle.model_version, "thresholds": bundle.thresholds,
+           "best_c": bundle.meta.best_c, "p_cols": bundle.meta.p_cols,
+           "calibration": {"method": bundle.calibrator.method, "oof_brier": bundle.calibrator.oof_brier,
+                           "n": len(bundle.calibrator.models)},
+           "base": list(bundle.base)}
+    spark.createDataFrame([(json.dumps(doc, sort_keys=True),)], "doc string").coalesce(1) \
+        .write.mode("overwrite").json(f"{path}/manifest")
+
+
+def load_bundle(spark, path: str) -> Bundle:
+    import json
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.classification import GBTClassificationModel, LogisticRegressionModel
+    from pyspark.ml.regression import IsotonicRegressionModel
+    from ..operators.prep import load_state
+    doc = json.loads(spark.read.json(f"{path}/manifest").collect()[0]["doc"])
+    base = {n: GBTClassificationModel.load(f"{path}/base/{n}") for n in doc["base"]}
+    meta = models.MetaModel(PipelineModel.load(f"{path}/meta"), doc["best_c"], [], doc["p_cols"])
+    kind = LogisticRegressionModel if doc["calibration"]["method"] == "sigmoid" else IsotonicRegressionModel
+    cals = [kind.load(f"{path}/calibrator/{i}") for i in range(doc["calibration"]["n"])]
+    cal = models.Calibrator(doc["calibration"]["method"], cals, doc["calibration"]["oof_brier"])
+    return Bundle(load_state(spark, f"{path}/prep_state"), base, meta, cal, doc["thresholds"],
+                  doc["model_version"])
+
+
+def oof_auc(oof: DataFrame, label: str, p_cols: list[str]) -> DataFrame:
+    """AUC per (model, fold) from the out-of-fold table: one grouped curve job."""
+    names = [c[2:] for c in p_cols]
+    rows = ", ".join(f"'{n}', `{c}`" for n, c in zip(names, p_cols))
+    long = oof.selectExpr(label, "fold", f"stack({len(names)}, {rows}) AS (model, p)")
+    return metrics.auc_by(long, ["model", "fold"], y=label, p="p")
