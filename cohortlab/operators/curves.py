@@ -28,16 +28,15 @@ def _group(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
 def score_curve(df: DataFrame, y: str = "y", p: str = "p", by: Sequence[str] = (),
                 n_buckets: int | None = None) -> DataFrame:
     """(by..., score, pos, neg, tp, fp, n_pos, n_neg) with tp/fp = counts at score >= this score."""
-    df, keys = _group(df, by)
+    keys = list(by)
     counts = (df.filter(F.col(p).isNotNull() & F.col(y).isNotNull())
                 .groupBy(*keys, F.col(p).alias("score"))
                 .agg(F.sum(F.col(y).cast("long")).alias("pos"),
                      F.sum((1 - F.col(y)).cast("long")).alias("neg")))
-    cum = cumulative(counts, keys, "score", ["pos", "neg"], descending=True, n_buckets=n_buckets)
-    totals = counts.groupBy(*keys).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
-    out = (cum.withColumnRenamed("cum_pos", "tp").withColumnRenamed("cum_neg", "fp")
-              .join(F.broadcast(totals), on=keys))
-    return out if by else out.drop("_g")
+    cum = cumulative(counts, keys, "score", ["pos", "neg"], descending=True, n_buckets=n_buckets,
+                     totals=True)
+    return (cum.withColumnRenamed("cum_pos", "tp").withColumnRenamed("cum_neg", "fp")
+               .withColumnRenamed("tot_pos", "n_pos").withColumnRenamed("tot_neg", "n_neg"))
 
 
 def roc_points(curve: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .curves import _group, roc_auc, score_curve
+from .curves import roc_auc, score_curve
 
 # fixed values: ECE bin edges are numpy linspace(0, 1, 11) as doubles
 ECE_EDGES = [0.0, 0.1, 0.2, 0.30000000000000004, 0.4, 0.5, 0.6000000000000001,
@@ -62,15 +62,15 @@ def ece_bin(p: str = "p") -> F.Column:
 def reliability_bins(df: DataFrame, y: str = "y", p: str = "p",
                      by: Sequence[str] = ()) -> DataFrame:
     """Per-bin n, accuracy of (p >= 0.5) and mean confidence, weight over all rows."""
-    df, keys = _group(df, by)
+    keys = list(by)
     hit = (F.col(y) == (F.col(p) >= 0.5).cast("int")).cast("double")
     binned = df.select(*keys, y, p, ece_bin(p).alias("bin"), hit.alias("_hit"))
     total = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n_all"))
     g = (binned.filter(F.col("bin").isNotNull()).groupBy(*keys, "bin")
                .agg(F.count(F.lit(1)).alias("n"), F.avg("_hit").alias("bin_acc"),
                     F.avg(p).alias("bin_conf")))
-    # totals: one row per group
-    g = g.join(F.broadcast(total), on=keys)
+    # totals: one row per group (a scalar subquery when ungrouped)
+    g = g.join(F.broadcast(total), on=keys) if keys else g.withColumn("_n_all", total.scalar())
     return g.select(*by, "bin", "n", "bin_acc", "bin_conf",
                     (F.col("n") / F.col("_n_all")).alias("weight"))
 
@@ -149,25 +149,30 @@ def evaluate(df: DataFrame, y: str = "y", p: str = "p", by: Sequence[str] = (),
              t: float = 0.5) -> DataFrame:
     """Long metric table (by..., metric, value): the ten validation metrics.
 
-    Each family is one aggregate over the score table; the families are
-    joined on the group key (one row per group each) and unpivoted.
+    Each family is one aggregate over the score table, unpivoted to long rows;
+    the families are unioned (no join between them).
     """
     from .curves import average_precision, pr_auc
 
-    df2, keys = _group(df, by)
-    tm = threshold_metrics(df2, y, p, t, keys)
-    curve = score_curve(df2, y, p, keys)
-    parts = [tm.select(*keys, "accuracy", "precision", "recall", "f1", "mcc"),
-             roc_auc(curve), pr_auc(curve), average_precision(curve),
-             brier(df2, y, p, keys), ece(df2, y, p, keys)]
-    wide = parts[0]
+    keys = list(by)
+    curve = score_curve(df, y, p, keys)
+    tm = threshold_metrics(df, y, p, t, keys)
+    parts = [
+        tm.selectExpr(*[f"`{k}`" for k in keys],
+                      "stack(5, 'accuracy', accuracy, 'precision', precision, 'recall', recall,"
+                      " 'f1', f1, 'mcc', mcc) AS (metric, value)"),
+        roc_auc(curve).select(*keys, F.lit("roc_auc").alias("metric"), F.col("roc_auc").alias("value")),
+        pr_auc(curve).select(*keys, F.lit("pr_auc").alias("metric"), F.col("pr_auc").alias("value")),
+        average_precision(curve).select(*keys, F.lit("average_precision").alias("metric"),
+                                        F.col("average_precision").alias("value")),
+        brier(df, y, p, keys).select(*keys, F.lit("brier_score").alias("metric"),
+                                     F.col("brier_score").alias("value")),
+        ece(df, y, p, keys).select(*keys, F.lit("ece").alias("metric"), F.col("ece").alias("value")),
+    ]
+    out = parts[0]
     for part in parts[1:]:
-        wide = wide.join(F.broadcast(part), on=keys, how="left")
-    names = ["accuracy", "precision", "recall", "f1", "roc_auc", "pr_auc", "average_precision",
-             "mcc", "brier_score", "ece"]
-    rows = ", ".join(f"'{n}', CAST(`{n}` AS DOUBLE)" for n in names)
-    long = wide.selectExpr(*[f"`{k}`" for k in keys], f"stack({len(names)}, {rows}) AS (metric, value)")
-    return long if by else long.drop("_g")
+        out = out.unionByName(part)
+    return out.withColumn("value", F.col("value").cast("double"))
 
 
 def validate_external(df: DataFrame, baseline_auc: float | None, y: str = "y", p: str = "p",

@@ -53,48 +53,51 @@ def count_below(df: DataFrame, cuts: str, value: str, out: str, max_len: int) ->
 
 def cumulative(df: DataFrame, by: Sequence[str], order: str, values: Sequence[str],
                descending: bool = False, n_buckets: int | None = None,
-               prefix: str = "cum_") -> DataFrame:
+               prefix: str = "cum_", totals: bool = False) -> DataFrame:
     """Add inclusive running sums ``cum_<v>`` of ``values`` along ``order`` within ``by``.
 
     ``df`` must be unique on ``by + [order]`` (collapse ties with a groupBy).
-    Rows with a NULL ``order`` get NULL sums.
+    Rows with a NULL ``order`` get NULL sums. ``totals=True`` also adds the
+    group totals ``tot_<v>`` (taken from the bucket table, no extra join).
     """
     spark = df.sparkSession
     cols_out = list(df.columns)
     by = list(by)
-    if not by:
-        df = df.withColumn("_g", F.lit(0))
-        by = ["_g"]
     nb = n_buckets or default_buckets(spark)
     pcts = [i / nb for i in range(1, nb)]
     # cut points per group inside the same query: a (groups x buckets) aggregate,
-    # broadcast once per execution, so every task buckets with the same cuts and
+    # evaluated once per execution, so every task buckets with the same cuts and
     # the upstream exchange of ``df`` is reused rather than recomputed
     cuts = (df.filter(F.col(order).isNotNull()).groupBy(*by)
               .agg(F.array_distinct(F.array_sort(
                   F.percentile_approx(order, pcts, 10000))).alias("_cuts")))
-
-    # cuts: one row per group, size bounded by the bucket count
-    joined = count_below(df.join(F.broadcast(cuts), on=by, how="left"), "_cuts", order, "_below", nb)
+    if by:
+        joined = df.join(F.broadcast(cuts), on=by, how="left")   # one row per group
+    else:
+        joined = df.withColumn("_cuts", cuts.scalar())            # one-row scalar subquery
+    joined = count_below(joined, "_cuts", order, "_below", nb)
     bucket = F.size("_cuts") - F.col("_below") if descending else F.col("_below")
     # descending: bucket = number of cuts >= value, so higher values get lower buckets
     joined = joined.withColumn(
         "_bucket", F.when(F.col(order).isNotNull(), bucket)).drop("_cuts", "_below")
 
-    totals = joined.filter(F.col("_bucket").isNotNull()).groupBy(*by, "_bucket").agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
-    w_off = (Window.partitionBy(*by).orderBy("_bucket")
-             .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = totals.select(*by, "_bucket", *[
-        F.coalesce(F.sum(f"_t_{v}").over(w_off), F.lit(0)).alias(f"_o_{v}") for v in values])
-    offsets = F.broadcast(offsets)  # groups x buckets rows
-    out = joined.join(offsets, on=[*by, "_bucket"], how="left")
+    bt = (joined.filter(F.col("_bucket").isNotNull()).groupBy(*by, "_bucket")
+                .agg(*[F.sum(v).alias(f"_t_{v}") for v in values]))
+    # groups x buckets rows: the only step without a data-sized partitioning
+    w_off = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    w_all = Window.partitionBy(*by)
+    extra = [F.sum(f"_t_{v}").over(w_all).alias(f"_a_{v}") for v in values] if totals else []
+    offsets = bt.select(*by, "_bucket", *[
+        F.coalesce(F.sum(f"_t_{v}").over(w_off), F.lit(0)).alias(f"_o_{v}") for v in values], *extra)
+    out = joined.join(F.broadcast(offsets), on=[*by, "_bucket"], how="left")
 
     ordering = F.col(order).desc() if descending else F.col(order).asc()
     w_in = (Window.partitionBy(*by, "_bucket").orderBy(ordering)
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return out.select(*cols_out, *[
         F.when(F.col(order).isNotNull(), F.col(f"_o_{v}") + F.sum(v).over(w_in))
-         .alias(f"{prefix}{v}") for v in values])
+         .alias(f"{prefix}{v}") for v in values],
+        *[F.col(f"_a_{v}").alias(f"tot_{v}") for v in values if totals])
 
 
 def exact_quantiles(long_df: DataFrame, by: Sequence[str], value: str,
@@ -108,14 +111,9 @@ def exact_quantiles(long_df: DataFrame, by: Sequence[str], value: str,
     by = list(by)
     counts = (long_df.filter(F.col(value).isNotNull())
               .groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n")))
-    cum = cumulative(counts, by, value, ["_n"])
-    tot = counts.groupBy(*by).agg(F.sum("_n").alias("_total"))
-    pos = F.lit(q) * (F.col("_total") - 1)
+    j = cumulative(counts, by, value, ["_n"], totals=True)
+    pos = F.lit(q) * (F.col("tot__n") - 1)
     lo_pos, hi_pos = F.floor(pos), F.ceil(pos)
-    if not by:
-        counts, cum, tot = (t.withColumn("_g", F.lit(0)) for t in (counts, cum, tot))
-        by = ["_g"]
-    j = cum.join(F.broadcast(tot), on=by, how="inner")
     start = F.col("cum__n") - F.col("_n")
     j = j.withColumn("_pos", pos)
     hit_lo = (start <= lo_pos) & (lo_pos < F.col("cum__n"))
