@@ -52,8 +52,17 @@ class PrepState:
 
 # ------------------------------------------------------------------ encoders
 
-def one_hot_categories(df: DataFrame, cols: Sequence[str]) -> dict[str, list[str]]:
-    """Sorted category list per column (bounded: routing sends only <= 50 values here)."""
+def one_hot_categories(df: DataFrame, cols: Sequence[str],
+                       max_card: int = MAX_ONE_HOT_CARDINALITY) -> dict[str, list[str]]:
+    """Sorted category list per column.
+
+    The sets are gathered only after a HyperLogLog pass shows every column is
+    near the one-hot limit; a wider column must use the ordinal dictionary.
+    """
+    est = df.agg(*[F.approx_count_distinct(c, 0.02).alias(f"d{i}") for i, c in enumerate(cols)]).collect()[0]
+    wide = [c for i, c in enumerate(cols) if est[f"d{i}"] > 1.25 * max_card]
+    if wide:
+        raise ValueError(f"too many categories for one-hot encoding: {wide}; use ordinal()")
     row = df.agg(*[F.sort_array(F.collect_set(c)).alias(f"s{i}") for i, c in enumerate(cols)]).collect()[0]
     return {c: list(row[f"s{i}"]) for i, c in enumerate(cols)}
 
