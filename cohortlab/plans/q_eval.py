@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import round_out
 from ..operators import curves, metrics, split
 from . import frames
-from .q_table import _label_correlation_df
+from .q_table import CORR_COLS, _corr_sql, _label_correlation_df
 from .registry import query
 from .sql_text import LABELLED, PREPARED, SCORES, engineered_cte, split_hash, with_ctes
 
@@ -324,8 +324,7 @@ def generalisation_gap(spark, sf_dir):
     "SELECT feature, corr, side FROM ("
     "(SELECT feature, corr, 'top' AS side FROM ({c}) ORDER BY corr DESC, feature LIMIT 10)"
     " UNION ALL (SELECT feature, corr, 'bottom' AS side FROM ({c}) ORDER BY corr ASC, feature LIMIT 10))"
-).format(c=__import__("cohortlab.plans.q_table", fromlist=["x"])._corr_sql(
-    __import__("cohortlab.plans.q_table", fromlist=["x"]).CORR_COLS, "engineered"))))
+).format(c=_corr_sql(CORR_COLS, "engineered"))))
 def top_k_correlation(spark, sf_dir):
     corr = _label_correlation_df(spark, sf_dir).filter(F.col("corr").isNotNull())
     top = corr.orderBy(F.col("corr").desc(), "feature").limit(10).withColumn("side", F.lit("top"))

@@ -178,11 +178,15 @@ def metrics_append(spark, sf_dir):
 
 
 @query("event_log", with_ctes(PE, body=(
-    "SELECT trace_id, round(probability, 6) AS probability, latency_ms FROM pe"
-    " WHERE CAST(ts AS DATE) = DATE '2024-01-15'")))
+    "SELECT CAST(ts AS DATE) AS event_date, count(*) AS requests_total,"
+    " round(avg(probability), 6) AS avg_prob, round(avg(CAST(latency_ms AS DOUBLE)), 6) AS avg_latency_ms"
+    " FROM pe GROUP BY CAST(ts AS DATE)")))
 def event_log(spark, sf_dir):
-    """Prediction log written partitioned by date; a one-day read prunes partitions."""
+    """Prediction log appended partitioned by event date, read back whole: daily metrics.
+
+    (A read of one date prunes to that partition; see tests.)"""
     path = scratch_path(spark, f"events-{uuid.uuid4().hex}")
     io.write_events(frames.prediction_events(spark, sf_dir), path)
-    day = spark.read.parquet(path).filter(F.col("event_date") == F.lit("2024-01-15").cast("date"))
-    return day.select("trace_id", R("probability").alias("probability"), "latency_ms")
+    m = metrics.request_metrics(spark.read.parquet(path), by=["event_date"])
+    return m.select("event_date", "requests_total", R("avg_prob").alias("avg_prob"),
+                    R("avg_latency_ms").alias("avg_latency_ms"))

@@ -10,6 +10,7 @@ from ..operators.score import REQUIRED, score_all
 from ..sources.cohort import cohort
 from . import frames
 from .registry import query
+from .sql_text import PREPARED, split_hash, with_ctes
 from .training import Bundle, TrainConfig, base_validation_metrics, prepare_training_frame, train
 
 _CACHE: dict = {}
@@ -102,14 +103,16 @@ def rf_importance(spark, sf_dir):
 
 @query("occlusion_top3")
 def occlusion_top3(spark, sf_dir):
-    """Top-3 occlusion attributions for every validation-split row."""
+    """Top-3 occlusion attributions for every row of the prepared cohort."""
     b, _ = trained(spark, sf_dir)
-    va = _split_frame(spark, sf_dir, "validation")
+    va = prepare_training_frame(frames.prepared(spark, sf_dir), TrainConfig.quick()).drop("split")
     fills = {c: b.state.medians[c] for c in b.state.selected if c in b.state.medians}
     return attribution.occlusion_top(va, "patient_id", b.state.selected, fills, b.score, k=3)
 
 
-@query("hash_split_sizes", None)
+@query("hash_split_sizes", with_ctes(PREPARED, body=(
+    f"SELECT CASE WHEN {split_hash()} < 0.15 THEN 'test' WHEN {split_hash()} < 0.3 THEN 'validation'"
+    " ELSE 'train' END AS split, ir_label, count(*) AS n FROM prepared GROUP BY ALL")))
 def hash_split_sizes(spark, sf_dir):
     """Split sizes per label (stratification check)."""
     df = split.hash_split(frames.prepared(spark, sf_dir), "patient_id")

@@ -116,9 +116,10 @@ def mi_binned(spark, sf_dir):
 
 
 @query("mi_top_n", with_ctes(PREPARED, engineered_cte(), _mi_sql(), body=(
-    "SELECT feature, round(mi, 6) AS mi FROM mi ORDER BY mi DESC, feature LIMIT 5")))
+    "SELECT feature, round(mi, 6) AS mi FROM mi ORDER BY mi DESC, feature LIMIT 30")))
 def mi_top_n(spark, sf_dir):
-    return select.top_by_mi(_mi(spark, sf_dir), 5).select("feature", R("mi").alias("mi"))
+    """Top 30 features by MI (the reference's N)."""
+    return select.top_by_mi(_mi(spark, sf_dir), 30).select("feature", R("mi").alias("mi"))
 
 
 # ---------------------------------------------------------------- encoders

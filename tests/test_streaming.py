@@ -50,3 +50,14 @@ def test_drift_sink_is_idempotent(spark, tmp_path):
     fn(batch, 0)                                  # replayed batch id
     alerts = spark.read.parquet(str(tmp_path / "alerts"))
     assert alerts.count() == alerts.select("window_start").distinct().count() > 0
+
+
+def test_event_log_day_read_prunes_partitions(spark, tmp_path):
+    from cohortlab.sources import io
+    path = str(tmp_path / "log")
+    io.write_events(frames.prediction_events(spark, SF_SMALL), path)
+    day = spark.read.parquet(path).filter(F.col("event_date") == F.lit("2024-01-15").cast("date"))
+    plan = day._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(event_date" in plan
+    assert day.count() == frames.prediction_events(spark, SF_SMALL).filter(
+        F.to_date("ts") == F.lit("2024-01-15").cast("date")).count()
