@@ -177,14 +177,13 @@ def evaluate(df: DataFrame, y: str = "y", p: str = "p", by: Sequence[str] = (),
 
 def validate_external(df: DataFrame, baseline_auc: float | None, y: str = "y", p: str = "p",
                       threshold: float = 0.5, max_drop: float = 0.10,
-                      raise_on_fail: bool = False) -> DataFrame:
+                      raise_on_fail: bool = False, auc: float | None = None) -> DataFrame:
     """AUC, Brier and accuracy on another cohort; fails when baseline - AUC > max_drop
-    (an absolute AUC difference)."""
-    auc = roc_auc(score_curve(df, y, p))
+    (an absolute AUC difference). ``auc`` may be passed when already computed."""
     other = df.agg(F.avg(F.pow(F.col(p) - F.col(y), 2)).alias("brier_score"),
                    F.avg((F.col(y) == (F.col(p) >= threshold).cast("int")).cast("double"))
                    .alias("accuracy"))
-    row_auc = auc.collect()[0]["roc_auc"]
+    row_auc = auc if auc is not None else roc_auc(score_curve(df, y, p)).collect()[0]["roc_auc"]
     base = F.lit(baseline_auc).cast("double")
     out = other.select(F.lit(row_auc).cast("double").alias("roc_auc"), "brier_score", "accuracy",
                        base.alias("baseline_auc"),

@@ -64,7 +64,9 @@ def assemble(df: DataFrame, feature_cols: Sequence[str], out: str = "features")
 
 
 def estimator(spec: LearnerSpec, label: str, features: str = "features"):
-    cols = dict(featuresCol=features, labelCol=label, seed=SEED)
+    # node-id caching saves a pass per tree level; its periodic checkpoints go to
+    # the shared spark.checkpoint.dir
+    cols = dict(featuresCol=features, labelCol=label, seed=SEED, cacheNodeIds=True, maxMemoryInMB=512)
     if spec.kind == "gbt":
         est = GBTClassifier(**cols, **spec.params)
     elif spec.kind == "rf":
@@ -280,7 +282,8 @@ def rf_importance(df: DataFrame, label: str, feature_cols: Sequence[str], key: s
     train, test = data.filter("split = 'train'"), data.filter("split = 'test'")
     pipe = Pipeline(stages=[imp, VectorAssembler(inputCols=[f"_i_{c}" for c in cols], outputCol="_x"),
                             RandomForestClassifier(featuresCol="_x", labelCol=label, numTrees=trees,
-                                                   maxDepth=depth, seed=SEED)]).fit(train)
+                                                   maxDepth=depth, seed=SEED, cacheNodeIds=True,
+                                                   maxMemoryInMB=1024)]).fit(train)
     scored = pipe.transform(test).withColumn("_p", positive_probability("probability"))
     auc = _auc(scored, label, "_p")
     importances = pipe.stages[-1].featureImportances.toArray().tolist()

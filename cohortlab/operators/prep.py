@@ -87,10 +87,10 @@ def ordinal_dictionary(df: DataFrame, col: str, n_buckets: int | None = None) ->
     spark = df.sparkSession
     nb = n_buckets or default_buckets(spark)
     d = df.select(F.col(col).cast("string").alias("category")).filter("category IS NOT NULL").distinct()
-    n = d.count()
-    frac = min(1.0, (nb * 32) / max(n, 1))
-    sample = [r[0] for r in d.filter(hash_unit("category", "dict") < frac)
-              .orderBy("category").collect()]
+    # a uniform sample of distinct values without counting them first: the
+    # nb*32 values with the smallest hash (top-k, bounded)
+    sample = sorted(r[0] for r in d.withColumn("_h", hash_unit("category", "dict"))
+                    .orderBy("_h", "category").limit(nb * 32).select("category").collect())
     step = max(1, len(sample) // nb)
     cuts = sorted(set(sample[step::step]))
     arr = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<string>")

@@ -143,8 +143,10 @@ gauc AS (SELECT split, CAST(sum(CAST(neg AS HUGEINT) * (2 * (tp - pos) + pos)) A
     " WHERE split = 'test') b WHERE t.split = 'test' AND v.split = 'validation'")))
 def external_guard(spark, sf_dir):
     s = split.hash_split(frames.scores(spark, sf_dir), "patient_id")
-    base = metrics.auc_by(s.filter("split = 'validation'"), []).collect()[0]["roc_auc"]
-    out = metrics.validate_external(s.filter("split = 'test'"), base)
+    # both AUCs in one grouped curve job
+    aucs = {r["split"]: r["roc_auc"] for r in metrics.auc_by(
+        s.filter(F.col("split").isin("validation", "test")), ["split"]).collect()}
+    out = metrics.validate_external(s.filter("split = 'test'"), aucs["validation"], auc=aucs["test"])
     return out.select(*[R(c).alias(c) for c in ("roc_auc", "brier_score", "accuracy",
                                                 "baseline_auc", "auc_drop")], "passed")
 
