@@ -25,6 +25,21 @@ from .curves import roc_auc, score_curve
 from .split import hash_folds
 
 SEED = 42
+PARALLEL_FITS = 4
+
+
+def _parallel(fns, parallelism: int = PARALLEL_FITS) -> list:
+    """Run independent Spark jobs (model fits) from a small driver thread pool, as
+    CrossValidator's ``parallelism`` does; results keep the input order."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from pyspark import inheritable_thread_target
+    from pyspark.sql import SparkSession
+    if parallelism <= 1 or len(fns) <= 1:
+        return [f() for f in fns]
+    wrap = inheritable_thread_target(SparkSession.getActiveSession())
+    with ThreadPoolExecutor(max_workers=parallelism) as ex:
+        return list(ex.map(lambda f: wrap(f)(), fns))
 # fixed values: meta-learner inverse regularisation grid
 META_C_GRID = (0.01, 0.1, 1.0, 10.0)
 
@@ -78,8 +93,9 @@ def estimator(spec: LearnerSpec, label: str, features: str = "features"):
 
 
 def fit_base(df: DataFrame, specs: Sequence[LearnerSpec], label: str,
-             features: str = "features") -> dict:
-    return {s.name: estimator(s, label, features).fit(df) for s in specs}
+             features: str = "features", parallelism: int = PARALLEL_FITS) -> dict:
+    fits = _parallel([lambda s=s: estimator(s, label, features).fit(df) for s in specs], parallelism)
+    return {s.name: m for s, m in zip(specs, fits)}
 
 
 def add_scores(df: DataFrame, models: dict, prefix: str = "p_") -> DataFrame:
@@ -103,14 +119,15 @@ def oof_scores(train: DataFrame, specs: Sequence[LearnerSpec], label: str, key:
     """
     spark = train.sparkSession
     t = hash_folds(train.select(key, label, features), key, k, salt).persist(StorageLevel.MEMORY_AND_DISK)
+    jobs = [(s, f) for s in specs for f in range(k)]
+    fits = _parallel([lambda s=s, f=f: estimator(s, label, features).fit(t.filter(F.col("fold") != f))
+                      for s, f in jobs])
     parts, fold_models = [], {}
-    for s in specs:
-        for f in range(k):
-            m = estimator(s, label, features).fit(t.filter(F.col("fold") != f))
-            fold_models[(s.name, f)] = m
-            held = m.transform(t.filter(F.col("fold") == f))
-            parts.append(held.select(key, label, "fold", F.lit(s.name).alias("model"),
-                                     positive_probability(f"_prob_{s.name}").alias("p")))
+    for (s, f), m in zip(jobs, fits):
+        fold_models[(s.name, f)] = m
+        held = m.transform(t.filter(F.col("fold") == f))
+        parts.append(held.select(key, label, "fold", F.lit(s.name).alias("model"),
+                                 positive_probability(f"_prob_{s.name}").alias("p")))
     long = parts[0]
     for p in parts[1:]:
         long = long.unionByName(p)
@@ -179,14 +196,16 @@ def fit_meta(oof: DataFrame, label: str, p_cols: Sequence[str], key: str,
     n = w.count()
     f = hash_folds(w, key, cv_folds, "meta")
     best_c, best, table = 1.0, 0.0, []
-    for c in c_grid:
-        reg = 1.0 / (c * n)
-        aucs = []
-        for k in range(cv_folds):
-            m = meta_pipeline(p_cols, label, reg).fit(f.filter(F.col("fold") != k))
-            s = m.transform(f.filter(F.col("fold") == k)).withColumn("_p", positive_probability("_meta_prob"))
-            aucs.append(_auc(s, label, "_p"))
-        mean = sum(aucs) / len(aucs)
+
+    def cv_auc(c, k):
+        m = meta_pipeline(p_cols, label, 1.0 / (c * n)).fit(f.filter(F.col("fold") != k))
+        s = m.transform(f.filter(F.col("fold") == k)).withColumn("_p", positive_probability("_meta_prob"))
+        return _auc(s, label, "_p")
+    grid = [(c, k) for c in c_grid for k in range(cv_folds)]
+    aucs = _parallel([lambda c=c, k=k: cv_auc(c, k) for c, k in grid])
+    for c in c_grid:       # grid order, strict '>': the first best C wins
+        vals = [a for (cc, _), a in zip(grid, aucs) if cc == c]
+        mean = sum(vals) / len(vals)
         table.append((float(c), float(mean)))
         if mean > best:
             best, best_c = mean, c
