@@ -21,7 +21,7 @@ from ..functions.columns import hash_unit
 from ..session import scratch_path
 from .clean import INSULIN
 from .features import MISSING_CATEGORY
-from .ordered import default_buckets
+from .ordered import count_below, default_buckets
 from .profile import MAX_ONE_HOT_CARDINALITY, column_medians, numeric_columns, string_columns
 from .select import MI_BINS, MI_THRESHOLD, binned_mi
 
@@ -94,7 +94,7 @@ def ordinal_dictionary(df: DataFrame, col: str, n_buckets: int | None = None) ->
     step = max(1, len(sample) // nb)
     cuts = sorted(set(sample[step::step]))
     arr = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<string>")
-    b = d.withColumn("_b", F.size(F.filter(arr, lambda c: c < F.col("category"))))
+    b = count_below(d.withColumn("_cuts", arr), "_cuts", "category", "_b", max(1, len(cuts))).drop("_cuts")
     sizes = b.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
     offs = sizes.select("_b", F.coalesce(F.sum("_n").over(
         Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
