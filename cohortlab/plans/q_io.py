@@ -169,14 +169,16 @@ def csv_scan(spark, sf_dir):
     return io.read_cohort_csv(spark, path, CSV_SCHEMA)
 
 
-@query("metrics_append")
+@query("metrics_append", with_ctes(LABELLED, SCORES, _CURVE_ALL, _REL_SQL, body=(
+    "SELECT e.metric, e.value, r.run_id, 'bmi_logistic' AS model FROM (" + _EVAL_BODY + ") e"
+    " CROSS JOIN (VALUES ('run-a'), ('run-b')) r(run_id)")))
 def metrics_append(spark, sf_dir):
     """Two runs appended to one metric table stay apart by run_id."""
     path = scratch_path(spark, f"metrics-{uuid.uuid4().hex}")
-    e = metrics.evaluate(frames.scores(spark, sf_dir))
+    e = metrics.evaluate(frames.scores(spark, sf_dir)).select("metric", R("value").alias("value"))
     for run in ("run-a", "run-b"):
         io.append_metrics(e, path, run, model="bmi_logistic")
-    return spark.read.parquet(path)
+    return spark.read.parquet(path).select("metric", "value", "run_id", "model")
 
 
 @query("event_log", with_ctes(PE, body=(
