@@ -188,7 +188,7 @@ def f1_sweep(spark, sf_dir):
 
 @query("sensitivity_first", with_ctes(LABELLED, SCORES, _GRID_SQL, body=(
     "SELECT CASE WHEN max(s) > 0 THEN arg_max(threshold, (s, -threshold)) ELSE 0.5 END AS threshold,"
-    " 0.9 AS sensitivity, round(CASE WHEN max(s) > 0 THEN max(s) ELSE 0.0 END, 6) AS specificity"
+    " 0.9::DOUBLE AS sensitivity, round(CASE WHEN max(s) > 0 THEN max(s) ELSE 0.0 END, 6) AS specificity"
     " FROM (SELECT threshold, CASE WHEN recall >= 0.9 THEN coalesce(specificity, 0.0) ELSE -1.0 END"
     " AS s FROM gm)")))
 def sensitivity_first(spark, sf_dir):

@@ -134,8 +134,9 @@ def _train(df):
 
 @query("one_hot", with_ctes(PREPARED, body=(
     "SELECT patient_id, " + ", ".join(
-        [f"CASE WHEN sex = '{v}' THEN 1.0 ELSE 0.0 END AS sex_{v}" for v in ("F", "M")]
-        + [f"CASE WHEN segment = '{v}' THEN 1.0 ELSE 0.0 END AS segment_{v}" for v in SEGMENTS])
+        [f"CASE WHEN sex = '{v}' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS sex_{v}" for v in ("F", "M")]
+        + [f"CASE WHEN segment = '{v}' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS segment_{v}"
+           for v in SEGMENTS])
     + " FROM prepared")))
 def one_hot(spark, sf_dir):
     df = frames.prepared(spark, sf_dir).select("patient_id", "sex", "segment")

@@ -43,6 +43,12 @@ def test_oracle_match(spark, con, name):
     sdf = ent.queries()[name](spark, SF_SMALL)
     cols = sorted(sdf.columns)
     srows = [tuple(r[c] for c in cols) for r in sdf.collect()]
+    from tools.type_check import SPARK_TO_DUCK
+    rel = con.sql(ent.oracle_sql()[name])
+    dtypes = {c: str(t) for c, t in zip(rel.columns, rel.types)}
+    for f in sdf.schema.fields:
+        st = f.dataType.simpleString()
+        assert SPARK_TO_DUCK.get(st, st) == dtypes[f.name], (f.name, st, dtypes[f.name])
     res = con.execute(ent.oracle_sql()[name])
     dcols = [d[0] for d in res.description]
     assert sorted(dcols) == cols
