@@ -134,7 +134,8 @@ def oof_scores(train: DataFrame, specs: Sequence[LearnerSpec], label: str, key:
     names = [s.name for s in specs]
     wide = (long.groupBy(key, label, "fold").pivot("model", names).agg(F.first("p"))
                 .select(key, label, "fold", *[F.col(n).alias(f"p_{n}") for n in names]))
-    out_path = path or scratch_path(spark, f"oof-{abs(hash((key, k, tuple(names))))}")
+    import uuid
+    out_path = path or scratch_path(spark, f"oof-{uuid.uuid4().hex}")
     wide.write.mode("overwrite").parquet(out_path)
     t.unpersist()
     return spark.read.parquet(out_path), fold_models

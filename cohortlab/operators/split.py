@@ -43,8 +43,10 @@ def exact_split(df: DataFrame, key: str, label: str, salt=SEED, test: float = TE
     """Exact per-label shares: within each label, rows ranked by (hash, key).
 
     The rank is a global running count done with bucketed windows
-    (:func:`cumulative`); hash ties are resolved by key inside their (tiny)
-    tie group. Label counts are a two-row aggregate.
+    (:func:`cumulative`); hash ties are resolved by key inside their tie
+    group, which is tiny for a unique key (32-bit collisions). Label counts
+    are a two-row aggregate. The key must be unique; use ``hash_split`` for
+    tables without one.
     """
     h = hash_unit(key, salt)
     rows = df.withColumn("_h", h)
