@@ -187,11 +187,8 @@ def label_distribution(spark, sf_dir):
     f"SELECT '{c}' AS feature, round(median({c}), 6) AS median FROM prepared"
     for c in NUMERIC_PREPARED)))
 def column_medians(spark, sf_dir):
-    from ..operators.ordered import exact_quantiles
-    df = frames.prepared(spark, sf_dir)
-    long = profile.unpivot(df, [], list(NUMERIC_PREPARED))
-    med = exact_quantiles(long, ["feature"], "value", 0.5)
-    return med.select("feature", round_out("quantile").alias("median"))
+    med = profile.exact_medians(frames.prepared(spark, sf_dir), list(NUMERIC_PREPARED))
+    return med.select("feature", round_out("median").alias("median"))
 
 
 _MEAN_COLS = ("age", "fasting_insulin", "bmi", "triglycerides")

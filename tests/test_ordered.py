@@ -61,3 +61,15 @@ def test_no_single_partition_exchange_over_rows(spark):
     for i, ln in enumerate(lines):
         if "Exchange SinglePartition" in ln:
             assert "HashAggregate" in lines[i + 1]
+
+
+def test_exact_medians_both_paths_agree(spark, monkeypatch):
+    from cohortlab.operators import profile
+    rnd = np.random.default_rng(5)
+    rows = [(float(a), float(b)) for a, b in zip(rnd.normal(size=501).round(3), rnd.integers(0, 9, 501))]
+    df = spark.createDataFrame(rows + [(None, None)], "a double, b double")
+    fast = {r.feature: r.median for r in profile.exact_medians(df, ["a", "b"]).collect()}
+    monkeypatch.setattr(profile, "MEDIAN_MAP_LIMIT", 0)
+    slow = {r.feature: r.median for r in profile.exact_medians(df, ["a", "b"]).collect()}
+    assert fast == slow
+    assert fast["a"] == float(np.median([r[0] for r in rows]))
