@@ -61,3 +61,24 @@ def test_event_log_day_read_prunes_partitions(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(event_date" in plan
     assert day.count() == frames.prediction_events(spark, SF_SMALL).filter(
         F.to_date("ts") == F.lit("2024-01-15").cast("date")).count()
+
+
+def test_late_event_after_watermark_is_dropped(spark, tmp_path):
+    """A row older than the watermark, arriving after its window was emitted, is dropped."""
+    import datetime
+    import time
+    src = tmp_path / "src"
+    d = datetime.datetime
+    batches = [[(1, d(2024, 1, 1, 10)), (2, d(2024, 1, 3, 12))],
+               [(3, d(2024, 1, 5, 12))],                          # watermark passes day 1 and 3
+               [(4, d(2024, 1, 1, 11)), (5, d(2024, 1, 7, 12))]]  # day-1 event is late
+    for i, rows in enumerate(batches):
+        full = [(k, t, 1, "view", 100.0 * k, "{}") for k, t in rows]
+        spark.createDataFrame(full, ev.EVENT_SCHEMA).coalesce(1).write.parquet(str(src / f"b{i}"))
+        time.sleep(1.1)                                   # file order = arrival order
+    stream = (spark.readStream.schema(ev.EVENT_SCHEMA).option("maxFilesPerTrigger", 1)
+              .option("recursiveFileLookup", "true").parquet(str(src)))
+    out, ck = str(tmp_path / "out"), str(tmp_path / "ck")
+    ev.run_to_table(ev.windowed_metrics(ev.to_predictions(stream), "1 day", "1 hour"), out, ck)
+    got = {r.window_start.day: r.requests_total for r in spark.read.parquet(out).collect()}
+    assert got == {1: 1, 3: 1, 5: 1}     # late row dropped; the day-7 window is still open
