@@ -53,10 +53,14 @@ def count_below(df: DataFrame, cuts: str, value: str, out: str, max_len: int) ->
 
 def cumulative(df: DataFrame, by: Sequence[str], order: str, values: Sequence[str],
                descending: bool = False, n_buckets: int | None = None,
-               prefix: str = "cum_", totals: bool = False) -> DataFrame:
+               prefix: str = "cum_", totals: bool = False,
+               tiebreak: Sequence[str] = ()) -> DataFrame:
     """Add inclusive running sums ``cum_<v>`` of ``values`` along ``order`` within ``by``.
 
-    ``df`` must be unique on ``by + [order]`` (collapse ties with a groupBy).
+    ``df`` must be unique on ``by + [order]`` (collapse ties with a groupBy),
+    unless ``tiebreak`` columns make ``by + [order] + tiebreak`` unique: equal
+    ``order`` values share a bucket, so ordering by the tie-breakers inside the
+    bucket gives a row-exact running sum (a rank when the value is 1).
     Rows with a NULL ``order`` get NULL sums. ``totals=True`` also adds the
     group totals ``tot_<v>`` (taken from the bucket table, no extra join).
     """
@@ -91,8 +95,8 @@ def cumulative(df: DataFrame, by: Sequence[str], order: str, values: Sequence[st
         F.coalesce(F.sum(f"_t_{v}").over(w_off), F.lit(0)).alias(f"_o_{v}") for v in values], *extra)
     out = joined.join(F.broadcast(offsets), on=[*by, "_bucket"], how="left")
 
-    ordering = F.col(order).desc() if descending else F.col(order).asc()
-    w_in = (Window.partitionBy(*by, "_bucket").orderBy(ordering)
+    ordering = [F.col(c).desc() if descending else F.col(c).asc() for c in (order, *tiebreak)]
+    w_in = (Window.partitionBy(*by, "_bucket").orderBy(*ordering)
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return out.select(*cols_out, *[
         F.when(F.col(order).isNotNull(), F.col(f"_o_{v}") + F.sum(v).over(w_in))

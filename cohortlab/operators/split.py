@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import hash_unit
@@ -42,27 +42,20 @@ def exact_split(df: DataFrame, key: str, label: str, salt=SEED, test: float = TE
                 val: float = VAL_SHARE) -> DataFrame:
     """Exact per-label shares: within each label, rows ranked by (hash, key).
 
-    The rank is a global running count done with bucketed windows
-    (:func:`cumulative`); hash ties are resolved by key inside their tie
-    group, which is tiny for a unique key (32-bit collisions). Label counts
-    are a two-row aggregate. The key must be unique; use ``hash_split`` for
-    tables without one.
+    The rank is a global running count over the rows themselves, done with
+    bucketed windows (:func:`cumulative`, hash ties broken by key inside
+    their bucket); label sizes come from the same bucket table. The key must
+    be unique; use ``hash_split`` for tables without one.
     """
-    h = hash_unit(key, salt)
-    rows = df.withColumn("_h", h)
-    ties = rows.groupBy(label, "_h").agg(F.count(F.lit(1)).alias("_c"))
-    cum = cumulative(ties, [label], "_h", ["_c"]).withColumn(
-        "_start", F.col("cum__c") - F.col("_c"))
-    n = ties.groupBy(label).agg(F.sum("_c").alias("_n"))
-    ranked = (rows.join(cum.select(label, "_h", "_start"), on=[label, "_h"])
-              .withColumn("_rank", F.col("_start") + F.row_number().over(
-                  Window.partitionBy(label, "_h").orderBy(key)))
-              .join(F.broadcast(n), on=[label]))
-    n_test = F.round(F.col("_n") * test)
-    n_val = F.round(F.col("_n") * val)
-    split = (F.when(F.col("_rank") <= n_test, "test")
-             .when(F.col("_rank") <= n_test + n_val, "validation").otherwise("train"))
-    return ranked.withColumn("split", split).drop("_h", "_start", "_rank", "_n")
+    rows = df.withColumn("_h", hash_unit(key, salt)).withColumn("_one", F.lit(1))
+    # rank within label by (hash, key): a running count, no join back to the rows
+    ranked = cumulative(rows, [label], "_h", ["_one"], totals=True, tiebreak=[key])
+    n_test = F.round(F.col("tot__one") * test)
+    n_val = F.round(F.col("tot__one") * val)
+    rank = F.col("cum__one")
+    split = (F.when(rank <= n_test, "test")
+             .when(rank <= n_test + n_val, "validation").otherwise("train"))
+    return ranked.withColumn("split", split).drop("_h", "_one", "cum__one", "tot__one")
 
 
 def reference_sample(df: DataFrame, key: str, n: int = 2000, salt="reference") -> DataFrame:

@@ -73,3 +73,13 @@ def test_exact_medians_both_paths_agree(spark, monkeypatch):
     slow = {r.feature: r.median for r in profile.exact_medians(df, ["a", "b"]).collect()}
     assert fast == slow
     assert fast["a"] == float(np.median([r[0] for r in rows]))
+
+
+def test_cumulative_tiebreak_gives_row_ranks(spark):
+    from pyspark.sql import functions as F
+    df = spark.range(300).select(F.col("id").alias("k"), (F.col("id") % 7).cast("double").alias("v"),
+                                 F.lit(1).alias("one"))
+    got = {r.k: r.cum_one for r in cumulative(df, [], "v", ["one"], n_buckets=3,
+                                              tiebreak=["k"], totals=True).collect()}
+    expect = {k: i + 1 for i, k in enumerate(sorted(range(300), key=lambda k: (k % 7, k)))}
+    assert got == expect
