@@ -63,11 +63,10 @@ def ks_drift(ref: DataFrame, new: DataFrame, features: Sequence[str],
     keys = [*by, "feature"]
     counts = (ref_counts.unionByName(new_counts)
               .groupBy(*keys, "value").agg(F.sum("c_ref").alias("c_ref"), F.sum("c_new").alias("c_new")))
-    totals = counts.groupBy(*keys).agg(F.sum("c_ref").alias("n_ref"), F.sum("c_new").alias("n_new"))
-    totals = totals.filter((F.col("n_ref") > 0) & (F.col("n_new") > 0))
-    cum = cumulative(counts, keys, "value", ["c_ref", "c_new"], n_buckets=n_buckets)
-    # totals: one row per (group, feature)
-    gap = (cum.join(F.broadcast(totals), on=keys)
+    # running counts and per-(group, feature) totals from the same bucketed pass
+    cum = cumulative(counts, keys, "value", ["c_ref", "c_new"], n_buckets=n_buckets, totals=True)
+    gap = (cum.withColumnRenamed("tot_c_ref", "n_ref").withColumnRenamed("tot_c_new", "n_new")
+              .filter((F.col("n_ref") > 0) & (F.col("n_new") > 0))
               .select(*keys, "n_ref", "n_new",
                       F.abs(F.col("cum_c_ref") / F.col("n_ref")
                             - F.col("cum_c_new") / F.col("n_new")).alias("gap")))
