@@ -99,3 +99,11 @@ def test_grouped_auc(spark):
     g = df.withColumn("k", F.round(F.col("p") * 100).cast("int") % 2)
     rows = metrics.auc_by(g, ["k"]).collect()
     assert len(rows) == 2 and all(0 <= r.roc_auc <= 1 for r in rows)
+
+
+def test_resolution_bounds_curve_and_keeps_auc_close(spark):
+    df, y, p = _scores(spark)
+    exact = curves.roc_auc(curves.score_curve(df)).collect()[0][0]
+    coarse_curve = curves.score_curve(df, resolution=0.05)
+    assert coarse_curve.count() <= 21
+    assert abs(curves.roc_auc(coarse_curve).collect()[0][0] - exact) < 0.05
