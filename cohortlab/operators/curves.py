@@ -26,11 +26,16 @@ def _group(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
 
 
 def score_curve(df: DataFrame, y: str = "y", p: str = "p", by: Sequence[str] = (),
-                n_buckets: int | None = None) -> DataFrame:
-    """(by..., score, pos, neg, tp, fp, n_pos, n_neg) with tp/fp = counts at score >= this score."""
+                n_buckets: int | None = None, resolution: float | None = None) -> DataFrame:
+    """(by..., score, pos, neg, tp, fp, n_pos, n_neg) with tp/fp = counts at score >= this score.
+
+    Exact by default. ``resolution`` (e.g. 1e-6) floors scores to a grid first,
+    bounding the curve at 1/resolution points per group for huge score sets.
+    """
     keys = list(by)
+    s = F.col(p) if resolution is None else F.floor(F.col(p) / resolution) * F.lit(resolution)
     counts = (df.filter(F.col(p).isNotNull() & F.col(y).isNotNull())
-                .groupBy(*keys, F.col(p).alias("score"))
+                .groupBy(*keys, s.alias("score"))
                 .agg(F.sum(F.col(y).cast("long")).alias("pos"),
                      F.sum((1 - F.col(y)).cast("long")).alias("neg")))
     cum = cumulative(counts, keys, "score", ["pos", "neg"], descending=True, n_buckets=n_buckets,
