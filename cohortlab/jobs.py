@@ -23,7 +23,7 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import clean, drift, features, metrics, models, profile, score, split
+from .operators import clean, drift, features, metrics, models, profile, score
 from .plans.training import (TrainConfig, base_validation_metrics, load_bundle,
                              prepare_training_frame, save_bundle, train)
 from .session import get_spark
