@@ -54,7 +54,7 @@ def count_below(df: DataFrame, cuts: str, value: str, out: str, max_len: int) ->
 def cumulative(df: DataFrame, by: Sequence[str], order: str, values: Sequence[str],
                descending: bool = False, n_buckets: int | None = None,
                prefix: str = "cum_", totals: bool = False,
-               tiebreak: Sequence[str] = ()) -> DataFrame:
+               tiebreak: Sequence[str] = (), keep_bucket: bool = False) -> DataFrame:
     """Add inclusive running sums ``cum_<v>`` of ``values`` along ``order`` within ``by``.
 
     ``df`` must be unique on ``by + [order]`` (collapse ties with a groupBy),
@@ -62,7 +62,9 @@ def cumulative(df: DataFrame, by: Sequence[str], order: str, values: Sequence[st
     ``order`` values share a bucket, so ordering by the tie-breakers inside the
     bucket gives a row-exact running sum (a rank when the value is 1).
     Rows with a NULL ``order`` get NULL sums. ``totals=True`` also adds the
-    group totals ``tot_<v>`` (taken from the bucket table, no extra join).
+    group totals ``tot_<v>`` (taken from the bucket table, no extra join);
+    ``keep_bucket=True`` keeps ``_bucket``, so a follow-up window partitioned by
+    ``by + [_bucket, ...]`` reuses this partitioning without another shuffle.
     """
     spark = df.sparkSession
     cols_out = list(df.columns)
@@ -101,7 +103,8 @@ def cumulative(df: DataFrame, by: Sequence[str], order: str, values: Sequence[st
     return out.select(*cols_out, *[
         F.when(F.col(order).isNotNull(), F.col(f"_o_{v}") + F.sum(v).over(w_in))
          .alias(f"{prefix}{v}") for v in values],
-        *[F.col(f"_a_{v}").alias(f"tot_{v}") for v in values if totals])
+        *[F.col(f"_a_{v}").alias(f"tot_{v}") for v in values if totals],
+        *(["_bucket"] if keep_bucket else []))
 
 
 def exact_quantiles(long_df: DataFrame, by: Sequence[str], value: str,

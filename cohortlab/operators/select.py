@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ordered import cumulative
@@ -23,27 +23,33 @@ MI_THRESHOLD = 0.001
 MI_BINS = 20
 
 
-def equal_frequency_bins(counts: DataFrame, bins: int = MI_BINS) -> DataFrame:
-    """(feature, value, bin) from per-value counts ``(feature, value, _c)``."""
-    counts = counts.filter(F.col("value").isNotNull())
-    cum = cumulative(counts, ["feature"], "value", ["_c"])
-    n = counts.groupBy("feature").agg(F.sum("_c").alias("_n"))
-    less = F.col("cum__c") - F.col("_c")
-    return (cum.join(F.broadcast(n), on="feature")
-               .select("feature", "value",
-                       F.floor(F.lit(bins) * less / F.col("_n")).cast("int").alias("bin")))
+def binned_counts(vcounts: DataFrame, label: str, bins: int = MI_BINS) -> DataFrame:
+    """(feature, bin, label, n_xy) from per-(feature, value, label) counts ``_c``.
+
+    ``bin = floor(B * #(values < x) / n)``: a running count over the counts
+    table itself (label as tie-breaker), and ``#(values < x)`` is the minimum of
+    ``cum - c`` over the rows of one value -- a window clustered by
+    (feature, bucket, value), which the running-sum partitioning already
+    satisfies, so no join and no extra shuffle. NULL values form bin -1.
+    """
+    nn = vcounts.filter(F.col("value").isNotNull())
+    cum = cumulative(nn, ["feature"], "value", ["_c"], totals=True, tiebreak=[label], keep_bucket=True)
+    less = F.min(F.col("cum__c") - F.col("_c")).over(Window.partitionBy("feature", "_bucket", "value"))
+    binned = cum.select("feature", label, "_c",
+                        F.floor(F.lit(bins) * less / F.col("tot__c")).cast("int").alias("bin"))
+    nulls = vcounts.filter(F.col("value").isNull()).select("feature", label, "_c",
+                                                          F.lit(-1).alias("bin"))
+    return (binned.unionByName(nulls).groupBy("feature", "bin", label)
+                  .agg(F.sum("_c").alias("n_xy")))
 
 
 def binned_mi(df: DataFrame, label: str, features: Sequence[str], bins: int = MI_BINS,
               threshold: float = MI_THRESHOLD) -> DataFrame:
     """(feature, mi_plugin, mi, n, selected); NULL values form their own bin (-1)."""
     long = unpivot(df.select(label, *features), [label], list(features))
-    # pre-aggregate before any join: a hot value collapses to one row per label
+    # pre-aggregate before anything else: a hot value collapses to one row per label
     vcounts = long.groupBy("feature", "value", label).agg(F.count(F.lit(1)).alias("_c"))
-    b = equal_frequency_bins(vcounts.groupBy("feature", "value").agg(F.sum("_c").alias("_c")), bins)
-    cells = (vcounts.join(b, on=["feature", "value"], how="left")
-                 .withColumn("bin", F.coalesce("bin", F.lit(-1)))
-                 .groupBy("feature", "bin", label).agg(F.sum("_c").alias("n_xy")))
+    cells = binned_counts(vcounts, label, bins)
     # a feature has at most 2 * (bins + 1) cells: gather them and finish in one projection
     g = cells.groupBy("feature").agg(F.collect_list(F.struct(
         F.col("bin").alias("b"), F.col(label).alias("y"), F.col("n_xy").cast("double").alias("n")))
