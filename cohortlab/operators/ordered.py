@@ -84,10 +84,13 @@ def cumulative(df: DataFrame, by: Sequence[str], order: str, values: Sequence[st
     joined = count_below(joined, "_cuts", order, "_below", nb)
     bucket = F.size("_cuts") - F.col("_below") if descending else F.col("_below")
     # descending: bucket = number of cuts >= value, so higher values get lower buckets
+    # rows with a NULL order need no running sum; spread them over negative
+    # pseudo-buckets by a row hash so a large NULL group is not one window task
+    spread = -1 - F.pmod(F.xxhash64(*[F.col(c) for c in cols_out]), F.lit(nb))
     joined = joined.withColumn(
-        "_bucket", F.when(F.col(order).isNotNull(), bucket)).drop("_cuts", "_below")
+        "_bucket", F.when(F.col(order).isNotNull(), bucket).otherwise(spread)).drop("_cuts", "_below")
 
-    bt = (joined.filter(F.col("_bucket").isNotNull()).groupBy(*by, "_bucket")
+    bt = (joined.filter(F.col(order).isNotNull()).groupBy(*by, "_bucket")
                 .agg(*[F.sum(v).alias(f"_t_{v}") for v in values]))
     # groups x buckets rows: the only step without a data-sized partitioning
     w_off = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -83,3 +83,15 @@ def test_cumulative_tiebreak_gives_row_ranks(spark):
                                               tiebreak=["k"], totals=True).collect()}
     expect = {k: i + 1 for i, k in enumerate(sorted(range(300), key=lambda k: (k % 7, k)))}
     assert got == expect
+
+
+def test_null_order_rows_are_spread_not_summed(spark):
+    from pyspark.sql import functions as F
+    df = spark.range(1000).select(F.col("id").alias("k"),
+                                  F.when(F.col("id") % 3 == 0, F.lit(None)).otherwise(F.col("id") * 1.0)
+                                  .alias("v"), F.lit(1).alias("one"))
+    out = cumulative(df, [], "v", ["one"], n_buckets=4, keep_bucket=True)
+    nulls = out.filter("v IS NULL")
+    assert nulls.filter("cum_one IS NOT NULL").count() == 0
+    assert nulls.select("_bucket").distinct().count() > 1          # spread over pseudo-buckets
+    assert out.agg(F.max("cum_one")).collect()[0][0] == 666        # non-null rows only
