@@ -10,7 +10,7 @@ from ..operators.drift import KS_TERMS
 from ..sources.cohort import cohort
 from . import frames
 from .registry import query
-from .sql_text import LABELLED, PREPARED, SCORES, engineered_cte, split_hash, with_ctes
+from .sql_text import LABELLED, MEDIANS, PREPARED, SCORES, engineered_cte, split_hash, with_ctes
 
 R = round_out
 DRIFT_CUT = "1998-04-25"
@@ -78,10 +78,10 @@ MI_FEATURES = ("age", "bmi", "triglycerides", "hdl_cholesterol", "waist_circumfe
                "hip_circumference", "tg_hdl_ratio", "waist_hip_ratio", "age_bmi", "triglycerides_log")
 
 
-def _mi_sql(bins=20):
+def _mi_sql(bins=20, src="engineered", feats=MI_FEATURES):
     long = " UNION ALL ".join(
-        f"SELECT ir_label, '{f}' AS feature, CAST({f} AS DOUBLE) AS value FROM engineered"
-        for f in MI_FEATURES)
+        f"SELECT ir_label, '{f}' AS feature, CAST({f} AS DOUBLE) AS value FROM {src}"
+        for f in feats)
     return f"""
 long AS ({long}),
 vc AS (SELECT feature, value, ir_label, count(*) AS c FROM long GROUP BY feature, value, ir_label),
@@ -155,15 +155,61 @@ def ordinal(spark, sf_dir):
     return prep.ordinal(df, "site", d)
 
 
-@query("prep_transform")
+PREP_NUMERIC = ("age", "bmi", "triglycerides", "hdl_cholesterol", "waist_circumference",
+                "hip_circumference", "tg_hdl_ratio", "waist_hip_ratio", "age_bmi", "triglycerides_log")
+
+
+def _prep_sql():
+    h = split_hash()
+    meds = ", ".join(f"median({c}) AS t_{c}" for c in PREP_NUMERIC)
+    fills = ", ".join(f"coalesce(x.{c}, t.t_{c}) AS {c}" for c in PREP_NUMERIC)
+    num_rows = " UNION ALL ".join(
+        f"SELECT patient_id, ir_label, '{c}' AS feature, CAST({c} AS DOUBLE) AS value FROM filled"
+        for c in PREP_NUMERIC)
+    return with_ctes(PREPARED, MEDIANS, engineered_cte(fill_from="medians"), f"""
+x AS (SELECT patient_id, ir_label, {", ".join(PREP_NUMERIC)}, sex, segment, site,
+        {h} >= 0.3 AS is_train FROM engineered),
+tmed AS (SELECT {meds} FROM x WHERE is_train),
+filled AS (SELECT x.patient_id, x.ir_label, x.is_train, {fills}, x.sex, x.segment, x.site
+           FROM x CROSS JOIN tmed t),
+mi_src AS (SELECT * FROM filled WHERE is_train),
+{_mi_sql(20, "mi_src", PREP_NUMERIC).strip()},
+sel AS (SELECT feature FROM mi WHERE mi >= 0.001),
+numeric_rows AS ({num_rows}),
+cats AS (SELECT DISTINCT 'sex' AS col, sex AS v FROM x WHERE is_train AND sex IS NOT NULL
+         UNION ALL SELECT DISTINCT 'segment', segment FROM x WHERE is_train AND segment IS NOT NULL),
+dict AS (SELECT site, row_number() OVER (ORDER BY site) - 1 AS idx
+         FROM (SELECT DISTINCT site FROM x WHERE is_train AND site IS NOT NULL))""", body="""
+SELECT n.patient_id, n.ir_label, n.feature,
+       CASE WHEN n.feature = 'triglycerides_log' THEN round(n.value, 6) ELSE n.value END AS value
+FROM numeric_rows n JOIN sel ON n.feature = sel.feature
+UNION ALL
+SELECT f.patient_id, f.ir_label, c.col || '_' || c.v AS feature,
+       CASE WHEN (CASE WHEN c.col = 'sex' THEN f.sex ELSE f.segment END) = c.v
+            THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS value
+FROM filled f CROSS JOIN cats c
+UNION ALL
+SELECT f.patient_id, f.ir_label, 'site' AS feature, CAST(coalesce(d.idx, -1) AS DOUBLE) AS value
+FROM filled f LEFT JOIN dict d ON f.site = d.site""")
+
+
+@query("prep_transform", _prep_sql())
 def prep_transform(spark, sf_dir):
-    """Fit on the train split (fills, encoders, MI selection), apply to every row."""
-    df = features.drop_leakage_inputs(frames.engineered(spark, sf_dir, fill=True, exact=False),
+    """Fit on the train split (exact medians, encoders, MI selection), apply to every row.
+
+    Long output (patient_id, ir_label, feature, value) over the selected columns,
+    so the data-dependent selection is part of the checked result."""
+    df = features.drop_leakage_inputs(frames.engineered(spark, sf_dir, fill=True, exact=True),
                                       keep=["ir_label"])
     df = split.hash_split(df.drop("ts"), "patient_id")
     state = prep.fit_prep(df.filter("split = 'train'").drop("split"), "ir_label",
-                          key=["patient_id"], include_categoricals=True)
-    return prep.apply_prep(df.drop("split"), state, keep=["patient_id", "ir_label"])
+                          key=["patient_id"], exact=True, include_categoricals=True)
+    wide = prep.apply_prep(df.drop("split"), state, keep=["patient_id", "ir_label"])
+    cols = [c for c in wide.columns if c not in ("patient_id", "ir_label")]
+    long = wide.unpivot(["patient_id", "ir_label"], [F.col(c).cast("double").alias(c) for c in cols],
+                        "feature", "value")
+    return long.withColumn("value", F.when(F.col("feature") == "triglycerides_log",
+                                           F.round("value", 6)).otherwise(F.col("value")))
 
 
 # ---------------------------------------------------------------- scoring
