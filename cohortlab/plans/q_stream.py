@@ -60,7 +60,38 @@ def stream_dedup(spark, sf_dir):
     return df.select("trace_id", R("probability").alias("probability"))
 
 
-@query("stream_drift")
+def _stream_drift_sql():
+    from ..operators.drift import KS_TERMS
+    lam = "(d * sqrt(n_ref * n_new / (n_ref + n_new)))"
+    series = " + ".join(f"{2.0 * (-1) ** (k - 1)!r} * exp({-2.0 * k * k!r} * {lam} * {lam})"
+                        for k in range(1, KS_TERMS + 1))
+    p = f"CASE WHEN {lam} < 0.2 THEN 1.0 ELSE least(greatest({series}, 0.0), 1.0) END"
+    return with_ctes(PE, f"""
+ref AS (SELECT probability, CAST(latency_ms AS DOUBLE) AS latency_ms FROM pe
+        WHERE ts < TIMESTAMP '2024-01-08'),
+new AS (SELECT date_trunc('day', ts) AS window_start, probability,
+          CAST(latency_ms AS DOUBLE) AS latency_ms FROM pe),
+wins AS (SELECT DISTINCT window_start FROM new),
+rlong AS (SELECT 'probability' AS feature, probability AS value FROM ref
+          UNION ALL SELECT 'latency_ms', latency_ms FROM ref),
+long AS (SELECT w.window_start, r.feature, r.value, 0 AS side FROM wins w CROSS JOIN rlong r
+         UNION ALL SELECT window_start, 'probability', probability, 1 FROM new
+         UNION ALL SELECT window_start, 'latency_ms', latency_ms, 1 FROM new),
+cnt AS (SELECT window_start, feature, value, count(CASE WHEN side = 0 THEN 1 END) AS c_ref,
+          count(CASE WHEN side = 1 THEN 1 END) AS c_new FROM long
+        WHERE value IS NOT NULL AND NOT isnan(value) GROUP BY window_start, feature, value),
+cum AS (SELECT window_start, feature, sum(c_ref) OVER w AS cr, sum(c_new) OVER w AS cn,
+          sum(c_ref) OVER (PARTITION BY window_start, feature) AS nr,
+          sum(c_new) OVER (PARTITION BY window_start, feature) AS nn
+        FROM cnt WINDOW w AS (PARTITION BY window_start, feature ORDER BY value ROWS UNBOUNDED PRECEDING)),
+ks0 AS (SELECT window_start, feature, max(abs(cr / nr - cn / nn)) AS d, CAST(max(nr) AS BIGINT) AS n_ref,
+          CAST(max(nn) AS BIGINT) AS n_new FROM cum GROUP BY window_start, feature
+        HAVING max(nr) > 0 AND max(nn) > 0)""", body=(
+        f"SELECT window_start, feature, d, n_ref, n_new, round({p}, 6) AS p_value, {p} < 0.01 AS drifted"
+        " FROM ks0"))
+
+
+@query("stream_drift", _stream_drift_sql())
 def stream_drift(spark, sf_dir):
     """Per daily window (>= 50 rows) KS of probability and latency against the first week."""
     out, ck = _dirs(spark, "stream-drift")
@@ -80,4 +111,6 @@ def stream_drift(spark, sf_dir):
     q = (ev.to_predictions(ev.read_event_stream(spark, sf_dir)).writeStream
          .foreachBatch(both).option("checkpointLocation", ck).trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(base)
+    ks = spark.read.parquet(base)
+    return ks.select("window_start", "feature", "d", "n_ref", "n_new",
+                     R("p_value").alias("p_value"), "drifted")
