@@ -62,12 +62,21 @@ def dedup(pred: DataFrame, delay: str = "1 hour", key: Sequence[str] = ("trace_i
     return pred.withWatermark("ts", delay).dropDuplicatesWithinWatermark(list(key))
 
 
-def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
-    """Drain the available input into a Parquet sink (exactly-once via the checkpoint)."""
-    q = (stream.writeStream.format("parquet").outputMode(mode)
-               .option("path", path).option("checkpointLocation", checkpoint)
-               .trigger(availableNow=True).start())
+def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append",
+                 processing_time: str | None = None):
+    """Parquet sink with a checkpoint (exactly-once file output).
+
+    By default drains the available input and returns when done
+    (``availableNow``); with ``processing_time`` (e.g. "1 minute") it starts a
+    continuously running query and returns its handle.
+    """
+    w = (stream.writeStream.format("parquet").outputMode(mode)
+               .option("path", path).option("checkpointLocation", checkpoint))
+    if processing_time:
+        return w.trigger(processingTime=processing_time).start()
+    q = w.trigger(availableNow=True).start()
     q.awaitTermination()
+    return q
 
 
 def drift_sink(reference: DataFrame, features: Sequence[str], path: str, window: str = "1 day",

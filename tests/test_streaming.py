@@ -82,3 +82,14 @@ def test_late_event_after_watermark_is_dropped(spark, tmp_path):
     ev.run_to_table(ev.windowed_metrics(ev.to_predictions(stream), "1 day", "1 hour"), out, ck)
     got = {r.window_start.day: r.requests_total for r in spark.read.parquet(out).collect()}
     assert got == {1: 1, 3: 1, 5: 1}     # late row dropped; the day-7 window is still open
+
+
+def test_continuous_trigger_returns_running_query(spark, tmp_path):
+    q = ev.run_to_table(ev.to_predictions(ev.read_event_stream(spark, SF_SMALL)), str(tmp_path / "o"),
+                        str(tmp_path / "c"), processing_time="1 second")
+    try:
+        q.processAllAvailable()
+        assert spark.read.parquet(str(tmp_path / "o")).count() == \
+            frames.prediction_events(spark, SF_SMALL).count()
+    finally:
+        q.stop()
