@@ -22,7 +22,7 @@ from ..session import scratch_path
 from .clean import INSULIN
 from .features import MISSING_CATEGORY
 from .ordered import count_below, default_buckets
-from .profile import MAX_ONE_HOT_CARDINALITY, column_medians, numeric_columns, string_columns
+from .profile import MAX_ONE_HOT_CARDINALITY, exact_medians, numeric_columns, string_columns
 from .select import MI_BINS, MI_THRESHOLD, binned_mi
 
 MAX_BROADCAST_DICTIONARY = 1_000_000
@@ -140,13 +140,18 @@ def fit_prep(df: DataFrame, label: str, key: Sequence[str] = (), exact: bool = F
         aggs.append(F.count(c).alias(f"n{i}"))
         if c != INSULIN and not exact:
             aggs.append(F.percentile_approx(F.col(c).cast("double"), 0.5, 10000).alias(f"m{i}"))
+        if c != INSULIN and exact:   # size check for the exact median, in the same pass
+            aggs.append(F.approx_count_distinct(c, 0.02).alias(f"e{i}"))
     if INSULIN in numeric:
         aggs.append(F.avg(INSULIN).alias("insulin_mean"))
     aggs += [F.approx_count_distinct(c, 0.02).alias(f"d{i}") for i, c in enumerate(categorical)]
     row = df.agg(*aggs).collect()[0] if aggs else {}
     alive = [c for i, c in enumerate(numeric) if row[f"n{i}"] > 0]
     if exact:
-        medians = column_medians(df, [c for c in alive if c != INSULIN], exact=True)
+        mcols = [c for c in alive if c != INSULIN]
+        est = {c: row[f"e{numeric.index(c)}"] for c in mcols}
+        medians = ({r["feature"]: r["median"] for r in exact_medians(df, mcols, est).collect()}
+                   if mcols else {})
     else:
         medians = {c: row[f"m{i}"] for i, c in enumerate(numeric) if c in alive and c != INSULIN}
     medians = {k: float(v) for k, v in medians.items() if v is not None}

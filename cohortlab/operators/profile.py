@@ -52,7 +52,8 @@ def unpivot(df: DataFrame, ids: Sequence[str], cols: Sequence[str],
 MEDIAN_MAP_LIMIT = 1_000_000
 
 
-def exact_medians(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+def exact_medians(df: DataFrame, cols: Sequence[str],
+                  estimates: dict[str, int] | None = None) -> DataFrame:
     """(feature, median): exact medians, linear interpolation between the middle values.
 
     Behind a size check: if every column has at most ``MEDIAN_MAP_LIMIT``
@@ -62,8 +63,10 @@ def exact_medians(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     one buffer.
     """
     cols = list(cols)
-    est = df.agg(*[F.approx_count_distinct(c, 0.02).alias(f"d{i}") for i, c in enumerate(cols)]).collect()[0]
-    if max(est[f"d{i}"] for i in range(len(cols))) <= MEDIAN_MAP_LIMIT:
+    if estimates is None:
+        row = df.agg(*[F.approx_count_distinct(c, 0.02).alias(f"d{i}") for i, c in enumerate(cols)]).collect()[0]
+        estimates = {c: row[f"d{i}"] for i, c in enumerate(cols)}
+    if max(estimates[c] for c in cols) <= MEDIAN_MAP_LIMIT:
         wide = df.agg(*[F.median(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(cols)])
         return _stack(wide, cols, ["m"], "feature, median")
     long = unpivot(df, [], cols)
