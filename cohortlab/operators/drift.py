@@ -50,19 +50,26 @@ def ks_drift(ref: DataFrame, new: DataFrame, features: Sequence[str],
     def clean(df):
         return df.filter(F.col("value").isNotNull() & ~F.isnan("value"))
 
-    ref_counts = (clean(unpivot(ref.select(*feats), [], feats))
-                  .groupBy("feature", "value").agg(F.count(F.lit(1)).alias("c_ref"))
-                  .withColumn("c_new", F.lit(0).cast("long")))
-    new_counts = (clean(unpivot(new.select(*by, *feats), by, feats))
-                  .groupBy(*by, "feature", "value").agg(F.count(F.lit(1)).alias("c_new"))
-                  .withColumn("c_ref", F.lit(0).cast("long")))
-    if by:
+    keys = [*by, "feature"]
+    if not by:
+        # one aggregation over both samples, tagged by side
+        long = (clean(unpivot(ref.select(*feats), [], feats)).withColumn("_side", F.lit(0))
+                .unionByName(clean(unpivot(new.select(*feats), [], feats)).withColumn("_side", F.lit(1))))
+        counts = long.groupBy("feature", "value").agg(
+            F.count(F.when(F.col("_side") == 0, 1)).alias("c_ref"),
+            F.count(F.when(F.col("_side") == 1, 1)).alias("c_new"))
+    else:
+        ref_counts = (clean(unpivot(ref.select(*feats), [], feats))
+                      .groupBy("feature", "value").agg(F.count(F.lit(1)).alias("c_ref"))
+                      .withColumn("c_new", F.lit(0).cast("long")))
+        new_counts = (clean(unpivot(new.select(*by, *feats), by, feats))
+                      .groupBy(*by, "feature", "value").agg(F.count(F.lit(1)).alias("c_new"))
+                      .withColumn("c_ref", F.lit(0).cast("long")))
         groups = new.select(*by).distinct().withColumn(
             "feature", F.explode(F.array(*[F.lit(f) for f in feats])))
         ref_counts = ref_counts.join(F.broadcast(groups), on="feature")
-    keys = [*by, "feature"]
-    counts = (ref_counts.unionByName(new_counts)
-              .groupBy(*keys, "value").agg(F.sum("c_ref").alias("c_ref"), F.sum("c_new").alias("c_new")))
+        counts = (ref_counts.unionByName(new_counts).groupBy(*keys, "value")
+                  .agg(F.sum("c_ref").alias("c_ref"), F.sum("c_new").alias("c_new")))
     # running counts and per-(group, feature) totals from the same bucketed pass
     cum = cumulative(counts, keys, "value", ["c_ref", "c_new"], n_buckets=n_buckets, totals=True)
     gap = (cum.withColumnRenamed("tot_c_ref", "n_ref").withColumnRenamed("tot_c_new", "n_new")
