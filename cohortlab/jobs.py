@@ -6,7 +6,8 @@
     python -m cohortlab.jobs validate --input T --bundle DIR/bundle [--max-drop 0.10]
     python -m cohortlab.jobs score    --input T --bundle DIR/bundle --out DIR
     python -m cohortlab.jobs drift    --reference T --new T --out DIR [--features a,b]
-    python -m cohortlab.jobs stream   --events DIR --out DIR
+    python -m cohortlab.jobs stream   --events DIR --out DIR [--processing-time "1 minute"]
+    python -m cohortlab.jobs metrics  --input T --out DIR [--label y --score p]
 
 ``T`` is a parquet table (a ``.csv`` path is read with a header), or
 ``tpch:<dir>`` for the cohort fixture built from TPC-H-like tables. Every
@@ -133,8 +134,36 @@ def job_drift(spark, a):
     return {"drifted": [r["feature"] for r in spark.read.parquet(f"{a.out}/ks").filter("drifted").collect()]}
 
 
+def job_metrics(spark, a):
+    """Validation metrics, thresholds, reliability and ROC points for any score table."""
+    from .operators import curves
+    df = read_input(spark, a.input).select(F.col(a.label).cast("int").alias("y"),
+                                           F.col(a.score).cast("double").alias("p"))
+    ev = metrics.evaluate(df, "y", "p")
+    ev.write.mode("overwrite").parquet(f"{a.out}/metrics")
+    grid = curves.threshold_grid(df, "y", "p")
+    f1 = curves.f1_threshold(grid).withColumn("strategy", F.lit("f1_max"))
+    sens = curves.sensitivity_first(grid).select(
+        "threshold", F.col("specificity").alias("value"), F.lit("sensitivity_first").alias("strategy"))
+    yj = curves.youden(curves.score_curve(df, "y", "p")).select(
+        "threshold", F.col("j_score").alias("value"), F.lit("youden").alias("strategy"))
+    f1.select("threshold", F.col("f1").alias("value"), "strategy").unionByName(yj).unionByName(sens) \
+        .write.mode("overwrite").parquet(f"{a.out}/thresholds")
+    metrics.reliability_bins(df, "y", "p").write.mode("overwrite").parquet(f"{a.out}/reliability")
+    curves.roc_points(curves.score_curve(df, "y", "p")).write.mode("overwrite").parquet(f"{a.out}/roc")
+    return {r["metric"]: r["value"] for r in spark.read.parquet(f"{a.out}/metrics").collect()}
+
+
 def job_stream(spark, a):
     from .streaming import events as ev
+    if a.processing_time:
+        q1 = ev.run_to_table(ev.to_predictions(ev.read_event_stream(spark, a.events)), f"{a.out}/events",
+                             f"{a.out}/_checkpoints/events", processing_time=a.processing_time)
+        q2 = ev.run_to_table(ev.windowed_metrics(ev.to_predictions(ev.read_event_stream(spark, a.events))),
+                             f"{a.out}/windows", f"{a.out}/_checkpoints/windows",
+                             processing_time=a.processing_time)
+        spark.streams.awaitAnyTermination()
+        return {"stopped": [q1.id, q2.id]}
     src = ev.read_event_stream(spark, a.events)
     pred = ev.to_predictions(src)
     ev.run_to_table(pred, f"{a.out}/events", f"{a.out}/_checkpoints/events")
@@ -145,7 +174,7 @@ def job_stream(spark, a):
 
 
 JOBS = {"train": job_train, "audit": job_audit, "evaluate": job_evaluate, "validate": job_validate,
-        "score": job_score, "drift": job_drift, "stream": job_stream}
+        "score": job_score, "drift": job_drift, "stream": job_stream, "metrics": job_metrics}
 
 
 def main(argv=None) -> int:
@@ -163,6 +192,9 @@ def main(argv=None) -> int:
     p.add_argument("--baseline-auc", type=float)
     p.add_argument("--max-drop", type=float, default=0.10)
     p.add_argument("--quick", action="store_true")
+    p.add_argument("--label", default="y")
+    p.add_argument("--score", default="p")
+    p.add_argument("--processing-time")
     p.add_argument("--master")
     a = p.parse_args(argv)
     spark = get_spark(a.master)
