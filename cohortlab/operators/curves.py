@@ -3,8 +3,9 @@
 Everything reads one intermediate, ``score_curve``: scores grouped by
 value (ties collapse into one row, as in the library curve functions),
 then global running sums of positives/negatives in descending score order
-(bucketed, see :mod:`ordered`). Totals P and N per group come from a tiny
-aggregate joined by group key.
+(bucketed, see :mod:`ordered`). Totals P and N per group come from the same
+bucket table, so no join is needed; the three areas can be taken in one
+aggregate (:func:`curve_summary`).
 """
 
 from __future__ import annotations
@@ -57,41 +58,61 @@ def _keys(curve: DataFrame) -> list[str]:
     return [c for c in curve.columns if c not in ("score", "pos", "neg", "tp", "fp", "n_pos", "n_neg")]
 
 
+def _auc_term() -> F.Column:
+    dec = "decimal(38,0)"
+    above = F.col("tp") - F.col("pos")
+    return F.col("neg").cast(dec) * (2 * above + F.col("pos")).cast(dec)
+
+
+def _auc_value() -> F.Column:
+    return F.try_divide(F.col("_num").cast("double"),
+                        2.0 * F.col("n_pos").cast("double") * F.col("n_neg").cast("double"))
+
+
 def roc_auc(curve: DataFrame) -> DataFrame:
     """Area under ROC with ties counted one half; exact integer numerator."""
     keys = _keys(curve)
-    dec = "decimal(38,0)"
-    above = F.col("tp") - F.col("pos")
-    term = F.col("neg").cast(dec) * (2 * above + F.col("pos")).cast(dec)
-    agg = curve.groupBy(*keys).agg(F.sum(term).alias("_num"), F.first("n_pos").alias("n_pos"),
+    agg = curve.groupBy(*keys).agg(F.sum(_auc_term()).alias("_num"), F.first("n_pos").alias("n_pos"),
                                    F.first("n_neg").alias("n_neg"))
-    auc = F.try_divide(F.col("_num").cast("double"),
-                       2.0 * F.col("n_pos").cast("double") * F.col("n_neg").cast("double"))
-    return agg.select(*keys, auc.alias("roc_auc"))
+    return agg.select(*keys, _auc_value().alias("roc_auc"))
 
 
 def _prec(tp, fp):
     return F.try_divide(tp.cast("double"), (tp + fp).cast("double"))
 
 
-def pr_auc(curve: DataFrame) -> DataFrame:
-    """Trapezoid area under the PR curve anchored at (recall 0, precision 1),
-    stopping at the first point of full recall."""
-    keys = _keys(curve)
+def _pr_segment() -> F.Column:
     tp_prev = F.col("tp") - F.col("pos")
     fp_prev = F.col("fp") - F.col("neg")
     prec = _prec(F.col("tp"), F.col("fp"))
     prec_prev = F.when((tp_prev + fp_prev) == 0, F.lit(1.0)).otherwise(_prec(tp_prev, fp_prev))
     dr = F.col("pos") / F.col("n_pos")
-    seg = F.when(tp_prev < F.col("n_pos"), dr * (prec + prec_prev) / 2.0).otherwise(F.lit(0.0))
-    return curve.groupBy(*keys).agg(F.sum(seg).alias("pr_auc"))
+    return F.when(tp_prev < F.col("n_pos"), dr * (prec + prec_prev) / 2.0).otherwise(F.lit(0.0))
+
+
+def _ap_term() -> F.Column:
+    return F.col("pos") / F.col("n_pos") * _prec(F.col("tp"), F.col("fp"))
+
+
+def pr_auc(curve: DataFrame) -> DataFrame:
+    """Trapezoid area under the PR curve anchored at (recall 0, precision 1),
+    stopping at the first point of full recall."""
+    return curve.groupBy(*_keys(curve)).agg(F.sum(_pr_segment()).alias("pr_auc"))
 
 
 def average_precision(curve: DataFrame) -> DataFrame:
     """sum over thresholds of (R_n - R_{n-1}) * P_n."""
+    return curve.groupBy(*_keys(curve)).agg(F.sum(_ap_term()).alias("average_precision"))
+
+
+def curve_summary(curve: DataFrame) -> DataFrame:
+    """roc_auc, pr_auc and average_precision in one aggregate over the curve."""
     keys = _keys(curve)
-    term = F.col("pos") / F.col("n_pos") * _prec(F.col("tp"), F.col("fp"))
-    return curve.groupBy(*keys).agg(F.sum(term).alias("average_precision"))
+    agg = curve.groupBy(*keys).agg(F.sum(_auc_term()).alias("_num"), F.first("n_pos").alias("n_pos"),
+                                   F.first("n_neg").alias("n_neg"),
+                                   F.sum(_pr_segment()).alias("pr_auc"),
+                                   F.sum(_ap_term()).alias("average_precision"))
+    return agg.select(*keys, _auc_value().alias("roc_auc"), "pr_auc", "average_precision")
 
 
 def youden(curve: DataFrame) -> DataFrame:

@@ -152,7 +152,7 @@ def evaluate(df: DataFrame, y: str = "y", p: str = "p", by: Sequence[str] = (),
     Each family is one aggregate over the score table, unpivoted to long rows;
     the families are unioned (no join between them).
     """
-    from .curves import average_precision, pr_auc
+    from .curves import curve_summary
 
     keys = list(by)
     curve = score_curve(df, y, p, keys)
@@ -161,10 +161,9 @@ def evaluate(df: DataFrame, y: str = "y", p: str = "p", by: Sequence[str] = (),
         tm.selectExpr(*[f"`{k}`" for k in keys],
                       "stack(5, 'accuracy', accuracy, 'precision', precision, 'recall', recall,"
                       " 'f1', f1, 'mcc', mcc) AS (metric, value)"),
-        roc_auc(curve).select(*keys, F.lit("roc_auc").alias("metric"), F.col("roc_auc").alias("value")),
-        pr_auc(curve).select(*keys, F.lit("pr_auc").alias("metric"), F.col("pr_auc").alias("value")),
-        average_precision(curve).select(*keys, F.lit("average_precision").alias("metric"),
-                                        F.col("average_precision").alias("value")),
+        curve_summary(curve).selectExpr(*[f"`{k}`" for k in keys],
+                                        "stack(3, 'roc_auc', roc_auc, 'pr_auc', pr_auc,"
+                                        " 'average_precision', average_precision) AS (metric, value)"),
         brier(df, y, p, keys).select(*keys, F.lit("brier_score").alias("metric"),
                                      F.col("brier_score").alias("value")),
         ece(df, y, p, keys).select(*keys, F.lit("ece").alias("metric"), F.col("ece").alias("value")),
