@@ -1,0 +1,16 @@
+"""The pipeline's stages: (spark, docs, sf_dir) -> DataFrame; all but the last keep the columns of documents."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from . import quality_rules
+
+
+def rules_stage(spark, docs, sf_dir):
+    """Documents the rules keep, columns unchanged."""
+    verdict = quality_rules.verdicts(docs, "_kept")
+    return verdict.filter(F.col("_kept")).drop("_kept")
+
+
+STAGES = [("quality_rules", rules_stage)]
