@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+import public_tokenizers
+
+from . import bpe, license_scan, quality_rules
 from .tables import table
 
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
 QUERIES = {}
 ORACLES = {}
 
@@ -21,3 +26,13 @@ def query(name: str, sql: str | None = None):
 @query("op10_compression_bands")
 def op10(spark, sf_dir):
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
+
+
+@query("op4_bpe_round_trip")
+def op4(spark, sf_dir):
+    return bpe.round_trip(table(spark, sf_dir, "documents"), RANKS)
+
+
+@query("op2_license_scan")
+def op2(spark, sf_dir):
+    return license_scan.license_scan(table(spark, sf_dir, "documents"))
