@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, license_scan, quality_rules
+from . import bpe, license_scan, packing, quality_rules, token_files
 from .tables import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -36,3 +36,13 @@ def op4(spark, sf_dir):
 @query("op2_license_scan")
 def op2(spark, sf_dir):
     return license_scan.license_scan(table(spark, sf_dir, "documents"))
+
+
+@query("op8_packing")
+def op8(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
+@query("op9_token_files")
+def op9(spark, sf_dir):
+    return token_files.round_trip(table(spark, sf_dir, "documents"), TOKENIZER)
