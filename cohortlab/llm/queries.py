@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, license_scan, packing, quality_rules, token_files
+from . import bpe, license_scan, packing, quality_rules, token_files, topk_search
 from .tables import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -46,3 +46,15 @@ def op8(spark, sf_dir):
 @query("op9_token_files")
 def op9(spark, sf_dir):
     return token_files.round_trip(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
+@query("op1_topk_search", """
+WITH v AS (SELECT vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding] AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND NOT list_contains([x IS NULL OR NOT isfinite(x) for x in embedding], true)),
+s AS (SELECT q.vec_id AS query_id, c.vec_id,
+             CAST(coalesce(list_sum([z[1] * z[2] for z in list_zip(q.e, c.e)]), 0) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""")
+def op1(spark, sf_dir):
+    return topk_search.search_table(table(spark, sf_dir, "embeddings"))
