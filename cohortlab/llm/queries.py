@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, license_scan, packing, quality_rules, token_files, topk_search
+from . import (bpe, jaccard_join, license_scan, packing, quality_crf, quality_rules, suffix_dedup, token_files,
+               topk_search)
 from .tables import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -58,3 +59,18 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""")
 def op1(spark, sf_dir):
     return topk_search.search_table(table(spark, sf_dir, "embeddings"))
+
+
+@query("op3_jaccard_join")
+def op3(spark, sf_dir):
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op6_suffix_dedup")
+def op6(spark, sf_dir):
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
+@query("op7_quality_crf")
+def op7(spark, sf_dir):
+    return quality_crf.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
