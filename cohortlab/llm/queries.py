@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import (bpe, jaccard_join, license_scan, packing, quality_crf, quality_rules, suffix_dedup, token_files,
-               topk_search)
+from . import (bpe, jaccard_join, license_scan, lm_score, packing, quality_crf, quality_rules, suffix_dedup,
+               token_files, topk_search)
 from .tables import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -74,3 +74,8 @@ def op6(spark, sf_dir):
 @query("op7_quality_crf")
 def op7(spark, sf_dir):
     return quality_crf.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op5_lm_score")
+def op5(spark, sf_dir):
+    return lm_score.lm_scores(table(spark, sf_dir, "documents"))
