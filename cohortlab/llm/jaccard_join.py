@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .arrays import LOWER, _STEP, Hashes, U, Words, docs_of, mix
 from .components import components
@@ -244,3 +245,26 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -
         label, F.col("rep") == F.col("node"), "left")
     return known.select("doc_id", F.col("n").alias("n_shingles"),
                         F.when(F.col("n") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def unnamed_alone(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
+    """Rows of ``docs`` without an id whose set of shingles no row with an id has."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, data, off in docs_of(batch):
+                found = [hashlib.md5(s.tobytes()).digest() if len(s) else None for s in sets(data, off, k)]
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], ["_class"])
+
+    def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [hashlib.md5(s.tobytes()).digest() if len(s) else None
+                     for _, _, data, off in docs_of(batch) for s in sets(data, off, k)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], [*batch.schema.names, "_class"])
+
+    bare = docs.filter(F.col("doc_id").isNull())
+    if bare.isEmpty():
+        return docs.limit(0)
+    schema = StructType([*docs.schema.fields, StructField("_class", BinaryType())])
+    own = bare.mapInArrow(classed, schema)
+    named = docs.filter(F.col("doc_id").isNotNull()).select("text").mapInArrow(run, "_class binary").distinct()
+    return own.join(named, "_class", "left_anti").select(*docs.columns)

@@ -234,3 +234,13 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     columns are never read; an empty table gives no rows, no labels give scores of 0.5.
     """
     return score(docs, fit(labelled_features(docs, labels)))
+
+
+def accepted(docs: DataFrame, model: Model) -> DataFrame:
+    """Rows of ``docs`` that the model predicts to be good, every column as it was."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = [model.scores(line_features(data, off)) >= 0.5 for _, _, data, off in docs_of(batch)]
+            yield batch.filter(pa.array(np.concatenate(good))) if good else batch
+
+    return docs.mapInArrow(run, docs.schema)

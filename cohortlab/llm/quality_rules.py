@@ -123,3 +123,14 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     each get their row; other columns are ignored. No shuffle; an empty table gives no rows.
     """
     return docs.select("doc_id", "text").mapInArrow(score_batches, SCHEMA)
+
+
+def accepted(docs: DataFrame) -> DataFrame:
+    """Rows of ``docs`` that the rules keep, every column as it was."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), batch.column("text")], ["doc_id", "text"])
+            kept = [k for out in score_batches(iter([own])) for k in out.column("kept").to_pylist()]
+            yield batch.filter(pa.array(kept, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

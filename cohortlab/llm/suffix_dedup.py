@@ -478,3 +478,31 @@ def dedup(docs: DataFrame) -> DataFrame:
         F.when(gone, F.col("n_bytes")).when(copy, 0).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(gone, 1).when(copy, 0).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(gone, F.lit(EMPTY_SHA)).when(copy, F.col("_sha")).otherwise(F.coalesce("_kept", "_sha")).alias("kept_sha256"))
+
+
+def whole_characters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bytes as text; what is left of a character cut in two goes."""
+    for batch in batches:
+        text = [bytes(b).decode("utf-8", "ignore") for b in batch.column("kept").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("rep"), pa.array(text, pa.string())], ["key", "rep", "kept"])
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """All rows of ``docs`` with the repeated bytes cut out of ``text``, other columns as they were.
+
+    ``n_chars``, where there is one, is counted anew for texts that changed.
+    """
+    texts = repeated_bytes(docs).select("key", "rep", "kept").mapInArrow(whole_characters, "key binary, rep long, kept string")
+    rows = docs.withColumn("_key", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("_key"))
+    first = ids.groupBy("_key").agg(F.min(F.struct("doc_id")).alias("_first"))
+    done = first.join(texts.select(F.col("key").alias("_key"), F.col("kept").alias("_kept")), "_key", "left")
+    copy = ~F.col("doc_id").cast("long").eqNullSafe(F.col("_first.doc_id"))
+    long = F.octet_length("text") >= LENGTH
+    new = F.when(copy & long, F.lit("")).when(copy, F.col("text")).otherwise(F.coalesce("_kept", "text"))
+    joined = rows.join(done, "_key").withColumn("_new", new)
+    changed = ~F.col("_new").eqNullSafe(F.col("text"))
+    values = {"text": F.col("_new")}
+    if "n_chars" in docs.columns:
+        values["n_chars"] = F.when(changed, F.length("_new").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return joined.select(*[values.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
