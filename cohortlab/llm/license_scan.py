@@ -42,7 +42,7 @@ TEMPLATES = {
     "unlicense": "this is free and unencumbered software released into the public domain",
 }
 K = 2
-MIN_COVER = 0.85         # share of a template's words that a span must hold for its label
+MIN_COVER = 0.9         # share of a template's words that a span must hold for its label
 MIN_VOTES = 0.5          # share of a template's windows that a merged span must have got before words are compared
 DRIFT = 3                # diagonals this near to each other belong to one copy
 BREAKS = np.zeros(256, dtype=bool)
