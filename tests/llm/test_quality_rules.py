@@ -1,3 +1,5 @@
+import random
+
 from cohortlab.llm import quality_rules as q
 
 from . import brute
@@ -18,7 +20,8 @@ def test_verdict(spark, edge, nothing):
     got = q.quality_rules(edge).collect()
     assert all(not r.kept for r in got if r.base_failed)
     assert q.quality_rules(nothing).collect() == []
-    prose = " ".join(f"word{i * 7919 % 1000}{'abcdefghij'[i % 10]}" for i in range(400))
+    rnd = random.Random(1)
+    prose = " ".join("".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randint(2, 8))) for _ in range(400))
     cycle = " ".join(f"{a}{b}" for a in "abcdefgh" for b in "stuvwxyz") + " "
     noise = "".join(chr(33 + (i * i * 31 + i * 17) % 90) + (" " if i % 5 == 4 else "") for i in range(400))
     rows = {r.doc_id: r for r in q.quality_rules(spark.createDataFrame([(1, prose), (2, cycle * 40), (3, noise)], "doc_id long, text string")).collect()}
