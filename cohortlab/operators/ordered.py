@@ -4,15 +4,13 @@ A ``Window.orderBy(x)`` with no ``partitionBy`` moves every row into one
 task. Instead:
 
 1. the caller collapses ties first (input is unique on ``by + [order]``),
-2. cut points per group come from ``percentile_approx`` (a mergeable sketch)
-   computed in the same query and broadcast once, so every task of the
-   execution buckets with the same cuts,
-3. each row gets a bucket by comparing with the cuts (equal values never
-   straddle a bucket),
-4. bucket totals (groups x buckets rows) are prefix-summed and joined back as
-   offsets -- the only single-partition step, over a table whose size is
-   bounded by the bucket count, not the data,
-5. the running sum inside ``partitionBy(by + bucket).orderBy(order)`` plus the
+2. the rows are dealt by ranges of ``by + [order]`` and written once to the
+   shared folder with the number of their range as ``_bucket``: boundaries are
+   fixed values from then on, whatever is recomputed later,
+3. range totals (groups x ranges rows) are prefix-summed and joined back as
+   offsets -- the only step without a data-sized partitioning, over a table
+   whose size is bounded by the number of ranges,
+4. the running sum inside ``partitionBy(by + _bucket).orderBy(order)`` plus the
    offset is the global running sum.
 """
 
@@ -23,32 +21,16 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialise
 
 
-def default_buckets(spark) -> int:
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(16, 2 * parts)
+def by_ranges(df: DataFrame, keys: Sequence, n_buckets: int | None = None) -> DataFrame:
+    """``df`` dealt by ranges of ``keys``, ``_bucket`` rising with them, written to the shared folder.
 
-
-def count_below(df: DataFrame, cuts: str, value: str, out: str, max_len: int) -> DataFrame:
-    """``out`` = number of elements of the sorted array ``cuts`` that are < ``value``.
-
-    A binary search as one ``aggregate`` over the halving step sizes:
-    O(log buckets) comparisons per row, and the position is a lambda
-    variable, so the optimizer cannot inline it into an exponential tree.
+    Without ``n_buckets`` Spark sizes the ranges (adaptive execution merges small ones).
     """
-    steps, step = [], 1
-    while step * 2 <= max_len:
-        step *= 2
-    while step >= 1:
-        steps.append(step)
-        step //= 2
-    v = F.col(value)
-
-    def advance(pos, st):
-        nxt = pos + st
-        return F.when((nxt <= F.size(cuts)) & (F.element_at(cuts, nxt) < v), nxt).otherwise(pos)
-    return df.withColumn(out, F.aggregate(F.array(*[F.lit(x) for x in steps]), F.lit(0), advance))
+    dealt = df.repartitionByRange(n_buckets, *keys) if n_buckets else df.repartitionByRange(*keys)
+    return materialise(dealt.withColumn("_bucket", F.spark_partition_id()), "ranges")
 
 
 def cumulative(df: DataFrame, by: Sequence[str], order: str, values: Sequence[str],
@@ -59,55 +41,33 @@ def cumulative(df: DataFrame, by: Sequence[str], order: str, values: Sequence[st
 
     ``df`` must be unique on ``by + [order]`` (collapse ties with a groupBy),
     unless ``tiebreak`` columns make ``by + [order] + tiebreak`` unique: equal
-    ``order`` values share a bucket, so ordering by the tie-breakers inside the
-    bucket gives a row-exact running sum (a rank when the value is 1).
+    ``order`` values share a range, so ordering by the tie-breakers inside it
+    gives a row-exact running sum (a rank when the value is 1).
     Rows with a NULL ``order`` get NULL sums. ``totals=True`` also adds the
-    group totals ``tot_<v>`` (taken from the bucket table, no extra join);
+    group totals ``tot_<v>`` (taken from the range table, no extra join);
     ``keep_bucket=True`` keeps ``_bucket``, so a follow-up window partitioned by
     ``by + [_bucket, ...]`` reuses this partitioning without another shuffle.
     """
-    spark = df.sparkSession
-    cols_out = list(df.columns)
-    by = list(by)
-    nb = n_buckets or default_buckets(spark)
-    pcts = [i / nb for i in range(1, nb)]
-    # cut points per group inside the same query: a (groups x buckets) aggregate,
-    # evaluated once per execution, so every task buckets with the same cuts and
-    # the upstream exchange of ``df`` is reused rather than recomputed
-    cuts = (df.filter(F.col(order).isNotNull()).groupBy(*by)
-              .agg(F.array_distinct(F.array_sort(
-                  F.percentile_approx(order, pcts, 10000))).alias("_cuts")))
-    if by:
-        joined = df.join(F.broadcast(cuts), on=by, how="left")   # one row per group
-    else:
-        joined = df.withColumn("_cuts", cuts.scalar())            # one-row scalar subquery
-    joined = count_below(joined, "_cuts", order, "_below", nb)
-    bucket = F.size("_cuts") - F.col("_below") if descending else F.col("_below")
-    # descending: bucket = number of cuts >= value, so higher values get lower buckets
-    # rows with a NULL order need no running sum; spread them over negative
-    # pseudo-buckets by a row hash so a large NULL group is not one window task
-    spread = -1 - F.pmod(F.xxhash64(*[F.col(c) for c in cols_out]), F.lit(nb))
-    joined = joined.withColumn(
-        "_bucket", F.when(F.col(order).isNotNull(), bucket).otherwise(spread)).drop("_cuts", "_below")
-
-    bt = (joined.filter(F.col(order).isNotNull()).groupBy(*by, "_bucket")
-                .agg(*[F.sum(v).alias(f"_t_{v}") for v in values]))
-    # groups x buckets rows: the only step without a data-sized partitioning
+    cols_out, by = list(df.columns), list(by)
+
+    def along(c):
+        return F.col(c).desc() if descending else F.col(c).asc()
+
+    ranges = by_ranges(df.filter(F.col(order).isNotNull()), [*by, along(order)], n_buckets)
+    bt = ranges.groupBy(*by, "_bucket").agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
     w_off = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     w_all = Window.partitionBy(*by)
     extra = [F.sum(f"_t_{v}").over(w_all).alias(f"_a_{v}") for v in values] if totals else []
     offsets = bt.select(*by, "_bucket", *[
         F.coalesce(F.sum(f"_t_{v}").over(w_off), F.lit(0)).alias(f"_o_{v}") for v in values], *extra)
-    out = joined.join(F.broadcast(offsets), on=[*by, "_bucket"], how="left")
-
-    ordering = [F.col(c).desc() if descending else F.col(c).asc() for c in (order, *tiebreak)]
-    w_in = (Window.partitionBy(*by, "_bucket").orderBy(*ordering)
+    out = ranges.join(offsets, on=[*by, "_bucket"])
+    w_in = (Window.partitionBy(*by, "_bucket").orderBy(along(order), *[along(c) for c in tiebreak])
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return out.select(*cols_out, *[
-        F.when(F.col(order).isNotNull(), F.col(f"_o_{v}") + F.sum(v).over(w_in))
-         .alias(f"{prefix}{v}") for v in values],
-        *[F.col(f"_a_{v}").alias(f"tot_{v}") for v in values if totals],
-        *(["_bucket"] if keep_bucket else []))
+    sums = out.select(*cols_out, *[(F.col(f"_o_{v}") + F.sum(v).over(w_in)).alias(f"{prefix}{v}") for v in values],
+                      *[F.col(f"_a_{v}").alias(f"tot_{v}") for v in values if totals],
+                      *(["_bucket"] if keep_bucket else []))
+    missing = df.filter(F.col(order).isNull())
+    return sums.unionByName(missing, allowMissingColumns=True)
 
 
 def exact_quantiles(long_df: DataFrame, by: Sequence[str], value: str,

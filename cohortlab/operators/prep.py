@@ -17,16 +17,13 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import hash_unit
 from ..session import scratch_path
 from .clean import INSULIN
 from .features import MISSING_CATEGORY
-from .ordered import count_below, default_buckets
+from .ordered import by_ranges
 from .profile import MAX_ONE_HOT_CARDINALITY, exact_medians, numeric_columns, string_columns
 from .select import MI_BINS, MI_THRESHOLD, binned_mi
 
-MAX_BROADCAST_DICTIONARY = 1_000_000
-
 
 @dataclass
 class PrepState:
@@ -36,9 +33,9 @@ class PrepState:
     means: dict[str, float]
     one_hot: dict[str, list[str]]
     ordinal: dict[str, str]          # column -> dictionary table path
-    ordinal_sizes: dict[str, int]
     selected: list[str]
     mi: list[tuple] = field(default_factory=list)
+    input_fills: dict[str, float] = field(default_factory=dict)   # medians of the engineered features' inputs
 
     def to_json(self) -> str:
         return json.dumps(self.__dict__, sort_keys=True)
@@ -57,14 +54,19 @@ def one_hot_categories(df: DataFrame, cols: Sequence[str],
     """Sorted category list per column.
 
     The sets are gathered only after a HyperLogLog pass shows every column is
-    near the one-hot limit; a wider column must use the ordinal dictionary.
+    near the limit; a column with more than ``max_card`` values must use the
+    ordinal dictionary.
     """
     est = df.agg(*[F.approx_count_distinct(c, 0.02).alias(f"d{i}") for i, c in enumerate(cols)]).collect()[0]
     wide = [c for i, c in enumerate(cols) if est[f"d{i}"] > 1.25 * max_card]
+    found = {}
+    if not wide:
+        row = df.agg(*[F.sort_array(F.collect_set(c)).alias(f"s{i}") for i, c in enumerate(cols)]).collect()[0]
+        found = {c: list(row[f"s{i}"]) for i, c in enumerate(cols)}
+        wide = [c for c in cols if len(found[c]) > max_card]
     if wide:
         raise ValueError(f"too many categories for one-hot encoding: {wide}; use ordinal()")
-    row = df.agg(*[F.sort_array(F.collect_set(c)).alias(f"s{i}") for i, c in enumerate(cols)]).collect()[0]
-    return {c: list(row[f"s{i}"]) for i, c in enumerate(cols)}
+    return found
 
 
 def one_hot(df: DataFrame, categories: dict[str, list[str]], drop_source: bool = True) -> DataFrame:
@@ -79,40 +81,29 @@ def one_hot(df: DataFrame, categories: dict[str, list[str]], drop_source: bool =
 def ordinal_dictionary(df: DataFrame, col: str, n_buckets: int | None = None) -> DataFrame:
     """(category, idx): 0-based position of each distinct value in sorted order.
 
-    A global sort without one task: cut strings from a deterministic hash
-    sample of the distinct values (collected: about 32 per bucket), buckets by
-    comparison with the cuts, row_number inside a bucket plus the prefix sum
-    of bucket sizes (a table of bucket-count rows).
+    A global sort without one task: the distinct values are dealt by ranges and
+    written once; row_number inside a range plus the prefix sum of range sizes (a
+    table of one row per range).
     """
-    spark = df.sparkSession
-    nb = n_buckets or default_buckets(spark)
     d = df.select(F.col(col).cast("string").alias("category")).filter("category IS NOT NULL").distinct()
-    # a uniform sample of distinct values without counting them first: the
-    # nb*32 values with the smallest hash (top-k, bounded)
-    sample = sorted(r[0] for r in d.withColumn("_h", hash_unit("category", "dict"))
-                    .orderBy("_h", "category").limit(nb * 32).select("category").collect())
-    step = max(1, len(sample) // nb)
-    cuts = sorted(set(sample[step::step]))
-    arr = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<string>")
-    b = count_below(d.withColumn("_cuts", arr), "_cuts", "category", "_b", max(1, len(cuts))).drop("_cuts")
-    sizes = b.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-    offs = sizes.select("_b", F.coalesce(F.sum("_n").over(
-        Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
-    ranked = b.join(F.broadcast(offs), "_b").withColumn(
-        "idx", (F.col("_off") + F.row_number().over(Window.partitionBy("_b").orderBy("category")) - 1)
+    b = by_ranges(d, ["category"], n_buckets)
+    sizes = b.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    offs = sizes.select("_bucket", F.coalesce(F.sum("_n").over(
+        Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
+    ranked = b.join(offs, "_bucket").withColumn(
+        "idx", (F.col("_off") + F.row_number().over(Window.partitionBy("_bucket").orderBy("category")) - 1)
         .cast("long"))
     return ranked.select("category", "idx")
 
 
-def ordinal(df: DataFrame, col: str, dictionary: DataFrame, size: int | None = None) -> DataFrame:
+def ordinal(df: DataFrame, col: str, dictionary: DataFrame) -> DataFrame:
     """Replace ``col`` by its dictionary index, -1 when unknown.
 
-    The dictionary is broadcast only when its measured size is small;
-    otherwise this is a plain shuffle equi-join.
+    The planner broadcasts a dictionary it has measured to be small. Otherwise this is
+    a shuffle equi-join, and adaptive execution splits the rows of a category that is
+    much larger than the others (the kept side of a left join may be split).
     """
     d = dictionary.withColumnRenamed("category", "_cat").withColumnRenamed("idx", "_idx")
-    if size is not None and size <= MAX_BROADCAST_DICTIONARY:
-        d = F.broadcast(d)
     j = df.join(d, F.col(col).cast("string") == F.col("_cat"), "left")
     return j.withColumn(col, F.coalesce(F.col("_idx"), F.lit(-1)).cast("double")).drop("_cat", "_idx")
 
@@ -140,8 +131,6 @@ def fit_prep(df: DataFrame, label: str, key: Sequence[str] = (), exact: bool = F
         aggs.append(F.count(c).alias(f"n{i}"))
         if c != INSULIN and not exact:
             aggs.append(F.percentile_approx(F.col(c).cast("double"), 0.5, 10000).alias(f"m{i}"))
-        if c != INSULIN and exact:   # size check for the exact median, in the same pass
-            aggs.append(F.approx_count_distinct(c, 0.02).alias(f"e{i}"))
     if INSULIN in numeric:
         aggs.append(F.avg(INSULIN).alias("insulin_mean"))
     aggs += [F.approx_count_distinct(c, 0.02).alias(f"d{i}") for i, c in enumerate(categorical)]
@@ -149,8 +138,7 @@ def fit_prep(df: DataFrame, label: str, key: Sequence[str] = (), exact: bool = F
     alive = [c for i, c in enumerate(numeric) if row[f"n{i}"] > 0]
     if exact:
         mcols = [c for c in alive if c != INSULIN]
-        est = {c: row[f"e{numeric.index(c)}"] for c in mcols}
-        medians = ({r["feature"]: r["median"] for r in exact_medians(df, mcols, est).collect()}
+        medians = ({r["feature"]: r["median"] for r in exact_medians(df, mcols).collect()}
                    if mcols else {})
     else:
         medians = {c: row[f"m{i}"] for i, c in enumerate(numeric) if c in alive and c != INSULIN}
@@ -173,12 +161,11 @@ def fit_prep(df: DataFrame, label: str, key: Sequence[str] = (), exact: bool = F
     high = [c for c in categorical if card[c] > max_card]
 
     base = path or scratch_path(spark, f"prep-{uuid.uuid4().hex}")
-    ordinal_paths, ordinal_sizes = {}, {}
+    ordinal_paths = {}
     for c in high:
         p = f"{base}/ordinal_{c}"
         ordinal_dictionary(df, c).write.mode("overwrite").parquet(p)
         ordinal_paths[c] = p
-        ordinal_sizes[c] = spark.read.parquet(p).count()
 
     filled = df.fillna({**medians, **means})
     mi_rows = binned_mi(filled, label, numeric, mi_bins, threshold).collect() if numeric else []
@@ -188,8 +175,7 @@ def fit_prep(df: DataFrame, label: str, key: Sequence[str] = (), exact: bool = F
     selected = [c for c in numeric if c in picked]
     if include_categoricals:
         selected += [f"{c}_{v}" for c in cats for v in cats[c]] + high
-    return PrepState(numeric, categorical, medians, means, cats, ordinal_paths, ordinal_sizes,
-                     selected, mi)
+    return PrepState(numeric, categorical, medians, means, cats, ordinal_paths, selected, mi)
 
 
 def apply_prep(df: DataFrame, state: PrepState, keep: Sequence[str] = ()) -> DataFrame:
@@ -203,9 +189,12 @@ def apply_prep(df: DataFrame, state: PrepState, keep: Sequence[str] = ()) -> Dat
             df = df.withColumn(c, F.lit(MISSING_CATEGORY))
     fills = {c: state.means.get(c, state.medians.get(c, 0.0)) for c in state.numeric}
     df = df.fillna(fills)
-    df = one_hot(df, state.one_hot)
+    # encode only what the selection uses
+    df = one_hot(df, {c: v for c, v in state.one_hot.items() if any(f"{c}_{x}" in state.selected for x in v)})
     for c, p in state.ordinal.items():
-        df = ordinal(df, c, spark.read.parquet(p), state.ordinal_sizes.get(c))
+        if c not in state.selected:
+            continue
+        df = ordinal(df, c, spark.read.parquet(p))
     keep = [c for c in keep if c in df.columns]
     cols = [c for c in state.selected if c in df.columns and c not in keep]
     return df.select(*keep, *cols)

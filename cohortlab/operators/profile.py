@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-from .clean import INSULIN, LABEL
+from .clean import INSULIN, LABEL, nan_to_null
 from .ordered import exact_quantiles
 
 # fixed values: routing and leakage thresholds
@@ -43,33 +43,17 @@ def _stack(wide: DataFrame, names: Sequence[str], fields: Sequence[str], out: st
 def unpivot(df: DataFrame, ids: Sequence[str], cols: Sequence[str],
             name: str = "feature", value: str = "value") -> DataFrame:
     """Long form (ids..., feature, value) with values cast to double."""
-    wide = df.select(*ids, *[F.col(c).cast("double").alias(c) for c in cols])
+    wide = nan_to_null(df.select(*ids, *[F.col(c).cast("double").alias(c) for c in cols]))
     return wide.unpivot(list(ids), list(cols), name, value)
 
 
-# exact medians use Spark's holistic median (a value -> count map per column)
-# only when HyperLogLog bounds every column's distinct values by this
-MEDIAN_MAP_LIMIT = 1_000_000
-
-
-def exact_medians(df: DataFrame, cols: Sequence[str],
-                  estimates: dict[str, int] | None = None) -> DataFrame:
+def exact_medians(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(feature, median): exact medians, linear interpolation between the middle values.
 
-    Behind a size check: if every column has at most ``MEDIAN_MAP_LIMIT``
-    distinct values (HLL estimate, 2% error) one ``median`` aggregate is
-    bounded and cheapest; otherwise distributed order statistics over value
-    counts (bucketed running counts), which never hold a column's values in
-    one buffer.
+    Distributed order statistics over value counts; no column's values are ever
+    held in one buffer, at any size.
     """
-    cols = list(cols)
-    if estimates is None:
-        row = df.agg(*[F.approx_count_distinct(c, 0.02).alias(f"d{i}") for i, c in enumerate(cols)]).collect()[0]
-        estimates = {c: row[f"d{i}"] for i, c in enumerate(cols)}
-    if max(estimates[c] for c in cols) <= MEDIAN_MAP_LIMIT:
-        wide = df.agg(*[F.median(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(cols)])
-        return _stack(wide, cols, ["m"], "feature, median")
-    long = unpivot(df, [], cols)
+    long = unpivot(df, [], list(cols))
     return exact_quantiles(long, ["feature"], "value", 0.5).withColumnRenamed("quantile", "median")
 
 
@@ -87,16 +71,8 @@ def column_medians(df: DataFrame, cols: Sequence[str], exact: bool = True,
     return {c: row[f"m{i}"] for i, c in enumerate(cols)}
 
 
-def fill_medians(df: DataFrame, cols: Sequence[str] | None = None, exact: bool = True,
-                 skip: Sequence[str] = (INSULIN,)) -> tuple[DataFrame, dict]:
-    """Median-fill numeric columns that have any value (insulin is left to ``mean_fill``)."""
-    cols = [c for c in (cols or numeric_columns(df)) if c not in skip]
-    med = {k: v for k, v in column_medians(df, cols, exact).items() if v is not None}
-    return df.fillna(med), med
-
-
 def column_means(df: DataFrame, cols: Sequence[str]) -> dict[str, float | None]:
-    row = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)]).collect()[0]
+    row = nan_to_null(df.select(*cols)).agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)]).collect()[0]
     return {c: row[f"m{i}"] for i, c in enumerate(cols)}
 
 
@@ -107,8 +83,9 @@ def mean_fill(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, dict]:
 
 
 def missingness(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """(column_name, n_rows, n_missing, all_missing) for columns with any NULL."""
+    """(column_name, n_rows, n_missing, all_missing) for columns with any NULL or NaN."""
     cols = list(cols or df.columns)
+    df = nan_to_null(df.select(*cols))
     wide = df.agg(F.count(F.lit(1)).alias("_rows"),
                   *[F.count(F.when(F.col(c).isNull(), 1)).alias(f"m{i}")
                     for i, c in enumerate(cols)])
@@ -120,10 +97,6 @@ def missingness(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
                 .select("column_name", "n_rows", "n_missing", "all_missing"))
 
 
-def all_null_columns(df: DataFrame, cols: Sequence[str]) -> list[str]:
-    return [r["column_name"] for r in missingness(df, cols).filter("all_missing").collect()]
-
-
 def cardinality_routing(df: DataFrame, cols: Sequence[str],
                         max_card: int = MAX_ONE_HOT_CARDINALITY, exact: bool = True) -> DataFrame:
     """(column_name, n_distinct, encoding): <= max_card distinct values -> one_hot, else ordinal.
@@ -164,6 +137,7 @@ def label_correlation(df: DataFrame, label: str = LABEL, cols: Sequence[str] | N
     handled in one aggregate pass.
     """
     cols = list(cols or numeric_columns(df, exclude=list(key)))
+    df = nan_to_null(df.select(*dict.fromkeys([label, *cols])))
     y = F.col(label).cast("double")
     aggs = []
     for i, c in enumerate(cols):

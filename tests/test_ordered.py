@@ -63,16 +63,27 @@ def test_no_single_partition_exchange_over_rows(spark):
             assert "HashAggregate" in lines[i + 1]
 
 
-def test_exact_medians_both_paths_agree(spark, monkeypatch):
+def test_exact_medians(spark):
     from cohortlab.operators import profile
     rnd = np.random.default_rng(5)
     rows = [(float(a), float(b)) for a, b in zip(rnd.normal(size=501).round(3), rnd.integers(0, 9, 501))]
-    df = spark.createDataFrame(rows + [(None, None)], "a double, b double")
-    fast = {r.feature: r.median for r in profile.exact_medians(df, ["a", "b"]).collect()}
-    monkeypatch.setattr(profile, "MEDIAN_MAP_LIMIT", 0)
-    slow = {r.feature: r.median for r in profile.exact_medians(df, ["a", "b"]).collect()}
-    assert fast == slow
-    assert fast["a"] == float(np.median([r[0] for r in rows]))
+    df = spark.createDataFrame(rows + [(None, None), (float("nan"), float("nan"))], "a double, b double")
+    got = {r.feature: r.median for r in profile.exact_medians(df, ["a", "b"]).collect()}
+    assert got == {"a": float(np.median([r[0] for r in rows])), "b": float(np.median([r[1] for r in rows]))}
+
+
+def test_nothing_depends_on_exchange_reuse(spark):
+    from pyspark.sql import functions as F
+    df = spark.range(5000).select((F.col("id") * 7 % 1000 / 8.0).alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("c"))
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        out = cumulative(df, [], "v", ["c"], totals=True)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "lambda" not in plan and "aggregate(" not in plan          # no higher-order function, no cut array
+        got = {r.v: (r.cum_c, r.tot_c) for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+    assert got == {i / 8.0: (5 * (i + 1), 5000) for i in range(1000)}
 
 
 def test_cumulative_tiebreak_gives_row_ranks(spark):
@@ -85,13 +96,12 @@ def test_cumulative_tiebreak_gives_row_ranks(spark):
     assert got == expect
 
 
-def test_null_order_rows_are_spread_not_summed(spark):
+def test_null_order_rows_get_no_sum(spark):
     from pyspark.sql import functions as F
     df = spark.range(1000).select(F.col("id").alias("k"),
                                   F.when(F.col("id") % 3 == 0, F.lit(None)).otherwise(F.col("id") * 1.0)
                                   .alias("v"), F.lit(1).alias("one"))
     out = cumulative(df, [], "v", ["one"], n_buckets=4, keep_bucket=True)
-    nulls = out.filter("v IS NULL")
-    assert nulls.filter("cum_one IS NOT NULL").count() == 0
-    assert nulls.select("_bucket").distinct().count() > 1          # spread over pseudo-buckets
+    assert out.count() == 1000
+    assert out.filter("v IS NULL AND cum_one IS NOT NULL").count() == 0
     assert out.agg(F.max("cum_one")).collect()[0][0] == 666        # non-null rows only

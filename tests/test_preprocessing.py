@@ -32,7 +32,7 @@ def test_one_hot_and_ordinal(spark):
     dic = prep.ordinal_dictionary(df, "d", n_buckets=2)
     assert sorted((r.category, r.idx) for r in dic.collect()) == [("x", 0), ("y", 1), ("z", 2)]
     new = spark.createDataFrame([("y",), ("q",)], "d string")
-    assert [r.d for r in prep.ordinal(new, "d", dic, 3).collect()] == [1.0, -1.0]
+    assert [r.d for r in prep.ordinal(new, "d", dic).collect()] == [1.0, -1.0]
 
 
 def test_ordinal_dictionary_many_values(spark):
