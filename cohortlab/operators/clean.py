@@ -70,6 +70,15 @@ def canonicalize(df: DataFrame) -> DataFrame:
     return df.toDF(*names)
 
 
+def nan_to_null(df: DataFrame) -> DataFrame:
+    """NaN counts as missing: float and double columns get NULL instead (one projection at the scan)."""
+    floats = {f.name for f in df.schema if f.dataType.typeName() in ("double", "float")}
+    if not floats:
+        return df
+    return df.select(*[F.when(~F.isnan(F.col(f"`{c}`")), F.col(f"`{c}`")).alias(c) if c in floats else F.col(f"`{c}`")
+                       for c in df.columns])
+
+
 def harmonise_names(df: DataFrame) -> DataFrame:
     """glucose -> fasting_glucose and insulin -> fasting_insulin, only if the target is absent."""
     df = canonicalize(df)

@@ -11,9 +11,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
-from ..operators.clean import canonicalize
+from ..operators.clean import canonical_name, canonicalize, nan_to_null
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -25,21 +25,31 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 def read_cohort_csv(spark: SparkSession, path: str, schema: StructType | None = None,
                     quarantine_column: str | None = None) -> DataFrame:
-    """Header CSV with an explicit schema; names canonicalised.
+    """Header CSV; columns are found by canonical name, in any order, and typed by ``schema``.
 
-    ``quarantine_column`` keeps malformed lines (PERMISSIVE mode) in that
+    The header alone is read first (no data pass). Columns the schema does not name are
+    dropped, columns the file lacks are NULL; without a schema every column is text. NaN
+    becomes NULL. ``quarantine_column`` keeps malformed lines (PERMISSIVE mode) in that
     column instead of failing the batch. A missing path raises FileNotFoundError.
     """
     if not path_exists(spark, path):
-        raise FileNotFoundError(f"Data file not found: {path}")
-    r = spark.read.option("header", True).option("mode", "PERMISSIVE")
-    if schema is not None:
-        if quarantine_column:
-            schema = StructType(schema.fields).add(quarantine_column, "string")
-            r = r.option("columnNameOfCorruptRecord", quarantine_column)
-        r = r.schema(schema)
-    df = r.csv(path)
-    return canonicalize(df) if schema is None else df
+        raise FileNotFoundError(f"no CSV input at {path}")
+    reader = spark.read.option("header", True).option("mode", "PERMISSIVE")
+    header = reader.csv(path).columns
+    if schema is None:
+        return canonicalize(reader.csv(path))
+    wanted = {canonical_name(f.name): f for f in schema}
+    fields = [StructField(h, wanted[canonical_name(h)].dataType if canonical_name(h) in wanted else StringType())
+              for h in header]
+    if quarantine_column:
+        fields.append(StructField(quarantine_column, StringType()))
+        reader = reader.option("columnNameOfCorruptRecord", quarantine_column)
+    # the header of every file is held against the schema instead of being skipped
+    df = canonicalize(reader.schema(StructType(fields)).option("enforceSchema", False).csv(path))
+    extra = [quarantine_column] if quarantine_column else []
+    return nan_to_null(df.select(*[
+        (F.col(c) if c in df.columns else F.lit(None).cast(f.dataType)).alias(f.name) for c, f in wanted.items()],
+        *[F.col(canonical_name(c)).alias(c) for c in extra]))
 
 
 def write_csv(df: DataFrame, path: str) -> None:

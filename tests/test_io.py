@@ -24,6 +24,13 @@ def test_csv_header_names_canonicalised_and_bad_lines_kept(spark, tmp_path):
     assert rows[3].age is None and rows[3]._bad == "3,abc,"
 
 
+def test_csv_columns_are_found_by_name_and_nan_is_missing(spark, tmp_path):
+    p = tmp_path / "batch.csv"
+    p.write_text("BMI,Age\n30,55\nNaN,40\n")
+    schema = StructType([StructField("age", DoubleType()), StructField("bmi", DoubleType()), StructField("ts", LongType())])
+    assert [tuple(r) for r in io.read_cohort_csv(spark, str(p), schema).collect()] == [(55.0, 30.0, None), (40.0, None, None)]
+
+
 def test_metric_appends_stay_apart(spark, tmp_path):
     m = spark.createDataFrame([("auc", 0.8)], "metric string, value double")
     for run in ("r1", "r2"):
