@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .curves import roc_auc, score_curve
@@ -33,18 +33,19 @@ def threshold_metrics(df: DataFrame, y: str = "y", p: str = "p", t: float = 0.5,
                       by: Sequence[str] = ()) -> DataFrame:
     """accuracy, precision, recall, F1 (0 on 0/0) and MCC (0 when undefined) at p >= t."""
     c = confusion_counts(df, y, p, t, by)
+    return c.select(*by, "tp", "fp", "fn", "tn", *_threshold_columns())
+
+
+def _threshold_columns() -> list:
+    """accuracy, precision, recall, f1 and mcc of the columns tp, fp, fn, tn."""
     tp, fp, fn, tn = (F.col(x) for x in ("tp", "fp", "fn", "tn"))
     n = tp + fp + fn + tn
     mcc_den = F.sqrt((tp + fp).cast("double") * (tp + fn).cast("double")
                      * (tn + fp).cast("double") * (tn + fn).cast("double"))
     mcc = F.coalesce(F.try_divide(tp.cast("double") * tn.cast("double")
                                   - fp.cast("double") * fn.cast("double"), mcc_den), F.lit(0.0))
-    return c.select(*by, "tp", "fp", "fn", "tn",
-                    _div(tp + tn, n).alias("accuracy"),
-                    _div(tp, tp + fp).alias("precision"),
-                    _div(tp, tp + fn).alias("recall"),
-                    _div(2 * tp, 2 * tp + fp + fn).alias("f1"),
-                    mcc.alias("mcc"))
+    return [_div(tp + tn, n).alias("accuracy"), _div(tp, tp + fp).alias("precision"),
+            _div(tp, tp + fn).alias("recall"), _div(2 * tp, 2 * tp + fp + fn).alias("f1"), mcc.alias("mcc")]
 
 
 def brier(df: DataFrame, y: str = "y", p: str = "p", by: Sequence[str] = ()) -> DataFrame:
@@ -65,12 +66,10 @@ def reliability_bins(df: DataFrame, y: str = "y", p: str = "p",
     keys = list(by)
     hit = (F.col(y) == (F.col(p) >= 0.5).cast("int")).cast("double")
     binned = df.select(*keys, y, p, ece_bin(p).alias("bin"), hit.alias("_hit"))
-    total = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n_all"))
-    g = (binned.filter(F.col("bin").isNotNull()).groupBy(*keys, "bin")
-               .agg(F.count(F.lit(1)).alias("n"), F.avg("_hit").alias("bin_acc"),
-                    F.avg(p).alias("bin_conf")))
-    # totals: one row per group (a scalar subquery when ungrouped)
-    g = g.join(F.broadcast(total), on=keys) if keys else g.withColumn("_n_all", total.scalar())
+    g = (binned.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("n"), F.avg("_hit").alias("bin_acc"),
+                                          F.avg(p).alias("bin_conf")))
+    # the total of a group is the sum over its bins, that of unbinned rows included: eleven rows a group
+    g = g.withColumn("_n_all", F.sum("n").over(Window.partitionBy(*(keys or [F.lit(0)])))).filter(F.col("bin").isNotNull())
     return g.select(*by, "bin", "n", "bin_acc", "bin_conf",
                     (F.col("n") / F.col("_n_all")).alias("weight"))
 
@@ -145,50 +144,69 @@ def last_n(events: DataFrame, n: int = 500, ts: str = "ts", tie: str = "trace_id
     return events.orderBy(F.col(ts).desc(), F.col(tie).desc()).limit(n)
 
 
+def _cells(df: DataFrame, y: str, p: str, t: float, keys: list[str]) -> DataFrame:
+    """One row per (keys, confidence bin, none included): every sum the bin-wise and thresholded metrics need."""
+    pred, pos = F.col(p) >= t, F.col(y) == 1
+    hit = (F.col(y) == (F.col(p) >= 0.5).cast("int")).cast("double")
+    return df.groupBy(*keys, ece_bin(p).alias("_bin")).agg(
+        F.count(F.when(pred & pos, 1)).alias("tp"), F.count(F.when(pred & ~pos, 1)).alias("fp"),
+        F.count(F.when(~pred & pos, 1)).alias("fn"), F.count(F.when(~pred & ~pos, 1)).alias("tn"),
+        F.count(F.lit(1)).alias("_n"), F.avg(hit).alias("_acc"), F.avg(p).alias("_conf"),
+        F.sum(F.pow(F.col(p) - F.col(y), 2)).alias("_sq"), F.count(F.col(p) - F.col(y)).alias("_n_sq"))
+
+
 def evaluate(df: DataFrame, y: str = "y", p: str = "p", by: Sequence[str] = (),
              t: float = 0.5) -> DataFrame:
     """Long metric table (by..., metric, value): the ten validation metrics.
 
-    Each family is one aggregate over the score table, unpivoted to long rows;
-    the families are unioned (no join between them).
+    Two aggregates over the scores: one over confidence bins (thresholded metrics,
+    Brier, calibration error), one over distinct scores (the curve areas).
     """
     from .curves import curve_summary
 
     keys = list(by)
-    curve = score_curve(df, y, p, keys)
-    tm = threshold_metrics(df, y, p, t, keys)
-    parts = [
-        tm.selectExpr(*[f"`{k}`" for k in keys],
-                      "stack(5, 'accuracy', accuracy, 'precision', precision, 'recall', recall,"
-                      " 'f1', f1, 'mcc', mcc) AS (metric, value)"),
-        curve_summary(curve).selectExpr(*[f"`{k}`" for k in keys],
-                                        "stack(3, 'roc_auc', roc_auc, 'pr_auc', pr_auc,"
-                                        " 'average_precision', average_precision) AS (metric, value)"),
-        brier(df, y, p, keys).select(*keys, F.lit("brier_score").alias("metric"),
-                                     F.col("brier_score").alias("value")),
-        ece(df, y, p, keys).select(*keys, F.lit("ece").alias("metric"), F.col("ece").alias("value")),
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.withColumn("value", F.col("value").cast("double"))
-
-
-def validate_external(df: DataFrame, baseline_auc: float | None, y: str = "y", p: str = "p",
+    quoted = [f"`{k}`" for k in keys]
+    gap = F.when(F.col("_bin").isNotNull(), F.abs(F.col("_acc") - F.col("_conf")) * F.col("_n"))
+    total = _cells(df, y, p, t, keys).groupBy(*keys).agg(
+        *[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "tn", "_sq", "_n_sq", "_n")], F.sum(gap).alias("_gap"))
+    binned = total.select(
+        *keys, *_threshold_columns(),
+        F.try_divide(F.col("_sq"), F.col("_n_sq").cast("double")).alias("brier_score"),
+        F.coalesce(F.try_divide(F.col("_gap"), F.col("_n").cast("double")), F.lit(0.0)).alias("ece"))
+    names = ("accuracy", "precision", "recall", "f1", "mcc", "brier_score", "ece")
+    areas = ("roc_auc", "pr_auc", "average_precision")
+
+    def long(wide, metrics):
+        return wide.selectExpr(*quoted, f"stack({len(metrics)}, "
+                               + ", ".join(f"'{m}', CAST({m} AS DOUBLE)" for m in metrics) + ") AS (metric, value)")
+
+    return long(binned, names).unionByName(long(curve_summary(score_curve(df, y, p, keys)), areas))
+
+
+def validate_external(df: DataFrame, baseline_auc, y: str = "y", p: str = "p",
                       threshold: float = 0.5, max_drop: float = 0.10,
-                      raise_on_fail: bool = False, auc: float | None = None) -> DataFrame:
-    """AUC, Brier and accuracy on another cohort; fails when baseline - AUC > max_drop
-    (an absolute AUC difference). ``auc`` may be passed when already computed."""
-    other = df.agg(F.avg(F.pow(F.col(p) - F.col(y), 2)).alias("brier_score"),
-                   F.avg((F.col(y) == (F.col(p) >= threshold).cast("int")).cast("double"))
-                   .alias("accuracy"))
-    row_auc = auc if auc is not None else roc_auc(score_curve(df, y, p)).collect()[0]["roc_auc"]
-    base = F.lit(baseline_auc).cast("double")
-    out = other.select(F.lit(row_auc).cast("double").alias("roc_auc"), "brier_score", "accuracy",
-                       base.alias("baseline_auc"),
-                       (base - F.lit(row_auc)).alias("auc_drop"))
-    out = out.withColumn("passed", F.coalesce(F.col("auc_drop") <= max_drop, F.lit(True)))
-    if raise_on_fail and baseline_auc is not None and baseline_auc - row_auc > max_drop:
-        raise RuntimeError(f"external ROC AUC dropped by more than {max_drop:.2f} "
-                           f"(baseline={baseline_auc:.3f}, external={row_auc:.3f})")
+                      raise_on_fail: bool = False, by: Sequence[str] = ()) -> DataFrame:
+    """AUC, Brier and accuracy on another cohort (or several, ``by``) against a stored baseline.
+
+    ``passed`` only when the AUC is defined and baseline - AUC <= max_drop (an absolute
+    difference); a cohort of one class fails with ``status`` 'undefined'. ``baseline_auc``
+    is a number or a column.
+    """
+    keys = list(by)
+    # both classes or the areas are undefined; counted with the other sums in one aggregate
+    other = df.groupBy(*keys).agg(
+        F.avg(F.pow(F.col(p) - F.col(y), 2)).alias("brier_score"),
+        F.avg((F.col(y) == (F.col(p) >= threshold).cast("int")).cast("double")).alias("accuracy"))
+    auc = roc_auc(score_curve(df, y, p, keys))
+    joined = other.join(auc, keys, "left") if keys else other.withColumn("roc_auc", auc.scalar())
+    base = baseline_auc if isinstance(baseline_auc, F.Column) else F.lit(baseline_auc).cast("double")
+    out = joined.select(*keys, "roc_auc", "brier_score", "accuracy", base.alias("baseline_auc"),
+                        (base - F.col("roc_auc")).alias("auc_drop"))
+    passed = F.coalesce(F.col("auc_drop") <= max_drop, F.lit(False))
+    out = out.withColumn("passed", passed).withColumn(
+        "status", F.when(F.col("auc_drop").isNull(), "undefined").when(passed, "pass").otherwise("fail"))
+    if raise_on_fail:
+        for r in out.filter(~F.col("passed")).limit(1).collect():
+            raise RuntimeError(f"external cohort not accepted: {r['status']}, AUC {r['roc_auc']} against a baseline of"
+                               f" {r['baseline_auc']} (allowed drop {max_drop})")
     return out

@@ -127,28 +127,37 @@ def union_metrics(spark, sf_dir):
 
 
 @query("external_guard", with_ctes(LABELLED, SCORES, f"""
-sp AS (SELECT *, {_split_case()} AS split FROM scores),
+sp0 AS (SELECT *, {_split_case()} AS split FROM scores),
+sp AS (SELECT 'validation' AS split, y, p FROM sp0 WHERE split = 'validation'
+       UNION ALL SELECT 'as_is', y, p FROM sp0 WHERE split = 'test'
+       UNION ALL SELECT 'reversed', y, 1 - p FROM sp0 WHERE split = 'test'
+       UNION ALL SELECT 'one_class', y, p FROM sp0 WHERE split = 'test' AND y = 1),
 gcounts AS (SELECT split, p, CAST(sum(y) AS BIGINT) AS pos, CAST(sum(1 - y) AS BIGINT) AS neg
             FROM sp GROUP BY split, p),
 gcurve AS (SELECT split, pos, neg,
   sum(pos) OVER (PARTITION BY split ORDER BY p DESC ROWS UNBOUNDED PRECEDING) AS tp,
   sum(pos) OVER (PARTITION BY split) AS n_pos, sum(neg) OVER (PARTITION BY split) AS n_neg FROM gcounts),
 gauc AS (SELECT split, CAST(sum(CAST(neg AS HUGEINT) * (2 * (tp - pos) + pos)) AS DOUBLE)
-  / (2.0 * max(n_pos) * max(n_neg)) AS roc_auc FROM gcurve GROUP BY split)""", body=(
-    "SELECT round(t.roc_auc, 6) AS roc_auc, round(b.brier_score, 6) AS brier_score,"
+  / NULLIF(2.0 * max(n_pos) * max(n_neg), 0) AS roc_auc FROM gcurve GROUP BY split),
+gsum AS (SELECT split, avg(pow(p - y, 2)) AS brier_score,
+  avg(CASE WHEN y = CAST(p >= 0.5 AS INTEGER) THEN 1.0 ELSE 0.0 END) AS accuracy FROM sp GROUP BY split)""", body=(
+    "SELECT t.split AS cohort_name, round(t.roc_auc, 6) AS roc_auc, round(b.brier_score, 6) AS brier_score,"
     " round(b.accuracy, 6) AS accuracy, round(v.roc_auc, 6) AS baseline_auc,"
-    " round(v.roc_auc - t.roc_auc, 6) AS auc_drop, v.roc_auc - t.roc_auc <= 0.1 AS passed"
-    " FROM gauc t, gauc v, (SELECT avg(pow(p - y, 2)) AS brier_score,"
-    " avg(CASE WHEN y = CAST(p >= 0.5 AS INTEGER) THEN 1.0 ELSE 0.0 END) AS accuracy FROM sp"
-    " WHERE split = 'test') b WHERE t.split = 'test' AND v.split = 'validation'")))
+    " round(v.roc_auc - t.roc_auc, 6) AS auc_drop, coalesce(v.roc_auc - t.roc_auc <= 0.1, false) AS passed,"
+    " CASE WHEN t.roc_auc IS NULL THEN 'undefined' WHEN v.roc_auc - t.roc_auc <= 0.1 THEN 'pass' ELSE 'fail' END"
+    " AS status FROM gauc t JOIN gsum b ON t.split = b.split, gauc v"
+    " WHERE t.split <> 'validation' AND v.split = 'validation'")))
 def external_guard(spark, sf_dir):
+    """Three cohorts against the validation AUC: the test split, its scores turned round, its positives alone."""
     s = split.hash_split(frames.scores(spark, sf_dir), "patient_id")
-    # both AUCs in one grouped curve job
-    aucs = {r["split"]: r["roc_auc"] for r in metrics.auc_by(
-        s.filter(F.col("split").isin("validation", "test")), ["split"]).collect()}
-    out = metrics.validate_external(s.filter("split = 'test'"), aucs["validation"], auc=aucs["test"])
-    return out.select(*[R(c).alias(c) for c in ("roc_auc", "brier_score", "accuracy",
-                                                "baseline_auc", "auc_drop")], "passed")
+    base = metrics.auc_by(s.filter("split = 'validation'"), []).scalar()
+    test = s.filter("split = 'test'").select("y", "p", F.explode(F.array(
+        F.lit("as_is"), F.lit("reversed"), F.lit("one_class"))).alias("cohort_name"))
+    cases = test.filter("cohort_name <> 'one_class' OR y = 1").withColumn(
+        "p", F.when(F.col("cohort_name") == "reversed", 1 - F.col("p")).otherwise(F.col("p")))
+    out = metrics.validate_external(cases, base, by=["cohort_name"])
+    return out.select("cohort_name", *[R(c).alias(c) for c in ("roc_auc", "brier_score", "accuracy",
+                                                "baseline_auc", "auc_drop")], "passed", "status")
 
 
 # ---------------------------------------------------------------- sources and sinks
@@ -163,12 +172,44 @@ CSV_SCHEMA = StructType([
 @query("csv_scan", with_ctes(body=(
     "SELECT patient_id, age, fasting_glucose, fasting_insulin, bmi, sex, segment FROM cohort")))
 def csv_scan(spark, sf_dir):
-    """Cohort written as header CSV to the shared folder, read back with an explicit schema."""
+    """Cohort written as header CSV, columns in another order under source-style names; read back by schema."""
     path = scratch_path(spark, f"csv-{uuid.uuid4().hex}")
-    io.write_csv(cohort(spark, sf_dir).select(*CSV_SCHEMA.fieldNames()), path)
+    names = list(reversed(CSV_SCHEMA.fieldNames()))
+    io.write_csv(cohort(spark, sf_dir).select(*[F.col(c).alias(c.replace("_", "-").title()) for c in names]), path)
     return io.read_cohort_csv(spark, path, CSV_SCHEMA)
 
 
+@query("csv_quarantine", with_ctes(body=(
+    "SELECT patient_id, CASE WHEN patient_id % 50 = 0 THEN NULL ELSE age END AS age, bmi,"
+    " patient_id % 50 = 0 AS malformed FROM cohort")))
+def csv_quarantine(spark, sf_dir):
+    """Batch CSV in which every fiftieth line has an unreadable age: the line is kept and marked, the batch goes on."""
+    path = scratch_path(spark, f"csv-{uuid.uuid4().hex}")
+    c = cohort(spark, sf_dir).select("bmi", F.when(F.col("patient_id") % 50 == 0, F.lit("n/a")).otherwise(
+        F.col("age").cast("string")).alias("age"), "patient_id")
+    io.write_csv(c, path)
+    schema = StructType([f for f in CSV_SCHEMA if f.name in ("patient_id", "age", "bmi")])
+    df = io.read_cohort_csv(spark, path, schema, quarantine_column="_line")
+    return df.select("patient_id", "age", "bmi", F.col("_line").isNotNull().alias("malformed"))
+
+
+@query("nan_is_missing", with_ctes(body=(
+    "SELECT 'bmi' AS column_name, count(*) - count(x) AS n_missing, median(x) AS median, round(avg(x), 6) AS mean,"
+    " round(corr(x, g), 6) AS corr FROM (SELECT CASE WHEN patient_id % 7 = 0 THEN NULL ELSE bmi END AS x,"
+    " fasting_glucose AS g FROM cohort)")))
+def nan_is_missing(spark, sf_dir):
+    """bmi with NaN in place of every seventh value: counted, left out of median, mean and correlation."""
+    from ..operators import profile
+    c = cohort(spark, sf_dir).select("patient_id", "fasting_glucose", F.when(
+        F.col("patient_id") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("bmi")).alias("bmi"))
+    miss = profile.missingness(c, ["bmi"]).select("column_name", "n_missing")
+    med = profile.exact_medians(c, ["bmi"]).select(F.col("feature").alias("column_name"), "median")
+    corr = profile.label_correlation(c, "fasting_glucose", ["bmi"]).select(F.col("feature").alias("column_name"), "corr")
+    mean = profile.column_means(c, ["bmi"])["bmi"]
+    return miss.join(med, "column_name").join(corr, "column_name").select(
+        "column_name", "n_missing", "median", R(F.lit(mean)).alias("mean"), R("corr").alias("corr"))
+
+
 @query("metrics_append", with_ctes(LABELLED, SCORES, _CURVE_ALL, _REL_SQL, body=(
     "SELECT e.metric, e.value, r.run_id, 'bmi_logistic' AS model FROM (" + _EVAL_BODY + ") e"
     " CROSS JOIN (VALUES ('run-a'), ('run-b')) r(run_id)")))

@@ -22,6 +22,15 @@ def test_missing_required_column_is_quarantined_not_fatal(spark):
     assert r.status == "quarantined" and r.reason == "missing_fasting_glucose"
 
 
+def test_external_guard_on_one_class(spark):
+    import pytest
+    df = spark.createDataFrame([(1, 0.9), (1, 0.2)], "y int, p double")
+    r = metrics.validate_external(df, 0.8).collect()[0]
+    assert (r.passed, r.status, r.roc_auc) == (False, "undefined", None)
+    with pytest.raises(RuntimeError):
+        metrics.validate_external(df, 0.8, raise_on_fail=True)
+
+
 def test_risk_levels(spark):
     from cohortlab.functions.columns import risk_level
     df = spark.createDataFrame([(0.1,), (0.33,), (0.66,), (0.67,)], "p double")
