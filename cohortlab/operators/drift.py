@@ -1,8 +1,8 @@
 """Two-sample Kolmogorov-Smirnov drift per feature, and alert rows.
 
-Both samples are unpivoted to (feature, value), counted per distinct value
-and side, and the two empirical CDFs are running sums over value within
-each feature (bucketed, no single-partition window). D is the largest gap.
+Both samples are unpivoted to (feature, value) and counted per distinct value;
+the two empirical CDFs are running sums over value within each feature (by
+ranges, no single-partition window). D is the largest gap.
 Spark's own KS test is one-sample only, so this is ours.
 """
 
@@ -29,60 +29,61 @@ def kolmogorov_sf(lam: F.Column, terms: int = KS_TERMS) -> F.Column:
     return F.when(lam < 0.2, F.lit(1.0)).otherwise(F.least(F.greatest(s, F.lit(0.0)), F.lit(1.0)))
 
 
+def _long(df: DataFrame, ids: Sequence[str], feats: Sequence[str]) -> DataFrame:
+    return unpivot(df.select(*ids, *feats), list(ids), list(feats)).filter(F.col("value").isNotNull())
+
+
+def value_counts(df: DataFrame, features: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """(by..., feature, value, n): what a sample's empirical distribution needs; NULL and NaN are left out."""
+    return _long(df, by, features).groupBy(*by, "feature", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def ks_from_counts(ref: DataFrame, new: DataFrame, by: Sequence[str] = (), alpha: float = KS_ALPHA) -> DataFrame:
+    """KS of each (by..., feature) group of ``new`` against the feature's one reference, both as value counts.
+
+    Between two values of the new sample its distribution is constant and the reference's
+    rises, so the largest gap is at a new value or just before one. The reference's running
+    sum is taken once, at its own values and at the distinct new ones; each group then
+    looks it up by an equi-join: linear in both tables, no reference copy per group.
+    """
+    by, keys = list(by), [*by, "feature"]
+    points = (ref.select("feature", "value", F.col("n").alias("c_ref"), F.lit(0).alias("_new"))
+              .unionByName(new.select("feature", "value", F.lit(0).cast("long").alias("c_ref"), F.lit(1).alias("_new")))
+              .groupBy("feature", "value").agg(F.sum("c_ref").alias("c_ref"), F.max("_new").alias("_new")))
+    at = (cumulative(points, ["feature"], "value", ["c_ref"], totals=True).filter(F.col("_new") == 1)
+          .select("feature", "value", "c_ref", "cum_c_ref", F.col("tot_c_ref").alias("n_ref")))
+    own = cumulative(new.withColumnRenamed("n", "c_new"), keys, "value", ["c_new"], totals=True)
+    both = (own.join(at, ["feature", "value"]).withColumnRenamed("tot_c_new", "n_new")
+            .filter((F.col("n_ref") > 0) & (F.col("n_new") > 0)))
+
+    def gap(r, n):
+        return F.abs(r / F.col("n_ref") - n / F.col("n_new"))
+
+    here = gap(F.col("cum_c_ref"), F.col("cum_c_new"))
+    before = gap(F.col("cum_c_ref") - F.col("c_ref"), F.col("cum_c_new") - F.col("c_new"))
+    d = both.groupBy(*keys).agg(F.max(F.greatest(here, before)).alias("d"), F.first("n_ref").alias("n_ref"),
+                                F.first("n_new").alias("n_new"))
+    en = F.col("n_ref") * F.col("n_new") / (F.col("n_ref") + F.col("n_new"))
+    lam = d.select("*", (F.col("d") * F.sqrt(en)).alias("_lam"))
+    withp = lam.select(*keys, "d", "n_ref", "n_new", kolmogorov_sf(F.col("_lam")).alias("p_value"))
+    return withp.withColumn("drifted", F.col("p_value") < alpha)
+
+
 def ks_drift(ref: DataFrame, new: DataFrame, features: Sequence[str],
-             alpha: float = KS_ALPHA, n_buckets: int | None = None,
-             by: Sequence[str] = ()) -> DataFrame:
+             alpha: float = KS_ALPHA, by: Sequence[str] = ()) -> DataFrame:
     """(by..., feature, d, n_ref, n_new, p_value, drifted) for features in both samples.
 
-    NULLs are dropped per feature; a feature with an empty side is skipped.
-    With ``by`` (e.g. a window), ``new`` is tested group by group against the
-    one reference: reference value counts are joined to each (group, feature)
-    -- fan-out bounded by the number of groups -- and all groups run in one plan.
-    p uses the asymptotic distribution with n_eff = n_ref*n_new/(n_ref+n_new);
-    the exact small-sample p of some libraries can differ near the cut.
+    NULLs and NaNs are dropped per feature; a feature with an empty side is skipped.
+    With ``by`` (e.g. a window), ``new`` is tested group by group against the one
+    reference, all groups in one plan. p uses the asymptotic distribution with
+    n_eff = n_ref*n_new/(n_ref+n_new); the exact small-sample p of some libraries
+    can differ near the cut.
     """
-    by = list(by)
     feats = [f for f in features if f in ref.columns and f in new.columns]
     if not feats:
         return ref.sparkSession.createDataFrame(
             [], "feature string, d double, n_ref bigint, n_new bigint, p_value double, drifted boolean")
-
-    def clean(df):
-        return df.filter(F.col("value").isNotNull() & ~F.isnan("value"))
-
-    keys = [*by, "feature"]
-    if not by:
-        # one aggregation over both samples, tagged by side
-        long = (clean(unpivot(ref.select(*feats), [], feats)).withColumn("_side", F.lit(0))
-                .unionByName(clean(unpivot(new.select(*feats), [], feats)).withColumn("_side", F.lit(1))))
-        counts = long.groupBy("feature", "value").agg(
-            F.count(F.when(F.col("_side") == 0, 1)).alias("c_ref"),
-            F.count(F.when(F.col("_side") == 1, 1)).alias("c_new"))
-    else:
-        ref_counts = (clean(unpivot(ref.select(*feats), [], feats))
-                      .groupBy("feature", "value").agg(F.count(F.lit(1)).alias("c_ref"))
-                      .withColumn("c_new", F.lit(0).cast("long")))
-        new_counts = (clean(unpivot(new.select(*by, *feats), by, feats))
-                      .groupBy(*by, "feature", "value").agg(F.count(F.lit(1)).alias("c_new"))
-                      .withColumn("c_ref", F.lit(0).cast("long")))
-        groups = new.select(*by).distinct().withColumn(
-            "feature", F.explode(F.array(*[F.lit(f) for f in feats])))
-        ref_counts = ref_counts.join(F.broadcast(groups), on="feature")
-        counts = (ref_counts.unionByName(new_counts).groupBy(*keys, "value")
-                  .agg(F.sum("c_ref").alias("c_ref"), F.sum("c_new").alias("c_new")))
-    # running counts and per-(group, feature) totals from the same bucketed pass
-    cum = cumulative(counts, keys, "value", ["c_ref", "c_new"], n_buckets=n_buckets, totals=True)
-    gap = (cum.withColumnRenamed("tot_c_ref", "n_ref").withColumnRenamed("tot_c_new", "n_new")
-              .filter((F.col("n_ref") > 0) & (F.col("n_new") > 0))
-              .select(*keys, "n_ref", "n_new",
-                      F.abs(F.col("cum_c_ref") / F.col("n_ref")
-                            - F.col("cum_c_new") / F.col("n_new")).alias("gap")))
-    d = gap.groupBy(*keys).agg(F.max("gap").alias("d"), F.first("n_ref").alias("n_ref"),
-                               F.first("n_new").alias("n_new"))
-    en = F.col("n_ref") * F.col("n_new") / (F.col("n_ref") + F.col("n_new"))
-    lam = d.select("*", (F.col("d") * F.sqrt(en)).alias("_lam"))
-    withp = lam.select(*keys, "d", "n_ref", "n_new", kolmogorov_sf(F.col("_lam")).alias("p_value"))
-    return withp.withColumn("drifted", F.col("p_value") < alpha)
+    return ks_from_counts(value_counts(ref, feats), value_counts(new, feats, by), by, alpha)
 
 
 def drift_alerts(ks: DataFrame, at: F.Column | None = None, by: Sequence[str] = ()) -> DataFrame:

@@ -5,8 +5,9 @@ buffers (last 500 events, last 200 rows for drift). Here the log is a file
 stream: events are scored and appended by a checkpointed Parquet sink,
 request metrics are event-time tumbling windows with a watermark (late rows
 past the watermark are dropped, each closed window is emitted once), replays
-are de-duplicated by trace id within the watermark, and drift is tested per
-closed window in ``foreachBatch`` with an idempotent, batch-keyed alert sink.
+are de-duplicated by trace id within the watermark, and drift is tested once
+per closed window from value counts kept in the streaming state, with an
+idempotent, batch-keyed sink.
 """
 
 from __future__ import annotations
@@ -19,7 +20,8 @@ from pyspark.sql.types import (DoubleType, LongType, StringType, StructField, St
                                TimestampNTZType)
 
 from ..functions.columns import risk_level
-from ..operators.drift import drift_alerts, ks_drift
+from ..operators.drift import drift_alerts, ks_from_counts
+from ..operators.score import score_all
 
 EVENT_SCHEMA = StructType([
     StructField("event_id", LongType()), StructField("ts", TimestampNTZType()),
@@ -27,12 +29,24 @@ EVENT_SCHEMA = StructType([
     StructField("value", DoubleType()), StructField("props", StringType())])
 
 
-def read_event_stream(spark: SparkSession, sf_dir: str, max_files: int | None = None) -> DataFrame:
-    """File stream over ``events.parquet`` in the table folder (other tables are filtered out)."""
-    r = (spark.readStream.schema(EVENT_SCHEMA).option("pathGlobFilter", "events.parquet"))
+def read_event_stream(spark: SparkSession, table: str, max_files: int | None = None) -> DataFrame:
+    """File stream over an event table: a folder of Parquet files, or a single file.
+
+    A folder is watched for new files; a single file is streamed from its own folder by
+    its name. A path that does not exist is an error, not an empty stream.
+    """
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(table)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(where):
+        raise FileNotFoundError(f"no event table at {table}")
+    r = spark.readStream.schema(EVENT_SCHEMA)
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
-    return r.parquet(sf_dir)
+    if fs.getFileStatus(where).isDirectory():
+        return r.parquet(table)
+    folder, _, name = table.rpartition("/")
+    return r.option("pathGlobFilter", name).parquet(folder)
 
 
 def to_predictions(events: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -79,19 +93,58 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "app
     return q
 
 
-def drift_sink(reference: DataFrame, features: Sequence[str], path: str, window: str = "1 day",
-               min_rows: int = 50, alpha: float = 0.01):
-    """``foreachBatch`` function: per window in the batch with >= min_rows rows, KS
-    against the reference; alerts are written under ``batch_id=<id>`` with overwrite,
-    so a replayed batch rewrites, never duplicates."""
-    feats = list(features)
+ALL_ROWS = "_rows"    # pseudo-feature that counts the events of a window
+
+
+def window_counts(pred: DataFrame, features: Sequence[str], window: str = "1 day", delay: str = "1 hour") -> DataFrame:
+    """(window_start, feature, value, n) of each window, emitted once, when the watermark has passed it.
+
+    The counts live in the streaming state across batches and restarts, so a window may
+    arrive in any number of pieces. ``ALL_ROWS`` counts the events whatever they hold.
+    """
+    stack = ", ".join([f"'{f}', CAST(`{f}` AS DOUBLE)" for f in features] + [f"'{ALL_ROWS}', CAST(0 AS DOUBLE)"])
+    long = (pred.withWatermark("ts", delay)
+            .selectExpr("ts", f"stack({len(features) + 1}, {stack}) AS (feature, value)")
+            .filter("value IS NOT NULL AND NOT isnan(value)"))
+    g = long.groupBy(F.window("ts", window), "feature", "value").agg(F.count(F.lit(1)).alias("n"))
+    return g.select(F.col("window.start").cast("timestamp_ntz").alias("window_start"), "feature", "value", "n")
+
+
+def drift_sink(reference: DataFrame, path: str, min_rows: int = 50, alpha: float = 0.01):
+    """``foreachBatch`` function over ``window_counts``: KS and alerts of each closed window of >= min_rows events.
 
+    ``reference`` holds stored value counts (``value_counts``). Results go to
+    ``ks/batch_id=<id>`` and ``alerts/batch_id=<id>`` with overwrite, so a replayed batch
+    rewrites, never duplicates. The alerts are taken from the written KS rows.
+    """
     def fn(batch: DataFrame, batch_id: int) -> None:
-        w = batch.withColumn("window_start", F.window("ts", window).start.cast("timestamp_ntz"))
-        sizes = w.groupBy("window_start").agg(F.count(F.lit(1)).alias("_n"))
-        big = w.join(F.broadcast(sizes.filter(F.col("_n") >= min_rows)), "window_start", "left_semi")
-        ks = ks_drift(reference, big, feats, alpha, by=["window_start"])
-        alerts = drift_alerts(ks, F.current_timestamp(), by=["window_start"])
-        alerts.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite") \
-            .parquet(f"{path}/batch_id={batch_id}")
+        batch = batch.persist()
+        big = batch.filter((F.col("feature") == ALL_ROWS) & (F.col("n") >= min_rows)).select("window_start")
+        counts = batch.filter(F.col("feature") != ALL_ROWS).join(big, "window_start", "left_semi")
+        where = f"batch_id={batch_id}"
+        ks_from_counts(reference, counts, ["window_start"], alpha).write.mode("overwrite").parquet(f"{path}/ks/{where}")
+        found = batch.sparkSession.read.parquet(f"{path}/ks/{where}")
+        drift_alerts(found, by=["window_start"]).write.mode("overwrite").parquet(f"{path}/alerts/{where}")
+        batch.unpersist()
     return fn
+
+
+def run_drift(stream: DataFrame, sink, checkpoint: str) -> None:
+    """Drain what has arrived since the last run into the drift sink; the state stays in ``checkpoint``."""
+    q = stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+
+
+def scored_events(stream: DataFrame, scorer, key: str, **kw) -> DataFrame:
+    """Every event through the batch scorer: status, reason, probability, threshold, version, hashes.
+
+    The same projection as the batch path, so a stream and a batch over the same rows agree.
+    """
+    return score_all(stream, scorer, key, **kw)
+
+
+def run_scored(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Append scored and quarantined rows, partitioned by status (exactly-once file sink)."""
+    q = (stream.writeStream.format("parquet").outputMode("append").partitionBy("status")
+         .option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    q.awaitTermination()
