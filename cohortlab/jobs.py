@@ -36,9 +36,11 @@ def read_input(spark: SparkSession, path: str) -> DataFrame:
     if path.startswith("tpch:"):
         return cohort(spark, path[5:])
     if path.endswith(".csv"):
-        df = spark.read.option("header", True).option("inferSchema", True).csv(path)
-        return clean.canonicalize(df)
-    return clean.canonicalize(spark.read.parquet(path))
+        # text first, then the measures by name: no pass over the data to guess types
+        df = io.read_cohort_csv(spark, path)
+        text = {"sex", "segment", "site", "event_type"}
+        return clean.nan_to_null(clean.coerce_numeric(df, [c for c in df.columns if c not in text and c != "ts"]))
+    return clean.nan_to_null(clean.canonicalize(spark.read.parquet(path)))
 
 
 def _key(df: DataFrame, key: str) -> str:
@@ -54,13 +56,18 @@ def job_train(spark, a):
     bundle, val = train(prepared, cfg)
     save_bundle(bundle, spark, f"{a.out}/bundle")
     run = io.new_run_id()
-    data = prepare_training_frame(prepared, cfg)
+    data = prepare_training_frame(prepared, cfg, bundle.state.input_fills)
     from .operators import prep
     x = models.assemble(prep.apply_prep(data.filter("split = 'validation'"), bundle.state,
                                         keep=[cfg.key, cfg.label]), bundle.state.selected)
     io.append_metrics(base_validation_metrics(bundle, x, cfg.label), f"{a.out}/base_metrics", run)
     io.append_metrics(metrics.evaluate(val, cfg.label, "p_cal", t=bundle.threshold)
                       .withColumn("model", F.lit("stack_calibrated")), f"{a.out}/metrics", run)
+    document = spark.createDataFrame([(run, k, float(v)) for k, v in {
+        **{f"validation_{m}": v for m, v in bundle.validation.items()},
+        **{f"threshold_{n}": v for n, v in bundle.thresholds.items()}}.items() if v is not None],
+        "run_id string, name string, value double")
+    io.write_document(document, f"{a.out}/metrics_document")
     return {"run_id": run, "thresholds": bundle.thresholds, "best_c": bundle.meta.best_c,
             "calibration": bundle.calibrator.method}
 
@@ -90,7 +97,7 @@ def job_audit(spark, a):
 def job_evaluate(spark, a):
     bundle = load_bundle(spark, a.bundle)
     cfg = TrainConfig(key=a.key)
-    data = prepare_training_frame(clean.prepare(read_input(spark, a.input)), cfg)
+    data = prepare_training_frame(clean.prepare(read_input(spark, a.input)), cfg, bundle.state.input_fills)
     te = bundle.score(data.filter("split = 'test'").drop("split")).select(cfg.label, "probability")
     ev = metrics.evaluate(te, cfg.label, "probability", t=bundle.threshold)
     ev.write.mode("overwrite").parquet(f"{a.out}/test_metrics")
@@ -103,11 +110,16 @@ def job_evaluate(spark, a):
 
 def job_validate(spark, a):
     bundle = load_bundle(spark, a.bundle)
-    df = features.engineer(clean.prepare(read_input(spark, a.input)), bundle.state.medians)
-    if clean.LABEL not in df.columns:
-        raise ValueError("external validation needs a label")
-    s = bundle.score(df).select(clean.LABEL, "probability")
-    out = metrics.validate_external(s, a.baseline_auc, clean.LABEL, "probability",
+    raw = clean.harmonise_names(read_input(spark, a.input))
+    if clean.LABEL not in raw.columns:
+        raise ValueError(f"the external cohort has no {clean.LABEL} column")
+    # every row stays: no age filter, no derived label
+    df = features.engineer(clean.clip_labs(raw), bundle.state.input_fills)
+    s = bundle.score(df).select(F.col(clean.LABEL).cast("int").alias(clean.LABEL), "probability")
+    baseline = a.baseline_auc if a.baseline_auc is not None else bundle.validation.get("roc_auc")
+    if baseline is None:
+        raise ValueError("no baseline AUC: the bundle's manifest has none and --baseline-auc is not given")
+    out = metrics.validate_external(s, baseline, clean.LABEL, "probability",
                                     bundle.threshold, a.max_drop, raise_on_fail=True)
     return out.collect()[0].asDict()
 
@@ -115,7 +127,7 @@ def job_validate(spark, a):
 def job_score(spark, a):
     bundle = load_bundle(spark, a.bundle)
     raw = read_input(spark, a.input)
-    eng = features.engineer(clean.harmonise_names(raw), bundle.state.medians)
+    eng = features.engineer(clean.harmonise_names(raw), bundle.state.input_fills)
     allr = score.score_all(eng, bundle.score, _key(eng, a.key), threshold=bundle.threshold,
                            model_version=bundle.model_version,
                            ts=a.ts if a.ts in eng.columns else None,

@@ -158,12 +158,14 @@ def fold_average_scores(df: DataFrame, fold_models: dict, prefix: str = "p_") ->
 
 # ------------------------------------------------------------------ meta learner
 
-def balanced_weights(df: DataFrame, label: str, out: str = "_w") -> DataFrame:
-    """w = n / (2 * n_class): a two-row aggregate broadcast back."""
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
-    total = df.count()
-    return (df.join(F.broadcast(counts), on=label)
-              .withColumn(out, F.lit(float(total)) / (2.0 * F.col("_nc"))).drop("_nc"))
+def balanced_weights(df: DataFrame, label: str, out: str = "_w") -> tuple[DataFrame, float]:
+    """w = n / (2 * n_class) from one two-row aggregate, and the sum of the weights."""
+    n = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
+    total = sum(n.values())
+    w = F.lit(None).cast("double")
+    for y, k in n.items():
+        w = F.when(F.col(label) == y, F.lit(total / (2.0 * k))).otherwise(w)
+    return df.withColumn(out, w), total * len(n) / 2.0
 
 
 def meta_pipeline(p_cols: Sequence[str], label: str, reg: float) -> Pipeline:
@@ -192,14 +194,17 @@ def _auc(df: DataFrame, y: str, p: str) -> float:
 
 def fit_meta(oof: DataFrame, label: str, p_cols: Sequence[str], key: str,
              c_grid: Sequence[float] = META_C_GRID, cv_folds: int = 3) -> MetaModel:
-    """Pick C by mean 3-fold AUC (strict '>', first best in grid order), refit on all rows."""
-    w = balanced_weights(oof, label).persist(StorageLevel.MEMORY_AND_DISK)
-    n = w.count()
-    f = hash_folds(w, key, cv_folds, "meta")
+    """Pick C by mean 3-fold AUC (strict '>', first best in grid order), refit on all rows.
+
+    Class weights and the penalty 1 / (C * sum of weights) belong to the rows of each fit.
+    """
+    f = hash_folds(oof, key, cv_folds, "meta").persist(StorageLevel.MEMORY_AND_DISK)
     best_c, best, table = 1.0, 0.0, []
+    shares = [balanced_weights(f.filter(F.col("fold") != k), label) for k in range(cv_folds)]
 
     def cv_auc(c, k):
-        m = meta_pipeline(p_cols, label, 1.0 / (c * n)).fit(f.filter(F.col("fold") != k))
+        rows, mass = shares[k]
+        m = meta_pipeline(p_cols, label, 1.0 / (c * mass)).fit(rows)
         s = m.transform(f.filter(F.col("fold") == k)).withColumn("_p", positive_probability("_meta_prob"))
         return _auc(s, label, "_p")
     grid = [(c, k) for c in c_grid for k in range(cv_folds)]
@@ -210,8 +215,9 @@ def fit_meta(oof: DataFrame, label: str, p_cols: Sequence[str], key: str,
         table.append((float(c), float(mean)))
         if mean > best:
             best, best_c = mean, c
-    final = meta_pipeline(p_cols, label, 1.0 / (best_c * n)).fit(w)
-    w.unpersist()
+    rows, mass = balanced_weights(f, label)
+    final = meta_pipeline(p_cols, label, 1.0 / (best_c * mass)).fit(rows)
+    f.unpersist()
     return MetaModel(final, float(best_c), table, list(p_cols))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import attribution, metrics, models, split
 from ..operators.score import REQUIRED, score_all
+from ..session import materialise
 from ..sources.cohort import cohort
 from . import frames
 from .registry import query
@@ -26,7 +27,8 @@ def trained(spark, sf_dir, cfg: TrainConfig | None = None) -> tuple[Bundle, obje
 
 def _split_frame(spark, sf_dir, which):
     cfg = TrainConfig.quick()
-    data = prepare_training_frame(frames.prepared(spark, sf_dir), cfg)
+    b, _ = trained(spark, sf_dir, cfg)
+    data = prepare_training_frame(frames.prepared(spark, sf_dir), cfg, b.state.input_fills)
     return data.filter(F.col("split") == which).drop("split")
 
 
@@ -66,10 +68,8 @@ def calibrated_scores(spark, sf_dir):
 def test_report(spark, sf_dir):
     """Hold-out evaluation of the calibrated stack at the chosen threshold."""
     b, _ = trained(spark, sf_dir)
-    from pyspark import StorageLevel
-    # the metric families are several passes over the scored split: score once
-    te = (b.score(_split_frame(spark, sf_dir, "test")).select("ir_label", "probability")
-           .persist(StorageLevel.MEMORY_AND_DISK))
+    # two aggregates over the scored split: score once
+    te = materialise(b.score(_split_frame(spark, sf_dir, "test")).select("ir_label", "probability"), "test-scores")
     ev = metrics.evaluate(te, "ir_label", "probability", t=b.threshold)
     return ev.withColumn("threshold", F.lit(b.threshold))
 
@@ -79,11 +79,7 @@ def model_scored_batch(spark, sf_dir):
     """Batch scoring of the whole cohort with the trained bundle; bad rows quarantined."""
     b, _ = trained(spark, sf_dir)
     from ..operators import features as feat
-    from ..operators import profile
-    raw = cohort(spark, sf_dir)
-    meds = {k: v for k, v in b.state.medians.items()}
-    eng = feat.engineer(raw, {c: meds.get(c) for c in feat.FILL_INPUTS} | dict(
-        profile.column_means(raw, ["fasting_insulin"])))
+    eng = feat.engineer(cohort(spark, sf_dir), b.state.input_fills)
     return score_all(eng, b.score, "patient_id", threshold=b.threshold, ts="ts",
                      features=b.state.selected or REQUIRED)
 
@@ -105,7 +101,7 @@ def rf_importance(spark, sf_dir):
 def occlusion_top3(spark, sf_dir):
     """Top-3 occlusion attributions for every row of the prepared cohort."""
     b, _ = trained(spark, sf_dir)
-    va = prepare_training_frame(frames.prepared(spark, sf_dir), TrainConfig.quick()).drop("split")
+    va = prepare_training_frame(frames.prepared(spark, sf_dir), TrainConfig.quick(), b.state.input_fills).drop("split")
     fills = {c: b.state.medians[c] for c in b.state.selected if c in b.state.medians}
     return attribution.occlusion_top(va, "patient_id", b.state.selected, fills, b.score, k=3)
 
@@ -134,7 +130,7 @@ def model_generalisation_gap(spark, sf_dir):
     from ..operators import prep
     b, _ = trained(spark, sf_dir)
     cfg = TrainConfig.quick()
-    data = prepare_training_frame(frames.prepared(spark, sf_dir), cfg).filter(
+    data = prepare_training_frame(frames.prepared(spark, sf_dir), cfg, b.state.input_fills).filter(
         F.col("split").isin("train", "validation"))
     x = models.assemble(prep.apply_prep(data, b.state, keep=["patient_id", "ir_label", "split"]),
                         b.state.selected)

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from ..functions.columns import round_out
 from ..operators import drift, features, prep, score, select, split
 from ..operators.drift import KS_TERMS
+from ..session import materialise
 from ..sources.cohort import cohort
 from . import frames
 from .registry import query
+from .training import TrainConfig, fit_input_fills, prepare_training_frame
 from .sql_text import LABELLED, MEDIANS, PREPARED, SCORES, engineered_cte, split_hash, with_ctes
 
 R = round_out
@@ -166,7 +168,8 @@ def _prep_sql():
     num_rows = " UNION ALL ".join(
         f"SELECT patient_id, ir_label, '{c}' AS feature, CAST({c} AS DOUBLE) AS value FROM filled"
         for c in PREP_NUMERIC)
-    return with_ctes(PREPARED, MEDIANS, engineered_cte(fill_from="medians"), f"""
+    train_medians = MEDIANS.replace("FROM prepared", f"FROM prepared WHERE {h} >= 0.3")
+    return with_ctes(PREPARED, train_medians, engineered_cte(fill_from="medians"), f"""
 x AS (SELECT patient_id, ir_label, {", ".join(PREP_NUMERIC)}, sex, segment, site,
         {h} >= 0.3 AS is_train FROM engineered),
 tmed AS (SELECT {meds} FROM x WHERE is_train),
@@ -195,13 +198,13 @@ FROM filled f LEFT JOIN dict d ON f.site = d.site""")
 
 @query("prep_transform", _prep_sql())
 def prep_transform(spark, sf_dir):
-    """Fit on the train split (exact medians, encoders, MI selection), apply to every row.
+    """Fit on the train split (exact medians, the engineered inputs' included, encoders, MI selection), apply to every row.
 
     Long output (patient_id, ir_label, feature, value) over the selected columns,
     so the data-dependent selection is part of the checked result."""
-    df = features.drop_leakage_inputs(frames.engineered(spark, sf_dir, fill=True, exact=True),
-                                      keep=["ir_label"])
-    df = split.hash_split(df.drop("ts"), "patient_id")
+    rows = materialise(frames.prepared(spark, sf_dir), "prepared")      # one join of the three tables
+    cfg = TrainConfig()
+    df = prepare_training_frame(rows, cfg, fit_input_fills(rows, cfg))
     state = prep.fit_prep(df.filter("split = 'train'").drop("split"), "ir_label",
                           key=["patient_id"], exact=True, include_categoricals=True)
     wide = prep.apply_prep(df.drop("split"), state, keep=["patient_id", "ir_label"])

@@ -1,11 +1,12 @@
 """End-to-end training run composed from the operators.
 
-prepare -> engineer (median fill) -> drop leakage inputs -> hash split ->
-fit preprocessing on train -> leakage guard -> base learners -> out-of-fold
-stacking -> meta learner (C by CV AUC) -> cross-fitted calibration on the
-validation split -> thresholds on calibrated validation scores -> metrics.
-Preprocessing is fitted on the training split only (the reference fitted it
-before splitting).
+prepare -> hash split -> fill medians of the train split -> engineer -> drop
+leakage inputs -> fit preprocessing on train -> leakage guard -> base learners
+-> out-of-fold stacking -> meta learner (C by CV AUC) -> cross-fitted
+calibration on the validation split -> thresholds on calibrated validation
+scores -> metrics. Everything fitted, the fills of the engineered features
+included, comes from the train split and travels in the bundle's state; every
+later use (evaluation, validation, scoring) takes it from there.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ class TrainConfig:
     meta_folds: int = 3
     calibration_folds: int = 3
     include_categoricals: bool = False
-    exact_medians: bool = False
+    exact_medians: bool = True
     key: str = "patient_id"
     label: str = LABEL
 
@@ -44,6 +45,7 @@ class Bundle:
     meta: models.MetaModel
     calibrator: models.Calibrator
     thresholds: dict
+    validation: dict = field(default_factory=dict)   # metrics of the calibrated stack on the validation split
     model_version: str = "v1"
     extras: dict = field(default_factory=dict)
 
@@ -71,22 +73,30 @@ def leakage_guard(df: DataFrame, label: str, cols: list[str]) -> list[str]:
     return [r["feature"] for r in bad.collect()]
 
 
-def prepare_training_frame(prepared: DataFrame, cfg: TrainConfig) -> DataFrame:
-    meds = profile.column_medians(prepared, [c for c in features.FILL_INPUTS if c in prepared.columns],
+def fit_input_fills(prepared: DataFrame, cfg: TrainConfig) -> dict[str, float]:
+    """Medians of the engineered features' inputs over the train split."""
+    rows = split.hash_split(prepared, cfg.key).filter("split = 'train'")
+    meds = profile.column_medians(rows, [c for c in features.FILL_INPUTS if c in prepared.columns],
                                   exact=cfg.exact_medians)
-    eng = features.engineer(prepared, meds)
-    x = features.drop_leakage_inputs(eng, keep=[cfg.label])
-    return split.hash_split(x.drop("ts"), cfg.key)
+    return {c: float(v) for c, v in meds.items() if v is not None}
+
+
+def prepare_training_frame(prepared: DataFrame, cfg: TrainConfig, fills: dict[str, float]) -> DataFrame:
+    """Split first, then engineered features with the given (fitted) fills, without the leakage inputs."""
+    eng = features.engineer(split.hash_split(prepared, cfg.key), fills)
+    return features.drop_leakage_inputs(eng, keep=[cfg.label]).drop("ts")
 
 
 def train(prepared: DataFrame, cfg: TrainConfig | None = None) -> tuple[Bundle, DataFrame]:
     """Returns the bundle and the validation-split scores (key, label, p_<model>..., p_stack, p_cal)."""
     cfg = cfg or TrainConfig()
     key, label = cfg.key, cfg.label
-    data = prepare_training_frame(prepared, cfg).persist(StorageLevel.MEMORY_AND_DISK)
+    fills = fit_input_fills(prepared, cfg)
+    data = prepare_training_frame(prepared, cfg, fills).persist(StorageLevel.MEMORY_AND_DISK)
     train_df = data.filter("split = 'train'").drop("split")
     state = prep.fit_prep(train_df, label, key=[key], exact=cfg.exact_medians,
                           include_categoricals=cfg.include_categoricals)
+    state.input_fills = fills
     x = prep.apply_prep(data, state, keep=[key, label, "split"])
     guard = leakage_guard(x.filter("split = 'train'"), label,
                           [c for c in state.selected if c in x.columns])
@@ -114,8 +124,11 @@ def train(prepared: DataFrame, cfg: TrainConfig | None = None) -> tuple[Bundle,
                   "youden": float(yj["threshold"]), "j_score": float(yj["j_score"]),
                   "sensitivity_first": float(sens["threshold"]),
                   "specificity": float(sens["specificity"])}
+    ev = metrics.evaluate(val_cal, label, "p_cal", t=thresholds["f1_max"]).collect()
     bundle = Bundle(state, base, meta, cal, thresholds,
+                    validation={r["metric"]: r["value"] for r in ev},
                     extras={"guard_dropped": guard, "oof": oof, "fold_models": fold_models})
+    x.unpersist()
     data.unpersist()
     return bundle, val_cal
 
@@ -123,14 +136,9 @@ def train(prepared: DataFrame, cfg: TrainConfig | None = None) -> tuple[Bundle,
 def base_validation_metrics(bundle: Bundle, x_val: DataFrame, label: str) -> DataFrame:
     """Long metric table per base model on the validation split (full-train models)."""
     s = models.add_scores(x_val, bundle.base)
-    parts = []
-    for n in bundle.base:
-        parts.append(metrics.evaluate(s.select(label, f"p_{n}"), label, f"p_{n}")
-                     .withColumn("model", F.lit(n)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    rows = ", ".join(f"'{n}', `p_{n}`" for n in bundle.base)
+    long = s.selectExpr(f"`{label}`", f"stack({len(bundle.base)}, {rows}) AS (model, p)")
+    return metrics.evaluate(long, label, "p", by=["model"])
 
 
 def save_bundle(bundle: Bundle, spark, path: str) -> None:
@@ -143,7 +151,7 @@ def save_bundle(bundle: Bundle, spark, path: str) -> None:
     bundle.meta.model.write().overwrite().save(f"{path}/meta")
     for i, m in enumerate(bundle.calibrator.models):
         m.write().overwrite().save(f"{path}/calibrator/{i}")
-    doc = {"model_version": bundle.model_version, "thresholds": bundle.thresholds,
+    doc = {"model_version": bundle.model_version, "thresholds": bundle.thresholds, "validation": bundle.validation,
            "best_c": bundle.meta.best_c, "p_cols": bundle.meta.p_cols,
            "calibration": {"method": bundle.calibrator.method, "oof_brier": bundle.calibrator.oof_brier,
                            "n": len(bundle.calibrator.models)},
@@ -165,7 +173,7 @@ def load_bundle(spark, path: str) -> Bundle:
     cals = [kind.load(f"{path}/calibrator/{i}") for i in range(doc["calibration"]["n"])]
     cal = models.Calibrator(doc["calibration"]["method"], cals, doc["calibration"]["oof_brier"])
     return Bundle(load_state(spark, f"{path}/prep_state"), base, meta, cal, doc["thresholds"],
-                  doc["model_version"])
+                  doc["validation"], doc["model_version"])
 
 
 def oof_auc(oof: DataFrame, label: str, p_cols: list[str]) -> DataFrame:
