@@ -98,27 +98,27 @@ def missingness(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
 
 
 def cardinality_routing(df: DataFrame, cols: Sequence[str],
-                        max_card: int = MAX_ONE_HOT_CARDINALITY, exact: bool = True) -> DataFrame:
+                        max_card: int = MAX_ONE_HOT_CARDINALITY) -> DataFrame:
     """(column_name, n_distinct, encoding): <= max_card distinct values -> one_hot, else ordinal.
 
-    ``exact=False`` runs HyperLogLog first and counts exactly only the columns
-    whose estimate lies near the cut, so the routing is still exact.
+    HyperLogLog first; only columns whose estimate does not rule the one-hot side out are
+    counted, through their few distinct values. ``n_distinct`` is exact for one_hot columns
+    and NULL for the others, whose size does not matter here.
     """
     cols = list(cols)
-    if exact:
-        wide = df.agg(*[F.count_distinct(c).alias(f"d{i}") for i, c in enumerate(cols)]).collect()[0]
-        counts = {c: wide[f"d{i}"] for i, c in enumerate(cols)}
-    else:
-        est = df.agg(*[F.approx_count_distinct(c, 0.02).alias(f"d{i}")
-                       for i, c in enumerate(cols)]).collect()[0]
-        counts = {c: est[f"d{i}"] for i, c in enumerate(cols)}
-        near = [c for c in cols if 0.8 * max_card <= counts[c] <= 1.25 * max_card]
-        if near:
-            ex = df.agg(*[F.count_distinct(c).alias(f"d{i}") for i, c in enumerate(near)]).collect()[0]
-            counts.update({c: ex[f"d{i}"] for i, c in enumerate(near)})
-    spark = df.sparkSession
-    rows = [(c, int(n), "one_hot" if n <= max_card else "ordinal") for c, n in counts.items()]
-    return spark.createDataFrame(rows, "column_name string, n_distinct bigint, encoding string")
+    est = df.agg(*[F.approx_count_distinct(c, 0.02).alias(f"d{i}") for i, c in enumerate(cols)]).collect()[0]
+    near = [c for i, c in enumerate(cols) if est[f"d{i}"] <= 1.25 * max_card]
+    names = df.sparkSession.createDataFrame([(c,) for c in cols], "column_name string")
+    text = df.select(*[F.col(c).cast("string").alias(c) for c in near])
+    counts = (text.unpivot([], near, "column_name", "_v") if near else
+              df.sparkSession.createDataFrame([], "column_name string, _v string"))
+    counts = (counts.filter("_v IS NOT NULL").distinct().groupBy("column_name").agg(F.count(F.lit(1)).alias("_n"))
+              .withColumnRenamed("column_name", "_c"))
+    n = F.when(F.col("column_name").isin(near), F.coalesce("_n", F.lit(0)))
+    few = F.coalesce(n <= max_card, F.lit(False))
+    return names.join(counts, F.col("column_name") == F.col("_c"), "left").select(
+        "column_name", F.when(few, n).alias("n_distinct"),
+        F.when(few, "one_hot").otherwise("ordinal").alias("encoding"))
 
 
 def label_distribution(df: DataFrame, label: str = LABEL) -> DataFrame:

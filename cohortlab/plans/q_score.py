@@ -124,6 +124,13 @@ def mi_top_n(spark, sf_dir):
     return select.top_by_mi(_mi(spark, sf_dir), 30).select("feature", R("mi").alias("mi"))
 
 
+@query("mi_top_5", with_ctes(PREPARED, engineered_cte(), _mi_sql(), body=(
+    "SELECT feature, round(mi, 6) AS mi FROM mi ORDER BY mi DESC, feature LIMIT 5")))
+def mi_top_5(spark, sf_dir):
+    """A top-N cut that binds: five of ten features."""
+    return select.top_by_mi(_mi(spark, sf_dir), 5).select("feature", R("mi").alias("mi"))
+
+
 # ---------------------------------------------------------------- encoders
 
 SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
@@ -250,11 +257,13 @@ def _score_all(spark, sf_dir):
 
 @query("scored_batch", with_ctes(_SCORED_SQL, body=(
     "SELECT patient_id, status, reason, round(probability, 6) AS probability, prediction, risk_level,"
-    " trace_id, features_hash FROM scored")))
+    " trace_id, features_hash, CAST(0.5 AS DOUBLE) AS threshold_used, 'v1' AS model_version, s.ts"
+    " FROM scored JOIN (SELECT patient_id, ts FROM cohort) s USING (patient_id)")))
 def scored_batch(spark, sf_dir):
     s = _score_all(spark, sf_dir)
     return s.select("patient_id", "status", "reason", R("probability").alias("probability"),
-                    "prediction", "risk_level", "trace_id", "features_hash")
+                    "prediction", "risk_level", "trace_id", "features_hash", "threshold_used", "model_version",
+                    F.col("ts").cast("timestamp_ntz").alias("ts"))
 
 
 @query("quarantine", with_ctes(_SCORED_SQL, body=(

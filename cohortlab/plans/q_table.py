@@ -62,11 +62,14 @@ def harmonise_names(spark, sf_dir):
 
 @query("derive_label", with_ctes(body=(
     "SELECT patient_id, fasting_glucose, fasting_insulin,"
-    " CAST(fasting_glucose * fasting_insulin / 405.0 > 2.5 AS INTEGER) AS ir_label FROM cohort"
+    " CAST(fasting_glucose * fasting_insulin / 405.0 > 2.5 AS INTEGER) AS ir_label,"
+    " false AS has_construction_column FROM cohort"
     " WHERE fasting_glucose IS NOT NULL AND fasting_insulin IS NOT NULL")))
 def derive_label(spark, sf_dir):
+    """The label from a table that holds the column it is made of; that column must be gone."""
     df = clean.derive_label(cohort(spark, sf_dir).withColumn("homa_ir", F.lit(1.0)))
-    return df.select("patient_id", "fasting_glucose", "fasting_insulin", "ir_label")
+    return df.select("patient_id", "fasting_glucose", "fasting_insulin", "ir_label",
+                     F.lit("homa_ir" in df.columns).alias("has_construction_column"))
 
 
 @query("age_range_filter", with_ctes(body=(
@@ -163,17 +166,19 @@ def missingness(spark, sf_dir):
 
 
 @query("cardinality_routing", with_ctes(PREPARED, body=" UNION ALL ".join(
-    f"SELECT '{c}' AS column_name, count(DISTINCT {c}) AS n_distinct, CASE WHEN count(DISTINCT {c})"
-    f" <= 50 THEN 'one_hot' ELSE 'ordinal' END AS encoding FROM prepared"
+    f"SELECT '{c}' AS column_name, CASE WHEN count(DISTINCT {c}) <= 50 THEN count(DISTINCT {c}) END AS n_distinct,"
+    f" CASE WHEN count(DISTINCT {c}) <= 50 THEN 'one_hot' ELSE 'ordinal' END AS encoding FROM prepared"
     for c in ("sex", "segment", "site"))))
 def cardinality_routing(spark, sf_dir):
-    df = frames.prepared(spark, sf_dir)
-    cols = ["sex", "segment", "site"]
-    wide = df.agg(*[F.count_distinct(c).alias(f"d{i}") for i, c in enumerate(cols)])
-    rows = ", ".join(f"'{c}', d{i}" for i, c in enumerate(cols))
-    long = wide.selectExpr(f"stack({len(cols)}, {rows}) AS (column_name, n_distinct)")
-    return long.withColumn("encoding", F.when(F.col("n_distinct") <= profile.MAX_ONE_HOT_CARDINALITY,
-                                              "one_hot").otherwise("ordinal"))
+    return profile.cardinality_routing(frames.prepared(spark, sf_dir), ["sex", "segment", "site"])
+
+
+@query("all_null_columns", with_ctes(body=(
+    "SELECT 'empty_lab' AS column_name, count(*) AS n_rows, count(*) AS n_missing, true AS all_missing FROM cohort")))
+def all_null_columns(spark, sf_dir):
+    """The columns a fit has to prune: an added column that never has a value."""
+    df = cohort(spark, sf_dir).withColumn("empty_lab", F.lit(None).cast("double"))
+    return profile.missingness(df).filter("all_missing")
 
 
 @query("label_distribution", with_ctes(PREPARED, body=(
