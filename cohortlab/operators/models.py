@@ -25,7 +25,8 @@ from .curves import roc_auc, score_curve
 from .split import hash_folds
 
 SEED = 42
-PARALLEL_FITS = 4
+PARALLEL_FITS = 8
+ROWS_PER_TASK = 100_000
 
 
 def _parallel(fns, parallelism: int = PARALLEL_FITS) -> list:
@@ -79,9 +80,10 @@ def assemble(df: DataFrame, feature_cols: Sequence[str], out: str = "features")
 
 
 def estimator(spec: LearnerSpec, label: str, features: str = "features"):
-    # node-id caching saves a pass per tree level; its periodic checkpoints go to
-    # the shared spark.checkpoint.dir
-    cols = dict(featuresCol=features, labelCol=label, seed=SEED, cacheNodeIds=True, maxMemoryInMB=512)
+    # shallow trees: walking them costs less than caching node ids; checkpoints (to the
+    # shared spark.checkpoint.dir) only to bound the lineage of hundreds of rounds
+    cols = dict(featuresCol=features, labelCol=label, seed=SEED, cacheNodeIds=False, maxMemoryInMB=512,
+                checkpointInterval=50)
     if spec.kind == "gbt":
         est = GBTClassifier(**cols, **spec.params)
     elif spec.kind == "rf":
@@ -92,9 +94,27 @@ def estimator(spec: LearnerSpec, label: str, features: str = "features"):
                .setPredictionCol(f"_pred_{spec.name}"))
 
 
+def sized(df: DataFrame) -> DataFrame:
+    """``df`` persisted in one task per ROWS_PER_TASK rows.
+
+    Boosting runs hundreds of short jobs over the same rows; tasks of a few rows each
+    would cost more to schedule than to run. Large tables keep their partitions.
+    """
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    tasks = max(1, -(-kept.count() // ROWS_PER_TASK))
+    if tasks >= kept.rdd.getNumPartitions():
+        return kept
+    few = kept.coalesce(tasks).persist(StorageLevel.MEMORY_AND_DISK)
+    few.count()
+    kept.unpersist()
+    return few
+
+
 def fit_base(df: DataFrame, specs: Sequence[LearnerSpec], label: str,
              features: str = "features", parallelism: int = PARALLEL_FITS) -> dict:
+    df = sized(df.select(label, features))
     fits = _parallel([lambda s=s: estimator(s, label, features).fit(df) for s in specs], parallelism)
+    df.unpersist()
     return {s.name: m for s, m in zip(specs, fits)}
 
 
@@ -118,7 +138,7 @@ def oof_scores(train: DataFrame, specs: Sequence[LearnerSpec], label: str, key:
     to the shared folder, cutting lineage before the meta fit.
     """
     spark = train.sparkSession
-    t = hash_folds(train.select(key, label, features), key, k, salt).persist(StorageLevel.MEMORY_AND_DISK)
+    t = sized(hash_folds(train.select(key, label, features), key, k, salt))
     jobs = [(s, f) for s in specs for f in range(k)]
     fits = _parallel([lambda s=s, f=f: estimator(s, label, features).fit(t.filter(F.col("fold") != f))
                       for s, f in jobs])
