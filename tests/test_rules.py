@@ -84,7 +84,7 @@ def test_ece_zero_probability_in_no_bin(spark):
 
 def test_unknown_column_fill_defaults_to_zero(spark):
     from cohortlab.operators.prep import PrepState, apply_prep
-    st = PrepState(["a", "b"], [], {"a": 5.0}, {}, {}, {}, {}, ["a", "b"])
+    st = PrepState(["a", "b"], [], {"a": 5.0}, {}, {}, {}, ["a", "b"])
     df = spark.createDataFrame([(None, None)], "a double, b double")
     assert apply_prep(df, st).collect()[0].asDict() == {"a": 5.0, "b": 0.0}
 
