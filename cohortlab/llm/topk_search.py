@@ -23,7 +23,7 @@ from .tables import stored
 
 K = 20
 CANDIDATE_BLOCK, QUERY_BLOCK = 16384, 1024
-DEPTHS = (0.5, 0.65, 0.75, 0.82, 0.9, 1.0)      # shares of a list read before bounds are looked at
+DEPTHS = (0.5, 0.6, 0.7, 0.76, 0.82, 0.88, 0.94, 1.0)    # shares of a list read before bounds are looked at
 FEW = 256                                       # so few rows left: resolve them at once
 SCHEMA = "query_id long, vec_id long, score long"
 
@@ -64,29 +64,36 @@ class Block:
         self.lists = np.sort(self.rows, axis=0)
         self.largest = float(np.abs(self.rows.astype(float)).max(initial=0))
         self.values = self.rows.astype(np.float32 if self.largest < 1 << 24 else np.float64)
+        self.start = 0
 
     def candidates(self, query: np.ndarray, k: int) -> np.ndarray:
-        """Rows that may be among the best ``k`` besides the query's own row."""
+        """Rows that may be among the best ``k`` besides the query's own row.
+
+        Reading begins at the depth that was the first to rule rows out for the query before.
+        """
         n = len(self.rows)
         top = self.largest * float(np.abs(query.astype(float)).max(initial=0)) * len(query)
         weight = query.astype(np.float32 if top < 1 << 24 else np.float64)        # sums below 2**24 are exact
         up = weight > 0
-        share = self.values * weight
-        worst = np.where(up, self.lists[0], self.lists[-1]) * weight
+        own = self.values * weight
+        worst = np.where(up, self.lists[0], self.lists[-1]).astype(weight.dtype) * weight
+        ones = np.ones(len(query), own.dtype)
         slack = 0.0 if top < 1 << 53 else 1e-9 * top
         alive = np.arange(n)
-        for depth in DEPTHS:
-            at = min(int(n * depth), n - 1)
-            frontier = np.where(up, self.lists[n - 1 - at], self.lists[at]) * weight
-            own = share[alive] if len(alive) < n else share
-            read = own >= frontier
-            if len(alive) <= k + 1:
+        for step in range(self.start, len(DEPTHS)):
+            if len(alive) <= max(FEW, k + 1):        # resolve them; the unseen rows, frontier.sum() at most, are out
                 break
-            low = np.where(read, own, worst).sum(1)
+            at = min(int(n * DEPTHS[step]), n - 1)
+            frontier = np.where(up, self.lists[n - 1 - at], self.lists[at]).astype(own.dtype) * weight
+            high = np.maximum(own, frontier) @ ones
+            # an entry not read yet counts as the list's worst value in the lower bound
+            low = high - (own < frontier).astype(own.dtype) @ (frontier - worst).astype(own.dtype)
             bar = np.partition(low, len(low) - k - 1)[len(low) - k - 1] - slack
-            alive = alive[np.maximum(own, frontier).sum(1) >= bar]
-            if len(alive) <= FEW:                    # and the unseen rows, frontier.sum() at most, are out
-                break
+            stay = high >= bar
+            if 2 * stay.sum() < len(stay):
+                if len(alive) == n:
+                    self.start = step
+                own, alive = own[stay], alive[stay]
         return alive
 
     def best(self, query: np.ndarray, query_id: int, k: int) -> list[tuple[int, int]]:
