@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .arrays import docs_of
+from .arrays import docs_of, release
 
 # fixed values: classes of characters
 LETTER, NUMBER, OTHER, SHORT_CONTRACTION, LONG_CONTRACTION, SPACE_INNER, BLANK_LAST, SPACE_LAST = range(8)
@@ -33,7 +33,7 @@ CONTRACTIONS_1 = "stmd"
 CONTRACTIONS_2 = ("re", "ve", "ll")
 
 BLOCK = 64
-CACHE_PIECES = 1_000_000
+CACHE_PIECES = 500_000     # about 100 MB
 CACHE_BYTES = 128          # longer pieces are merged each time
 _kinds: list[np.ndarray] = []
 
@@ -264,5 +264,7 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
                      pa.array([hashlib.sha256(b).hexdigest() for b, _ in spans], pa.string()),
                      pa.array(np.diff(bound)), pa.array([b == t for b, t in spans], pa.bool_())],
                     ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_bytes", "equal"])
+        cache.clear()        # most pieces of the next task are new anyway, and workers live on
+        release()
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import SPACE, Hashes, U, Words, docs_of, mix
+from .arrays import SPACE, Hashes, U, Words, docs_of, mix, release
 from .quality_rules import SYMBOL, line_hashes
 from .tables import id_bucket
 
@@ -242,5 +242,6 @@ def accepted(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             good = [model.scores(line_features(data, off)) >= 0.5 for _, _, data, off in docs_of(batch)]
             yield batch.filter(pa.array(np.concatenate(good))) if good else batch
+        release()
 
     return docs.mapInArrow(run, docs.schema)

@@ -15,7 +15,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from .arrays import SPACE, Hashes, U, Words, docs_of, mix, per_doc
+from .arrays import SPACE, Hashes, U, Words, docs_of, mix, per_doc, release
 
 SYMBOL = np.zeros(256, dtype=bool)
 SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
@@ -132,5 +132,6 @@ def accepted(docs: DataFrame) -> DataFrame:
             own = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), batch.column("text")], ["doc_id", "text"])
             kept = [k for out in score_batches(iter([own])) for k in out.column("kept").to_pylist()]
             yield batch.filter(pa.array(kept, pa.bool_()))
+        release()
 
     return docs.mapInArrow(run, docs.schema)

@@ -8,15 +8,17 @@ Unicode version a library was built with, go through the library whole.
 from __future__ import annotations
 
 import os
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .arrays import docs_of, per_doc
-from .bpe import CACHE_PIECES, piece_starts
+from .arrays import docs_of, per_doc, release
+from .bpe import piece_starts
 
+CACHE_PIECES = 500_000        # about 100 MB
 PLAIN_LEAD = 0xC9           # UTF-8 lead bytes below it: code points under U+0240
 _ready: dict[str, tuple] = {}
 
@@ -41,6 +43,7 @@ def encode_slice(data: np.ndarray, off: np.ndarray, path: str, end_id: int, kind
     text = data.tobytes()
     pieces = [text[a:b] for a, b in zip(start.tolist(), np.append(start[1:], len(data)).tolist())]
     bound = np.searchsorted(start, off).tolist()
+    code = "H" if kind == "<u2" else "I"
     foreign = per_doc(data >= PLAIN_LEAD, off) > 0
     new = set(pieces).difference(cache)
     if new:
@@ -48,8 +51,8 @@ def encode_slice(data: np.ndarray, off: np.ndarray, path: str, end_id: int, kind
             cache.clear()
             new = set(pieces)
         new = list(new)
-        for piece, got in zip(new, tokenizer.encode_batch([p.decode() for p in new], add_special_tokens=False)):
-            cache[piece] = np.array(got.ids, kind).tobytes()
+        for piece, got in zip(new, tokenizer.encode_batch_fast([p.decode() for p in new], add_special_tokens=False)):
+            cache[piece] = array(code, got.ids).tobytes()
     out = [b"".join(map(cache.__getitem__, pieces[a:b])) + end for a, b in zip(bound[:-1], bound[1:])]
     for d in np.flatnonzero(foreign).tolist():
         ids = tokenizer.encode(text[off[d]:off[d + 1]].decode(), add_special_tokens=False).ids
@@ -57,6 +60,13 @@ def encode_slice(data: np.ndarray, off: np.ndarray, path: str, end_id: int, kind
     return out
 
 
+def forget() -> None:
+    """At the end of a task: most pieces of the next one are new anyway, and workers live on."""
+    for _, cache in _ready.values():
+        cache.clear()
+    release()
+
+
 def id_kind(path: str) -> str:
     """Two bytes an id when the vocabulary allows it."""
     return "<u2" if library(path)[0].get_vocab_size() <= 1 << 16 else "<u4"
@@ -73,5 +83,6 @@ def encoded(docs: DataFrame, path: str, end_id: int, kind: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [keys.slice(i, j - i), pa.array(ids, pa.binary()),
                      pa.array([len(x) // size for x in ids], pa.int64())], ["doc_id", "ids", "n_tokens"])
+        forget()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary, n_tokens long")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cohortlab.llm import jaccard_join, packing, quality_crf, quality_rules, suffix_dedup
-from cohortlab.llm.tables import stored, table
+from cohortlab.llm.tables import free_name, long_rows, stored, table
 
 TOKENIZER = path("byte_bpe_50k.json")
 ORACLE_SQL = None   # no SQL form of the classifier and the packing; the tests hold the stages against brute force
@@ -24,6 +24,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that base rules and compression bands keep; every column as it was."""
+    long_rows(spark)
     return quality_rules.accepted(docs)
 
 
@@ -33,11 +34,12 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Of rows that share an id the one whose text has the smallest MD5 stays. Rows without an id
     stay unless a document with an id has the same shingles.
     """
+    nth = free_name(docs, "_nth")
     found = jaccard_join.near_duplicates(docs)
     ids = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     order = Window.partitionBy("doc_id").orderBy(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
     named = (docs.filter(F.col("doc_id").isNotNull()).join(ids, "doc_id", "left_semi")
-             .withColumn("_nth", F.row_number().over(order)).filter(F.col("_nth") == 1).select(*docs.columns))
+             .withColumn(nth, F.row_number().over(order)).filter(F.col(nth) == 1).select(*docs.columns))
     return named.unionByName(jaccard_join.unnamed_alone(docs))
 
 

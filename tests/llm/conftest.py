@@ -2,7 +2,8 @@ import random
 
 import pytest
 
-EXTRA = ["key", "score", "rank", "n", "_row", "spans", "component", "word", "kept", "part", "k", "at", "ids", "held_out", "rep"]
+EXTRA = ["key", "score", "rank", "n", "_row", "spans", "component", "word", "kept", "part", "k", "at", "ids", "held_out", "rep",
+         "_key", "_first", "_kept", "_new", "_nth", "_class", "_rank"]
 
 
 def prose(rnd, n):
