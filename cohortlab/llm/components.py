@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import stored
+from .tables import forget_stored, stored
 
 MAX_ROUNDS = 60          # each round shortens every chain by a constant factor
 
@@ -26,8 +26,9 @@ def components(edges: DataFrame) -> DataFrame:
         large = large.filter(F.col("a") > F.col("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
-        now = stored(small.select(F.col("b").alias("a"), F.col("m").alias("b")).filter(F.col("a") > F.col("b"))
+        before, now = now, stored(small.select(F.col("b").alias("a"), F.col("m").alias("b")).filter(F.col("a") > F.col("b"))
                      .union(least.select("a", F.col("m").alias("b"))).distinct(), "component-edges")
+        forget_stored(before)
         new = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if new == mark:
             break

@@ -26,9 +26,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .arrays import LOWER, _STEP, Hashes, U, Words, docs_of, mix
+from .arrays import LOWER, _STEP, Hashes, U, Words, docs_of, mix, release
 from .components import components
-from .tables import stored
+from .tables import forget_stored, free_name, stored
 
 SHINGLE, PERCENT = 4, 85
 FREQUENT_FROM = 16            # a shingle in more prefixes than this counts as frequent
@@ -67,6 +67,7 @@ def prefix_counts(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 if heads:
                     shingle, n = np.unique(np.concatenate(heads), return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(shingle.view(np.int64)), pa.array(n)], ["shingle", "n"])
+        release()
 
     return docs.select("text").mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
 
@@ -115,6 +116,7 @@ def signatures(docs: DataFrame, frequent: np.ndarray, k: int, percent: int) -> D
                     [ids.slice(i, j - i).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()),
                      pa.array(groups, pa.binary()), pa.array(heads, pa.list_(pa.int64()))],
                     ["doc_id", "n", "class", "grp", "prefix"])
+        release()
 
     return docs.select("doc_id", "text").mapInArrow(
         run, "doc_id long, n long, class binary, grp binary, prefix array<long>")
@@ -133,8 +135,9 @@ def filter_bits(ids: DataFrame, column: str) -> np.ndarray:
 
 
 def whole_sets(docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, items, is_pivot) of the documents that pairs name, and of few others."""
-    wanted, pivots = filter_bits(pairs.select(F.explode(F.array("a", "b")).alias("id")), "id"), filter_bits(pairs, "b")
+    """(doc_id, items, is_member, is_pivot) of the documents that pairs name, and of few others."""
+    members, pivots = filter_bits(pairs, "a"), filter_bits(pairs, "b")
+    wanted = members | pivots
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,20 +145,21 @@ def whole_sets(docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
             batch = pa.RecordBatch.from_arrays(batch.columns, names=batch.schema.names).filter(pa.array(wanted[at]))
             if not batch.num_rows:
                 continue
-            ids, pivot = batch.column("doc_id").cast(pa.int64()), pivots[batch.column("at").to_numpy()]
+            ids, at = batch.column("doc_id").cast(pa.int64()), batch.column("at").to_numpy()
+            member, pivot = members[at], pivots[at]
             for i, j, data, off in docs_of(batch):
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(i, j - i), pa.array([s.tobytes() for s in sets(data, off, k)], pa.binary()),
-                     pa.array(pivot[i:j])], ["doc_id", "items", "is_pivot"])
+                     pa.array(member[i:j]), pa.array(pivot[i:j])], ["doc_id", "items", "is_member", "is_pivot"])
+        release()
 
     at = docs.filter(F.col("doc_id").isNotNull()).select(
         "doc_id", "text", F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(FILTER_BITS)).alias("at"))
-    return at.mapInArrow(run, "doc_id long, items binary, is_pivot boolean")
+    return at.mapInArrow(run, "doc_id long, items binary, is_member boolean, is_pivot boolean")
 
 
 def links(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of ``pairs(a, b)`` whose whole sets reach the similarity."""
-    pairs = stored(pairs.distinct(), "jaccard-pairs")
+    """Those of the stored ``pairs(a, b)`` whose whole sets reach the similarity."""
     found = stored(whole_sets(docs, pairs, k), "jaccard-sets")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,11 +170,14 @@ def links(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
                 both = int(holds(t, s).sum())
                 keep.append(100 * both >= percent * (len(s) + len(t) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        release()
 
-    left = found.select(F.col("doc_id").alias("a"), F.col("items").alias("x"))
+    left = found.filter("is_member").select(F.col("doc_id").alias("a"), F.col("items").alias("x"))
     right = found.filter("is_pivot").select(F.col("doc_id").alias("b"), F.col("items").alias("y"))
-    return stored(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-                  .mapInArrow(run, "a long, b long"), "jaccard-links")
+    out = stored(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
+                 .mapInArrow(run, "a long, b long"), "jaccard-links")
+    forget_stored(found)
+    return out
 
 
 def near(n: str, m: str, percent: int):
@@ -196,19 +203,29 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -
 
     # prefix shingles that more than one group holds
     tokens = (signed.filter(F.col("prefix").isNotNull())
-              .select(F.expr("xxhash64(grp)").alias("g"), "n", F.explode("prefix").alias("shingle")))
+              .select(F.expr("xxhash64(grp)").alias("g"), F.posexplode("prefix").alias("pos", "shingle")))
     same = Window.partitionBy("shingle")
     shared = (tokens.withColumn("lo", F.min("g").over(same)).withColumn("hi", F.max("g").over(same))
-              .filter(F.col("lo") != F.col("hi")).select("shingle", "g"))
+              .filter(F.col("lo") != F.col("hi")).select("shingle", "g", "pos"))
     named = groups.select(F.expr("xxhash64(grp)").alias("g"), "gid", "n")
-    buckets = stored(shared.distinct().join(named, "g").select("shingle", "gid", "n"), "jaccard-buckets")
-
-    # round 1: members against their group's first, groups against their shingle's first
-    pivot = F.min(F.struct("gid", "n")).over(same)
-    first = (buckets.withColumn("_p", pivot).select("gid", "n", F.col("_p.gid").alias("b"), F.col("_p.n").alias("m"))
-             .filter((F.col("gid") != F.col("b")) & near("n", "m", percent)).select(F.col("gid").alias("a"), "b"))
+    buckets = stored(shared.distinct().join(named, "g").select("shingle", "gid", "n", "pos"), "jaccard-buckets")
+
+    # the shared prefix shingles and what is left behind the last of them bound the intersection
+    reach = F.col("c") + F.least(F.col("n") - F.col("i") - 1, F.col("m") - F.col("j") - 1)
+    may_link = reach * (100 + percent) >= (F.col("n") + F.col("m")) * percent
+
+    # round 1: members against their group's first, groups against the first of the shingles they share most with
+    # (shared ones of other firsts are not counted here; a pair put off by that is looked at in round 2)
+    pivot = F.min(F.struct("gid", "n", "pos")).over(same)
+    first = (buckets.withColumn("_p", pivot).select("gid", "n", "pos", F.col("_p.gid").alias("b"), F.col("_p.n").alias("m"),
+                                                    F.col("_p.pos").alias("q"))
+             .filter((F.col("gid") != F.col("b")) & near("n", "m", percent))
+             .groupBy("gid", "b").agg(F.count(F.lit(1)).alias("c"), F.max("pos").alias("i"), F.max("q").alias("j"),
+                                      F.first("n").alias("n"), F.first("m").alias("m"))
+             .filter(may_link).groupBy(F.col("gid").alias("a")).agg(F.max_by("b", F.struct("c", -F.col("b"))).alias("b")))
     within = members.filter(F.col("rep") != F.col("gid")).select(F.col("rep").alias("a"), F.col("gid").alias("b"))
-    found = links(docs, first.union(within), k, percent)
+    looked_at = stored(first.union(within).distinct(), "jaccard-pairs")          # a > b
+    found = links(docs, looked_at, k, percent)
     # an id with several sets ties them together
     ids = rows.filter((F.col("n") > 0) & F.col("doc_id").isNotNull()).join(classes.select("class", "rep"), "class")
     least = F.min("rep").over(Window.partitionBy("doc_id"))
@@ -222,24 +239,33 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -
     spread = labelled.groupBy("gid").agg(F.min("component").alias("c0"), F.max("component").alias("c1"))
     open_ = (buckets.join(spread, "gid")
              .withColumn("lo", F.min("c0").over(same)).withColumn("hi", F.max("c1").over(same))
-             .filter(F.col("lo") != F.col("hi")).select("shingle", "gid", "n", "c0", "c1"))
+             .filter(F.col("lo") != F.col("hi")).select("shingle", "gid", "n", "pos", "c0", "c1"))
     open_ = stored(open_, "jaccard-open")
     x, y = open_.alias("x"), open_.alias("y")
     meets = ((F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.gid") < F.col("y.gid")) & near("x.n", "y.n", percent)
              & ~((F.col("x.c0") == F.col("x.c1")) & (F.col("y.c0") == F.col("y.c1")) & (F.col("x.c0") == F.col("y.c0"))))
-    group_pairs = x.join(y, meets).select(F.col("x.gid").alias("g"), F.col("y.gid").alias("h")).distinct()
+    group_pairs = (x.join(y, meets).groupBy(F.col("x.gid").alias("g"), F.col("y.gid").alias("h"))
+                   .agg(F.count(F.lit(1)).alias("c"), F.max("x.pos").alias("i"), F.max("y.pos").alias("j"),
+                        F.first("x.n").alias("n"), F.first("y.n").alias("m"))
+                   .filter(may_link).select("g", "h"))
     p, q = labelled.alias("p"), labelled.alias("q")
     across = (group_pairs.join(p, F.col("g") == F.col("p.gid")).join(q, F.col("h") == F.col("q.gid"))
-              .filter(F.col("p.component") != F.col("q.component")).select(F.col("p.rep").alias("a"), F.col("q.rep").alias("b")))
+              .filter(F.col("p.component") != F.col("q.component")).select(F.col("p.rep").alias("u"), F.col("q.rep").alias("v")))
     mixed = spread.filter(F.col("c0") != F.col("c1")).select("gid")
     p, q = labelled.join(mixed, "gid").alias("p"), labelled.join(mixed, "gid").alias("q")
     inside = (p.join(q, (F.col("p.gid") == F.col("q.gid")) & (F.col("p.rep") < F.col("q.rep"))
                      & (F.col("p.component") != F.col("q.component")))
-              .select(F.col("p.rep").alias("a"), F.col("q.rep").alias("b")))
-    late = links(docs, across.union(inside), k, percent)
-    if not late.isEmpty():
+              .select(F.col("p.rep").alias("u"), F.col("q.rep").alias("v")))
+    left = (across.union(inside).select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).distinct()
+            .join(looked_at, ["a", "b"], "left_anti"))
+    left = stored(left, "jaccard-pairs")
+    late = None if left.isEmpty() else links(docs, left, k, percent)
+    if late is not None and not late.isEmpty():
+        first_label = label
         label = stored(components(label.select(F.col("node").alias("a"), F.col("component").alias("b")).union(late)),
                        "jaccard-components")
+        forget_stored(first_label)
+    forget_stored(members, buckets, looked_at, found, labelled, open_, left, *([late] if late is not None else []))
 
     known = rows.join(classes.select("class", "rep"), "class", "left").join(
         label, F.col("rep") == F.col("node"), "left")
@@ -249,22 +275,23 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -
 
 def unnamed_alone(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     """Rows of ``docs`` without an id whose set of shingles no row with an id has."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    name = free_name(docs, "_class")
+
+    def digests(batch: pa.RecordBatch) -> pa.Array:
+        return pa.array([hashlib.md5(s.tobytes()).digest() if len(s) else None
+                         for _, _, data, off in docs_of(batch) for s in sets(data, off, k)], pa.binary())
+
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, data, off in docs_of(batch):
-                found = [hashlib.md5(s.tobytes()).digest() if len(s) else None for s in sets(data, off, k)]
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], ["_class"])
+            yield pa.RecordBatch.from_arrays([digests(batch)], [name])
 
-    def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [hashlib.md5(s.tobytes()).digest() if len(s) else None
-                     for _, _, data, off in docs_of(batch) for s in sets(data, off, k)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], [*batch.schema.names, "_class"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, digests(batch)], [*batch.schema.names, name])
 
     bare = docs.filter(F.col("doc_id").isNull())
     if bare.isEmpty():
         return docs.limit(0)
-    schema = StructType([*docs.schema.fields, StructField("_class", BinaryType())])
-    own = bare.mapInArrow(classed, schema)
-    named = docs.filter(F.col("doc_id").isNotNull()).select("text").mapInArrow(run, "_class binary").distinct()
-    return own.join(named, "_class", "left_anti").select(*docs.columns)
+    own = bare.mapInArrow(beside, StructType([*docs.schema.fields, StructField(name, BinaryType())]))
+    named = docs.filter(F.col("doc_id").isNotNull()).select("text").mapInArrow(alone, f"`{name}` binary").distinct()
+    return own.join(named, name, "left_anti").select(*docs.columns)
