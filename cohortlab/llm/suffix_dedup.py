@@ -30,14 +30,16 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import Hashes, U, docs_of, mix
-from .tables import stored
+from .arrays import Hashes, U, docs_of, mix, release
+from .tables import free_name, stored
 
 LENGTH, GRAM = 100, 32
 SPAN = LENGTH - GRAM + 1            # anchors a window can choose from
 CHUNK = 1 << 23                     # bytes looked at at once; positions in it fit the low bits
 LOW = U((1 << 24) - 1)
-PART_BYTES = 16 << 20               # text per range of the exchange
+PART_BYTES = 16 << 20               # text per block of anchor hashes
+RANGE_BYTES = 4 << 20               # text per range of suffixes
+SAMPLE_BYTES = 1 << 27              # about so much text is looked at for the splitters
 RUN_BYTES = 8 << 20                 # text per sorted run
 SPLITTERS = 20_000                  # most sampled suffixes that the splitters come from
 
@@ -283,6 +285,7 @@ def runs_of(splitters: list[bytes]):
                     rows, docs, held = [], [], 0
         if rows:
             yield flush(rows, docs)
+        release()
 
     return run
 
@@ -388,37 +391,45 @@ def merged_spans(rows: pa.Table) -> pa.Table:
                                  pa.array([np.array(x, np.int32).tobytes() for x in spans.values()], pa.binary())], ["key", "spans"])
 
 
-def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, n_removed, n_spans, kept) of each text with its spans."""
-    for batch in batches:
-        out = []
-        spans = batch.column("spans").to_pylist()
-        for i, j, data, off in docs_of(batch):
-            for d in range(j - i):
-                own = data[off[d]:off[d + 1]]
-                pairs = np.frombuffer(b"".join(spans[i + d]), np.int32).reshape(-1, 2)
-                mark = np.zeros(len(own) + 1, np.int64)
-                np.add.at(mark, pairs[:, 0], 1)
-                np.add.at(mark, pairs[:, 1], -1)
-                gone = np.cumsum(mark[:-1]) > 0
-                starts = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
-                out.append((int(gone.sum()), starts, own[~gone].tobytes()))
-        if out:
-            cols = list(zip(*out))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("key"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())],
-                ["key", "n_removed", "n_spans", "kept"])
-
-
-def splitters_of(texts: DataFrame, parts: int) -> list[bytes]:
-    """Anchor strings that divide the flagged suffixes into ``parts`` ranges of about equal size."""
+def cut(as_text: bool):
+    """(key, n_removed, n_spans, kept) of each text with its spans; as text, a character cut in two goes."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans, keys = batch.column("spans").to_pylist(), batch.column("key")
+            for i, j, data, off in docs_of(batch):
+                removed, runs, kept = [], [], []
+                for d in range(j - i):
+                    own = data[off[d]:off[d + 1]]
+                    pairs = np.frombuffer(b"".join(spans[i + d]), np.int32).reshape(-1, 2)
+                    mark = np.zeros(len(own) + 1, np.int64)
+                    np.add.at(mark, pairs[:, 0], 1)
+                    np.add.at(mark, pairs[:, 1], -1)
+                    gone = np.cumsum(mark[:-1]) > 0
+                    removed.append(int(gone.sum()))
+                    runs.append(int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum()))
+                    left = own[~gone].tobytes()
+                    kept.append(left.decode("utf-8", "ignore") if as_text else left)
+                yield pa.RecordBatch.from_arrays(
+                    [keys.slice(i, j - i), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()),
+                     pa.array(kept, pa.string() if as_text else pa.binary())], ["key", "n_removed", "n_spans", "kept"])
+        release()
+
+    return run
+
+
+def splitters_of(texts: DataFrame, parts: int, total: int) -> list[bytes]:
+    """Anchor strings that divide the flagged suffixes into ``parts`` ranges of about equal size.
+
+    They come from a sample of the texts by key; they decide where a suffix is merged, not whether.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, text, p, _, _ in texts_with_units(batch):
                 some = p[::max(1, len(p) // 4)].tolist()
                 yield pa.RecordBatch.from_arrays([pa.array([text[a:a + GRAM] for a in some], pa.binary())], ["s"])
 
-    rows = texts.mapInArrow(run, "s binary").orderBy(F.xxhash64("s", F.rand(7))).limit(SPLITTERS).collect()
+    some = texts.filter(F.crc32("key") % max(1, total // SAMPLE_BYTES) == 0)
+    rows = some.mapInArrow(run, "s binary").orderBy(F.xxhash64("s", F.rand(7))).limit(SPLITTERS).collect()
     sample = sorted(bytes(r.s) for r in rows)
     return sorted({sample[len(sample) * i // parts] for i in range(1, parts)}) if sample else []
 
@@ -429,10 +440,10 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.unhex(F.md5(text.cast("binary"))).alias("key"))
 
 
-def repeated_bytes(docs: DataFrame) -> DataFrame:
-    """(key, rep, n_removed, n_spans, kept) of every distinct text that repeats an earlier one somewhere.
+def repeated_bytes(docs: DataFrame, as_text: bool = False) -> DataFrame:
+    """(key, n_removed, n_spans, kept) of every distinct text that repeats an earlier one somewhere.
 
-    ``rep`` is the smallest id with the text (null first), the row these results are for.
+    The results are for the row of smallest id (null first) with the text.
     """
     spark = docs.sparkSession
     rows = keyed(docs)
@@ -446,13 +457,12 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
     flagged = keys.join(at, "k").select("key", "at")
     texts = rows.groupBy("key").agg(F.first("text").alias("text"), F.min(F.struct("doc_id")).alias("rep"))
     texts = stored(texts.join(flagged, "key").select("key", "text", F.col("rep.doc_id").alias("doc_id"), "at"), "suffix-texts")
-    splitters = splitters_of(texts, parts)
+    splitters = splitters_of(texts, max(parts, total // RANGE_BYTES), total)
     spans = (texts.mapInArrow(runs_of(splitters), "part int, key binary, blob binary")
              .groupBy("part").applyInArrow(merged_spans, "key binary, spans binary")
              .groupBy("key").agg(F.collect_list("spans").alias("spans")))
-    done = (texts.select("key", "text").join(spans, "key")
-            .mapInArrow(cut, "key binary, n_removed long, n_spans long, kept binary"))
-    return done.join(texts.select("key", F.col("doc_id").alias("rep")), "key")
+    return (texts.select("key", "text").join(spans, "key").select("key", "text", "spans")
+            .mapInArrow(cut(as_text), f"key binary, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}"))
 
 
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
@@ -480,29 +490,23 @@ def dedup(docs: DataFrame) -> DataFrame:
         F.when(gone, F.lit(EMPTY_SHA)).when(copy, F.col("_sha")).otherwise(F.coalesce("_kept", "_sha")).alias("kept_sha256"))
 
 
-def whole_characters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bytes as text; what is left of a character cut in two goes."""
-    for batch in batches:
-        text = [bytes(b).decode("utf-8", "ignore") for b in batch.column("kept").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("rep"), pa.array(text, pa.string())], ["key", "rep", "kept"])
-
-
 def without_repeats(docs: DataFrame) -> DataFrame:
     """All rows of ``docs`` with the repeated bytes cut out of ``text``, other columns as they were.
 
     ``n_chars``, where there is one, is counted anew for texts that changed.
     """
-    texts = repeated_bytes(docs).select("key", "rep", "kept").mapInArrow(whole_characters, "key binary, rep long, kept string")
-    rows = docs.withColumn("_key", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("_key"))
-    first = ids.groupBy("_key").agg(F.min(F.struct("doc_id")).alias("_first"))
-    done = first.join(texts.select(F.col("key").alias("_key"), F.col("kept").alias("_kept")), "_key", "left")
-    copy = ~F.col("doc_id").cast("long").eqNullSafe(F.col("_first.doc_id"))
+    key, first, kept, new = (free_name(docs, c) for c in ("_key", "_first", "_kept", "_new"))
+    digest = F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    doc_id = F.col("doc_id").cast("long")
+    rows = docs.withColumn(key, digest)
+    owner = docs.select(doc_id.alias("doc_id"), digest.alias(key)).groupBy(key).agg(F.min(F.struct("doc_id")).alias(first))
+    texts = repeated_bytes(docs, as_text=True).select(F.col("key").alias(key), F.col("kept").alias(kept))
+    copy = ~doc_id.eqNullSafe(F.col(f"{first}.doc_id"))
     long = F.octet_length("text") >= LENGTH
-    new = F.when(copy & long, F.lit("")).when(copy, F.col("text")).otherwise(F.coalesce("_kept", "text"))
-    joined = rows.join(done, "_key").withColumn("_new", new)
-    changed = ~F.col("_new").eqNullSafe(F.col("text"))
-    values = {"text": F.col("_new")}
+    joined = rows.join(owner.join(texts, key, "left"), key).withColumn(
+        new, F.when(copy & long, F.lit("")).when(copy, F.col("text")).otherwise(F.coalesce(F.col(kept), F.col("text"))))
+    values = {"text": F.col(new)}
     if "n_chars" in docs.columns:
-        values["n_chars"] = F.when(changed, F.length("_new").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+        changed = ~F.col(new).eqNullSafe(F.col("text"))
+        values["n_chars"] = F.when(changed, F.length(new).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return joined.select(*[values.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
