@@ -13,6 +13,7 @@ from cohortlab.llm import jaccard_join, packing, quality_crf, quality_rules, suf
 from cohortlab.llm.tables import free_name, long_rows, stored, table
 
 TOKENIZER = path("byte_bpe_50k.json")
+SHINGLE, PERCENT = 5, 80     # near-duplicates here: five words, similarity 0.8; op3's contract binds only its query
 ORACLE_SQL = None   # no SQL form of the classifier and the packing; the tests hold the stages against brute force
 
 
@@ -29,18 +30,18 @@ def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one of smallest id.
+    """One document of each group of near-duplicates (Jaccard 0.8 of five-word shingles), the one of smallest id.
 
     Of rows that share an id the one whose text has the smallest MD5 stays. Rows without an id
     stay unless a document with an id has the same shingles.
     """
     nth = free_name(docs, "_nth")
-    found = jaccard_join.near_duplicates(docs)
+    found = jaccard_join.near_duplicates(docs, SHINGLE, PERCENT)
     ids = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     order = Window.partitionBy("doc_id").orderBy(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
     named = (docs.filter(F.col("doc_id").isNotNull()).join(ids, "doc_id", "left_semi")
              .withColumn(nth, F.row_number().over(order)).filter(F.col(nth) == 1).select(*docs.columns))
-    return named.unionByName(jaccard_join.unnamed_alone(docs))
+    return named.unionByName(jaccard_join.unnamed_alone(docs, SHINGLE))
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
