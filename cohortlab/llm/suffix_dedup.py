@@ -16,6 +16,11 @@ Sorting the units' suffixes brings them together:
 
 Equal texts are one text from the start, so copies cost one row each. No family is
 ever gathered beyond its distinct contexts in each run.
+
+Anchors found more often than a fixed number take another way, since the units at both
+ends of a shared passage have a context of their own in every text. Each task compares
+their windows by hash and sends on the earliest of each; these are dealt out by window
+hash, so a task meets a window at most once for each block sent.
 """
 
 from __future__ import annotations
@@ -26,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,6 +48,11 @@ RANGE_BYTES = 4 << 20               # text per range of suffixes
 SAMPLE_BYTES = 1 << 27              # about so much text is looked at for the splitters
 RUN_BYTES = 8 << 20                 # text per sorted run
 SPLITTERS = 20_000                  # most sampled suffixes that the splitters come from
+FAMILY = 5_000                      # an anchor counted more often than this has its windows dealt out by hash
+COUNTED_FROM = 4                    # a task reports anchors that it holds this often
+COUNTED_AT_ONCE = 1 << 22           # anchors a task holds to count them
+WINDOWS_HELD = 1 << 20              # windows a task compares before it sends them on
+WINDOW_BYTES = 16 << 20             # windows of a part, at 24 bytes each
 
 
 def units(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -80,16 +91,62 @@ def units(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def anchors(parts: int):
-    """Blocks (part, hashes, places): 48 bits of each anchor hash, 40 bits of the text key and 24 of the position."""
+def frequent_anchors(rows: DataFrame) -> tuple[np.ndarray, int]:
+    """(sorted hashes of the anchors counted more than FAMILY times, how often they were counted together).
+
+    Tasks report what they hold COUNTED_FROM times, so an anchor left out has at most FAMILY
+    places and a few more for each task. The table has one entry for FAMILY anchors at most.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def counted() -> pa.RecordBatch:
+            h, n = np.unique(np.concatenate(held), return_counts=True)
+            often = n >= COUNTED_FROM
+            return pa.RecordBatch.from_arrays([pa.array(h[often].view(np.int64)), pa.array(n[often])], ["h", "n"])
+
+        for batch in batches:
+            for _, _, data, off in docs_of(batch):
+                held.append(units(data, off)[3])
+                size += len(held[-1])
+                if size >= COUNTED_AT_ONCE:
+                    yield counted()
+                    held, size = [], 0
+        if held:
+            yield counted()
+        release()
+
+    found = (rows.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+             .filter(F.col("n") > FAMILY).toPandas())
+    return np.sort(found["h"].to_numpy(np.int64).view(np.uint64)), int(found["n"].sum())
+
+
+def holds(table: np.ndarray, x: np.ndarray) -> np.ndarray:
+    if not len(table):
+        return np.zeros(len(x), bool)
+    return table[np.minimum(np.searchsorted(table, x), len(table) - 1)] == x
+
+
+def anchors(parts: int, frequent: np.ndarray):
+    """Blocks (part, hashes, places): 48 bits of each anchor hash, 40 bits of the text key and 24 of the position.
+
+    Frequent anchors need no search; a block without hashes has the keys of texts that hold some.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column("k").to_numpy()
             for i, j, data, off in docs_of(batch):
                 p, _, _, h = units(data, off)
+                often = holds(frequent, h)
+                doc = np.searchsorted(off, p, "right") - 1
+                if often.any():
+                    own = keys[i:j][np.unique(doc[often])]
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(own % parts), pa.array([b""] * len(own), pa.binary()),
+                        pa.array([x.tobytes() for x in own.astype(np.uint64)], pa.binary())], ["part", "hashes", "places"])
+                    p, h, doc = p[~often], h[~often], doc[~often]
                 if not len(p):
                     continue
-                doc = np.searchsorted(off, p, "right") - 1
                 place = (keys[i:j][doc].astype(np.uint64) << U(24)) | ((p - off[doc]).astype(np.uint64) & LOW)
                 part = (h % U(parts)).astype(np.int64)
                 order = np.argsort(part, kind="stable")
@@ -106,7 +163,10 @@ def anchors(parts: int):
 
 
 def repeated(blocks: pa.Table) -> pa.Table:
-    """(k, at) of anchors whose string is found at two places at least."""
+    """(k, at) of anchors whose string is found at two places at least; -1 in texts with frequent anchors."""
+    bare = pc.equal(pc.binary_length(blocks.column("hashes")), 0)
+    marked = np.frombuffer(b"".join(blocks.filter(bare).column("places").to_pylist()), np.uint64)
+    blocks = blocks.filter(pc.invert(bare))
     short = np.frombuffer(b"".join(blocks.column("hashes").to_pylist()), np.uint8).reshape(-1, 6)
     full = np.zeros((len(short), 8), np.uint8)
     full[:, :6] = short
@@ -122,7 +182,8 @@ def repeated(blocks: pa.Table) -> pa.Table:
     many[1:] |= same
     many[:-1] |= same
     found = place[many]
-    return pa.Table.from_arrays([pa.array((found >> U(24)).view(np.int64)), pa.array((found & LOW).astype(np.int32))], ["k", "at"])
+    k, at = np.append(found >> U(24), marked), np.append((found & LOW).astype(np.int32), np.full(len(marked), -1, np.int32))
+    return pa.Table.from_arrays([pa.array(k.view(np.int64)), pa.array(at.astype(np.int32))], ["k", "at"])
 
 
 def suffixes(text: bytes, p: list[int], lo: list[int], hi: list[int]) -> list[bytes]:
@@ -130,19 +191,35 @@ def suffixes(text: bytes, p: list[int], lo: list[int], hi: list[int]) -> list[by
     return [text[a:c + LENGTH] + text[b:a][::-1] + bytes((a - b,)) for a, b, c in zip(p, lo, hi)]
 
 
-def texts_with_units(batch: pa.RecordBatch):
-    """(doc_id, key, text, anchors, first windows, last windows) of the flagged units of each text."""
+def windows(data: np.ndarray, lo: np.ndarray, hi: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of the anchor's string, hash, start) of every window of units in ascending order."""
+    n = hi - lo + 1
+    start = np.arange(n.sum()) + np.repeat(lo - (np.cumsum(n) - n), n)
+    h = np.zeros(len(start), np.uint64)
+    for c in range(0, len(data) if len(start) else 0, CHUNK):
+        a, b = np.searchsorted(start, [c, c + CHUNK])
+        if a < b:
+            h[a:b] = Hashes(data[c:c + CHUNK + LENGTH]).of(start[a:b] - c, start[a:b] - c + LENGTH)
+    return np.repeat(anchor, n), h, start
+
+
+def texts_with_units(batch: pa.RecordBatch, frequent: np.ndarray):
+    """(doc_id, key, text, anchors, first windows, last windows, windows of frequent anchors) of each text's flagged units."""
     ids, keys, at = batch.column("doc_id").to_pylist(), batch.column("key").to_pylist(), batch.column("at")
     for i, j, data, off in docs_of(batch):
-        p, lo, hi, _ = units(data, off)
+        p, lo, hi, h = units(data, off)
+        often = holds(frequent, h)
+        family, window, place = windows(data, lo[often], hi[often], h[often])
+        inside = np.searchsorted(place, off)
         bound = np.searchsorted(p, off)
         text = data.tobytes()
         for d in range(j - i):
             a, b, start = bound[d], bound[d + 1], int(off[d])
             own = p[a:b] - start
-            flagged = np.isin(own & int(LOW), at[i + d].values.to_numpy(zero_copy_only=False))
+            x = slice(inside[d], inside[d + 1])
+            flagged = ~often[a:b] & np.isin(own & int(LOW), at[i + d].values.to_numpy(zero_copy_only=False))
             yield (ids[i + d], keys[i + d], text[start:int(off[d + 1])],
-                   own[flagged], lo[a:b][flagged] - start, hi[a:b][flagged] - start)
+                   own[flagged], lo[a:b][flagged] - start, hi[a:b][flagged] - start, (family[x], window[x], place[x] - start))
 
 
 def common(a: bytes, b: bytes, known: int) -> int:
@@ -248,8 +325,92 @@ def merge(runs: list[tuple[list[bytes], list[int]]]) -> Iterator[tuple[int, int,
             node //= 2
 
 
-def runs_of(splitters: list[bytes]):
-    """Rows (part, key, blob): front-coded parts of sorted runs, and spans of units collapsed on the way (key set)."""
+def pack_windows(family: np.ndarray, window: np.ndarray, doc: np.ndarray, pos: np.ndarray, docs: list[tuple]) -> bytes:
+    used, renamed = np.unique(doc, return_inverse=True)
+    ids = [docs[d][0] for d in used]
+    body = [np.array([len(doc), len(used)], np.uint32).tobytes(), family.tobytes(), window.tobytes(),
+            renamed.astype(np.uint32).tobytes(), pos.astype(np.uint32).tobytes(), np.array([i is not None for i in ids], np.uint8).tobytes(),
+            np.array([i or 0 for i in ids], np.int64).tobytes(), b"".join(docs[d][1] for d in used)]
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(body))
+
+
+def unpack_windows(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[tuple]]:
+    """(families, windows, text numbers, positions, [(id order, key)])."""
+    raw = zstandard.ZstdDecompressor().decompress(block)
+    n, m = np.frombuffer(raw, np.uint32, 2).tolist()
+    at, out = 8, []
+    for kind, count in ((np.uint64, n), (np.uint64, n), (np.uint32, n), (np.uint32, n), (np.uint8, m), (np.int64, m)):
+        out.append(np.frombuffer(raw, kind, count, at))
+        at += out[-1].nbytes
+    names = [((k, i), raw[at + 16 * x:at + 16 * x + 16]) for x, (k, i) in enumerate(zip(out[4].tolist(), out[5].tolist()))]
+    return *out[:4], names
+
+
+def earliest(family: np.ndarray, window: np.ndarray, rank: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """Which windows are the first of their kind in the order of ``rank`` and ``pos``."""
+    order = np.lexsort((pos, rank, window, family))
+    f, w = family[order], window[order]
+    out = np.ones(len(order), bool)
+    out[order[1:]] = (f[1:] != f[:-1]) | (w[1:] != w[:-1])
+    return out
+
+
+def window_spans(doc: np.ndarray, pos: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """(text, spans) of repeated windows, those at adjacent places as one span."""
+    if not len(doc):
+        return
+    order = np.lexsort((pos, doc))
+    doc, pos = doc[order], pos[order].astype(np.int64)
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1] + 1)
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(doc)) - 1
+    pairs = np.stack([pos[first], pos[last] + LENGTH], 1).astype(np.int32)
+    owner = doc[first]
+    bound = np.append(np.flatnonzero(np.append(True, owner[1:] != owner[:-1])), len(owner))
+    for a, b in zip(bound[:-1], bound[1:]):
+        yield int(owner[a]), pairs[a:b].tobytes()
+
+
+def first_windows(rows: pa.Table) -> pa.Table:
+    """Compare one part of the windows of frequent anchors: (key, spans) of those that repeat earlier ones."""
+    blocks = [unpack_windows(b) for b in rows.column("blob").to_pylist()]
+    names = sorted({name for *_, own in blocks for name in own})
+    rank = {name: r for r, name in enumerate(names)}
+    family, window, pos = (np.concatenate([b[x] for b in blocks]) for x in (0, 1, 3))
+    doc = np.concatenate([np.array([rank[name] for name in b[4]], np.int64)[b[2]] for b in blocks])
+    again = ~earliest(family, window, doc, pos)
+    found = list(window_spans(doc[again], pos[again]))
+    return pa.Table.from_arrays([pa.array([names[d][1] for d, _ in found], pa.binary()), pa.array([x for _, x in found], pa.binary())],
+                                ["key", "spans"])
+
+
+def runs_of(splitters: list[bytes], frequent: np.ndarray, window_parts: int):
+    """Rows (part, key, blob): front-coded parts of sorted runs, and spans of units collapsed on the way (key set).
+
+    Parts behind those of the suffixes have the windows of frequent anchors, each once for a block.
+    """
+    ranges = len(splitters) + 1
+
+    def compared(held: list[tuple], docs: list[tuple]) -> pa.RecordBatch:
+        order = sorted(range(len(docs)), key=lambda d: ((docs[d][0] is not None, docs[d][0] or 0), docs[d][1]))
+        rank = np.empty(len(docs), np.int64)
+        rank[order] = np.arange(len(docs))
+        family, window, pos = (np.concatenate([h[x] for h in held]) for x in (1, 2, 3))
+        doc = np.repeat([h[0] for h in held], [len(h[1]) for h in held])
+        first = earliest(family, window, rank[doc], pos)
+        out = [(docs[d][1][0] % ranges, docs[d][1], x) for d, x in window_spans(doc[~first], pos[~first])]
+        family, window, doc, pos = (x[first] for x in (family, window, doc, pos))
+        part = (window % U(window_parts)).astype(np.int64)
+        by_part = np.argsort(part, kind="stable")
+        bound = np.searchsorted(part[by_part], np.arange(window_parts + 1))
+        for u in np.flatnonzero(np.diff(bound)).tolist():
+            own = by_part[bound[u]:bound[u + 1]]
+            out.append((ranges + u, None, pack_windows(family[own], window[own], doc[own], pos[own], docs)))
+        cols = list(zip(*out))
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())],
+                                          ["part", "key", "blob"])
+
     def flush(rows: list[tuple], docs: list[tuple]) -> pa.RecordBatch:
         order = sorted(range(len(docs)), key=lambda d: ((docs[d][0] is not None, docs[d][0] or 0), docs[d][1]))
         rank = {d: r for r, d in enumerate(order)}
@@ -272,17 +433,25 @@ def runs_of(splitters: list[bytes]):
                                           ["part", "key", "blob"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, docs, held = [], [], 0
+        rows, docs, held, many, n_many = [], [], 0, [], 0
         for batch in batches:
-            for doc_id, key, text, p, lo, hi in texts_with_units(batch):
+            for doc_id, key, text, p, lo, hi, own in texts_with_units(batch, frequent):
                 p = p.tolist()
+                if len(own[0]):
+                    many.append((len(docs), *own))
+                    n_many += len(own[0])
                 rows += zip(suffixes(text, p, lo.tolist(), hi.tolist()), [len(docs)] * len(p), p)
                 docs.append((doc_id, key))
                 held += len(text)
+                if many and (n_many >= WINDOWS_HELD or held >= RUN_BYTES):
+                    yield compared(many, docs)
+                    many, n_many = [], 0
                 if held >= RUN_BYTES:
                     if rows:
                         yield flush(rows, docs)
                     rows, docs, held = [], [], 0
+        if many:
+            yield compared(many, docs)
         if rows:
             yield flush(rows, docs)
         release()
@@ -417,14 +586,22 @@ def cut(as_text: bool):
     return run
 
 
-def splitters_of(texts: DataFrame, parts: int, total: int) -> list[bytes]:
+def merged(ranges: int):
+    """Parts of suffixes are merged, those behind them hold windows."""
+    def run(rows: pa.Table) -> pa.Table:
+        return first_windows(rows) if rows.column("part")[0].as_py() >= ranges else merged_spans(rows)
+
+    return run
+
+
+def splitters_of(texts: DataFrame, parts: int, total: int, frequent: np.ndarray) -> list[bytes]:
     """Anchor strings that divide the flagged suffixes into ``parts`` ranges of about equal size.
 
     They come from a sample of the texts by key; they decide where a suffix is merged, not whether.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, text, p, _, _ in texts_with_units(batch):
+            for _, _, text, p, *_ in texts_with_units(batch, frequent):
                 some = p[::max(1, len(p) // 4)].tolist()
                 yield pa.RecordBatch.from_arrays([pa.array([text[a:a + GRAM] for a in some], pa.binary())], ["s"])
 
@@ -450,16 +627,18 @@ def repeated_bytes(docs: DataFrame, as_text: bool = False) -> DataFrame:
     short = F.conv(F.substring(F.hex("key"), 1, 10), 16, 10).cast("long")       # 40 bits of the key
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // PART_BYTES + 1)
-    at = (rows.select(short.alias("k"), "text").mapInArrow(anchors(parts), "part long, hashes binary, places binary")
+    frequent, places = frequent_anchors(rows)
+    at = (rows.select(short.alias("k"), "text").mapInArrow(anchors(parts, frequent), "part long, hashes binary, places binary")
           .groupBy("part").applyInArrow(repeated, "k long, at int")
           .groupBy("k").agg(F.collect_list("at").alias("at")))
     keys = rows.select("key", short.alias("k")).distinct()
     flagged = keys.join(at, "k").select("key", "at")
     texts = rows.groupBy("key").agg(F.first("text").alias("text"), F.min(F.struct("doc_id")).alias("rep"))
     texts = stored(texts.join(flagged, "key").select("key", "text", F.col("rep.doc_id").alias("doc_id"), "at"), "suffix-texts")
-    splitters = splitters_of(texts, max(parts, total // RANGE_BYTES), total)
-    spans = (texts.mapInArrow(runs_of(splitters), "part int, key binary, blob binary")
-             .groupBy("part").applyInArrow(merged_spans, "key binary, spans binary")
+    splitters = splitters_of(texts, max(parts, total // RANGE_BYTES), total, frequent)
+    window_parts = 24 * SPAN * places // WINDOW_BYTES + 1
+    spans = (texts.mapInArrow(runs_of(splitters, frequent, window_parts), "part int, key binary, blob binary")
+             .groupBy("part").applyInArrow(merged(len(splitters) + 1), "key binary, spans binary")
              .groupBy("key").agg(F.collect_list("spans").alias("spans")))
     return (texts.select("key", "text").join(spans, "key").select("key", "text", "spans")
             .mapInArrow(cut(as_text), f"key binary, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}"))
