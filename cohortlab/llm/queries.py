@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 
 from . import (bpe, jaccard_join, license_scan, lm_score, packing, quality_crf, quality_rules, suffix_dedup,
-               token_files, topk_search)
+               token_files, topk_search, whitening)
 from .tables import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -91,3 +91,8 @@ def op7(spark, sf_dir):
 @query("op5_lm_score")
 def op5(spark, sf_dir):
     return lm_score.lm_scores(table(spark, sf_dir, "documents"))
+
+
+@query("op11_whitening")
+def op11(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
