@@ -27,9 +27,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrays import docs_of
+from .arrays import docs_of, release
 from .tables import fresh_path, stored
-from .token_ids import encode_slice, encoded, forget, id_kind
+from .token_ids import encode_slice, encoded, id_kind
 
 END_ID = 2
 MAGIC = b"IDSZ0001"
@@ -119,7 +119,7 @@ def write_shards(docs: DataFrame, path: str, folder: str, end_id: int = END_ID)
                         number, shard = number + 1, Shard(kind, digest)
         if shard.index:
             yield closed()
-        forget()
+        release()
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("_hash"))
