@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import (bpe, jaccard_join, license_scan, lm_score, packing, quality_crf, quality_rules, suffix_dedup,
+from . import (alignment, bpe, jaccard_join, language_id, license_scan, lm_score, packing, quality_crf, quality_rules, suffix_dedup,
                token_files, topk_search, whitening)
 from .tables import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 QUERIES = {}
 ORACLES = {}
@@ -96,3 +97,13 @@ def op5(spark, sf_dir):
 @query("op11_whitening")
 def op11(spark, sf_dir):
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_alignment")
+def op12(spark, sf_dir):
+    return alignment.align(table(spark, sf_dir, "documents"), TOKENIZER, PIECES)
+
+
+@query("op13_language_id")
+def op13(spark, sf_dir):
+    return language_id.identify(table(spark, sf_dir, "documents"), PIECES)
