@@ -1,72 +1,48 @@
-"""Distributed learners, out-of-fold stacking and calibration on Spark ML.
+"""Boosted learners, out-of-fold stacking and calibration.
 
-Third-party boosting libraries are single-machine engines; here every fit
-is a Spark ML estimator. Fold loops run on the driver but each fit is a
-distributed job over the fold's rows, selected by a hash fold column.
+The boosting itself is in ``boosting`` (all fits side by side), the small logistic regressions of
+the meta learner and of the sigmoid calibration in ``newton`` (all fits in one pass), the isotonic
+calibration in ``isotonic``. Fitted models are a few thousand numbers; scoring is one pass.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
+import numpy as np
 from pyspark import StorageLevel
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (GBTClassifier, LogisticRegression,
-                                       RandomForestClassifier)
-from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
+from pyspark.ml import Pipeline
+from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import materialise
+from . import isotonic, metrics
+from .boosting import Boosted, Fit, Learner, fit_all, with_probabilities
 from .curves import roc_auc, score_curve
+from .newton import Logistic, fit_many
 from .split import hash_folds
 
 SEED = 42
-PARALLEL_FITS = 8
-ROWS_PER_TASK = 100_000
-
-
-def _parallel(fns, parallelism: int = PARALLEL_FITS) -> list:
-    """Run independent Spark jobs (model fits) from a small driver thread pool, as
-    CrossValidator's ``parallelism`` does; results keep the input order."""
-    from concurrent.futures import ThreadPoolExecutor
-
-    from pyspark import inheritable_thread_target
-    from pyspark.sql import SparkSession
-    if parallelism <= 1 or len(fns) <= 1:
-        return [f() for f in fns]
-    wrap = inheritable_thread_target(SparkSession.getActiveSession())
-    with ThreadPoolExecutor(max_workers=parallelism) as ex:
-        return list(ex.map(lambda f: wrap(f)(), fns))
 # fixed values: meta-learner inverse regularisation grid
 META_C_GRID = (0.01, 0.1, 1.0, 10.0)
 
 
-@dataclass
-class LearnerSpec:
-    name: str
-    kind: str                      # "gbt" or "rf"
-    params: dict = field(default_factory=dict)
-
-
-def default_specs(max_iter: int = 200) -> list[LearnerSpec]:
-    """Four boosted learners with the reference's depth / rate / sampling settings.
+def default_specs(max_iter: int = 200) -> list[Learner]:
+    """Four boosted learners, each with its own way to grow a tree.
 
-    fixed values: depth 4, rate 0.03, row 0.85, column 0.7 | depth 5 (about 20
-    leaves), column 0.8, no row sampling (its bagging fraction is inactive) |
-    depth 4 | depth 3, row 0.8.
+    fixed values: depth 4, rows 0.85, columns 0.7 | 20 leaves, columns 0.8 (no row sampling: its
+    bagging fraction is inactive without a bagging frequency) | symmetric, depth 4 | depth 3, rows
+    0.8; rate 0.03 and 200 rounds each; penalties and least sizes are the learners' usual defaults.
     """
     return [
-        LearnerSpec("gbt_d4_row85_col70", "gbt", dict(maxDepth=4, stepSize=0.03, subsamplingRate=0.85,
-                                                      featureSubsetStrategy="0.7", maxIter=max_iter)),
-        LearnerSpec("gbt_d5_col80", "gbt", dict(maxDepth=5, stepSize=0.03, subsamplingRate=1.0,
-                                                featureSubsetStrategy="0.8", maxIter=max_iter)),
-        LearnerSpec("gbt_d4", "gbt", dict(maxDepth=4, stepSize=0.03, maxIter=max_iter)),
-        LearnerSpec("gbt_d3_row80", "gbt", dict(maxDepth=3, stepSize=0.03, subsamplingRate=0.8,
-                                                maxIter=max_iter)),
+        Learner("gbt_d4_row85_col70", "level", depth=4, rows=0.85, columns=0.7, rounds=max_iter, l2=1.0, least_hessian=1.0),
+        Learner("gbt_leaves20_col80", "leaf", leaves=20, columns=0.8, rounds=max_iter, l2=0.0, least_rows=20),
+        Learner("gbt_symmetric_d4", "symmetric", depth=4, rounds=max_iter, l2=3.0),
+        Learner("gbt_d3_row80", "level", depth=3, rows=0.8, rounds=max_iter, l2=0.0),
     ]
 
 
@@ -74,135 +50,63 @@ def positive_probability(col: str) -> F.Column:
     return vector_to_array(F.col(col))[1]
 
 
-def assemble(df: DataFrame, feature_cols: Sequence[str], out: str = "features") -> DataFrame:
-    return VectorAssembler(inputCols=list(feature_cols), outputCol=out,
-                           handleInvalid="keep").transform(df)
+def fit_stack_bases(train: DataFrame, specs: Sequence[Learner], label: str, key: str, features: Sequence[str],
+                    k: int = 5, salt: str = "oof") -> tuple[dict[str, Boosted], dict[tuple[str, int], Boosted]]:
+    """(learner -> model on all rows, (learner, fold) -> model on the rows outside the fold), fitted side by side."""
+    folded = hash_folds(train.select(key, label, *features), key, k, salt)
+    fits = [Fit(s, f) for s in specs for f in (-1, *range(k))]
+    found = fit_all(folded, key, label, features, fits, "fold")
+    return ({f.learner.name: m for f, m in zip(fits, found) if f.fold < 0},
+            {(f.learner.name, f.fold): m for f, m in zip(fits, found) if f.fold >= 0})
 
 
-def estimator(spec: LearnerSpec, label: str, features: str = "features"):
-    # shallow trees: walking them costs less than caching node ids; checkpoints (to the
-    # shared spark.checkpoint.dir) only to bound the lineage of hundreds of rounds
-    cols = dict(featuresCol=features, labelCol=label, seed=SEED, cacheNodeIds=False, maxMemoryInMB=512,
-                checkpointInterval=50)
-    if spec.kind == "gbt":
-        est = GBTClassifier(**cols, **spec.params)
-    elif spec.kind == "rf":
-        est = RandomForestClassifier(**cols, **spec.params)
-    else:
-        raise ValueError(spec.kind)
-    return (est.setProbabilityCol(f"_prob_{spec.name}").setRawPredictionCol(f"_raw_{spec.name}")
-               .setPredictionCol(f"_pred_{spec.name}"))
+def add_scores(df: DataFrame, models: dict[str, Boosted], prefix: str = "p_") -> DataFrame:
+    """One ``p_<name>`` column per model, from one pass over the feature columns."""
+    return with_probabilities(df, list(models.values()), [f"{prefix}{n}" for n in models])
 
 
-def sized(df: DataFrame) -> DataFrame:
-    """``df`` persisted in one task per ROWS_PER_TASK rows.
+def oof_scores(train: DataFrame, fold_models: dict[tuple[str, int], Boosted], label: str, key: str,
+               k: int = 5, salt: str = "oof") -> DataFrame:
+    """Held-out score of every training row for every learner: (key, label, fold, p_<learner>...), stored.
 
-    Boosting runs hundreds of short jobs over the same rows; tasks of a few rows each
-    would cost more to schedule than to run. Large tables keep their partitions.
+    Each row is scored only by the models that left its fold out; no join.
     """
-    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
-    tasks = max(1, -(-kept.count() // ROWS_PER_TASK))
-    if tasks >= kept.rdd.getNumPartitions():
-        return kept
-    few = kept.coalesce(tasks).persist(StorageLevel.MEMORY_AND_DISK)
-    few.count()
-    kept.unpersist()
-    return few
-
-
-def fit_base(df: DataFrame, specs: Sequence[LearnerSpec], label: str,
-             features: str = "features", parallelism: int = PARALLEL_FITS) -> dict:
-    df = sized(df.select(label, features))
-    fits = _parallel([lambda s=s: estimator(s, label, features).fit(df) for s in specs], parallelism)
-    df.unpersist()
-    return {s.name: m for s, m in zip(specs, fits)}
-
-
-def add_scores(df: DataFrame, models: dict, prefix: str = "p_") -> DataFrame:
-    """Chained transforms on one DataFrame: one ``p_<name>`` column per model, no join."""
-    out = df
-    for name, m in models.items():
-        out = m.transform(out)
-        out = (out.withColumn(f"{prefix}{name}", positive_probability(f"_prob_{name}"))
-                  .drop(f"_prob_{name}", f"_raw_{name}", f"_pred_{name}"))
-    return out
-
-
-def oof_scores(train: DataFrame, specs: Sequence[LearnerSpec], label: str, key: str,
-               k: int = 5, salt: str = "oof", features: str = "features",
-               path: str | None = None) -> tuple[DataFrame, dict]:
-    """Held-out score of every training row for every model, and the fold models.
-
-    Each (model, fold) fit sees the rows outside the fold. The long
-    (key, model, p) result is pivoted into columns in one shuffle and written
-    to the shared folder, cutting lineage before the meta fit.
-    """
-    spark = train.sparkSession
-    t = sized(hash_folds(train.select(key, label, features), key, k, salt))
-    jobs = [(s, f) for s in specs for f in range(k)]
-    fits = _parallel([lambda s=s, f=f: estimator(s, label, features).fit(t.filter(F.col("fold") != f))
-                      for s, f in jobs])
-    parts, fold_models = [], {}
-    for (s, f), m in zip(jobs, fits):
-        fold_models[(s.name, f)] = m
-        held = m.transform(t.filter(F.col("fold") == f))
-        parts.append(held.select(key, label, "fold", F.lit(s.name).alias("model"),
-                                 positive_probability(f"_prob_{s.name}").alias("p")))
-    long = parts[0]
-    for p in parts[1:]:
-        long = long.unionByName(p)
-    names = [s.name for s in specs]
-    wide = (long.groupBy(key, label, "fold").pivot("model", names).agg(F.first("p"))
-                .select(key, label, "fold", *[F.col(n).alias(f"p_{n}") for n in names]))
-    import uuid
-    out_path = path or scratch_path(spark, f"oof-{uuid.uuid4().hex}")
-    wide.write.mode("overwrite").parquet(out_path)
-    t.unpersist()
-    return spark.read.parquet(out_path), fold_models
-
-
-def fold_average_scores(df: DataFrame, fold_models: dict, prefix: str = "p_") -> DataFrame:
-    """Validation meta features: per model, the mean score of its fold models."""
-    per_model: dict[str, list[str]] = {}
-    out = df
-    for i, ((n, f), m) in enumerate(sorted(fold_models.items())):
-        out = m.transform(out)
-        c = f"_f{i}"
-        per_model.setdefault(n, []).append(c)
-        out = (out.withColumn(c, positive_probability(f"_prob_{n}"))
-                  .drop(f"_prob_{n}", f"_raw_{n}", f"_pred_{n}"))
-    for n, cols in per_model.items():
-        out = out.withColumn(f"{prefix}{n}", sum(F.col(c) for c in cols) / len(cols))
-    return out.drop(*[c for cols in per_model.values() for c in cols])
+    names = list(dict.fromkeys(n for n, _ in fold_models))
+    features = next(iter(fold_models.values())).features
 
+    @F.pandas_udf(", ".join(f"m{i} double" for i in range(len(names))))
+    def held_out(x):
+        import pandas as pd
 
-# ------------------------------------------------------------------ meta learner
+        values, fold = x.iloc[:, 1:].to_numpy(float), x.iloc[:, 0].to_numpy()
+        out = np.full((len(x), len(names)), np.nan)
+        for f in np.unique(fold).tolist():
+            at = np.flatnonzero(fold == f)
+            for i, n in enumerate(names):
+                out[at, i] = 1 / (1 + np.exp(-fold_models[n, f].margins(values[at])))
+        return pd.DataFrame(out, columns=[f"m{i}" for i in range(len(names))])
 
-def balanced_weights(df: DataFrame, label: str, out: str = "_w") -> tuple[DataFrame, float]:
-    """w = n / (2 * n_class) from one two-row aggregate, and the sum of the weights."""
-    n = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
-    total = sum(n.values())
-    w = F.lit(None).cast("double")
-    for y, k in n.items():
-        w = F.when(F.col(label) == y, F.lit(total / (2.0 * k))).otherwise(w)
-    return df.withColumn(out, w), total * len(n) / 2.0
+    t = hash_folds(train.select(key, label, *features), key, k, salt)
+    row = F.struct(F.col("fold").cast("int").alias("f"), *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(features)])
+    scored = t.withColumn("_held", held_out(row))
+    return materialise(scored.select(key, label, "fold", *[F.col(f"_held.m{i}").alias(f"p_{n}") for i, n in enumerate(names)]), "oof")
 
 
-def meta_pipeline(p_cols: Sequence[str], label: str, reg: float) -> Pipeline:
-    """Standardise, then class-balanced L2 logistic regression (regParam = 1 / (C * sum w))."""
-    return Pipeline(stages=[
-        VectorAssembler(inputCols=list(p_cols), outputCol="_meta_raw"),
-        StandardScaler(inputCol="_meta_raw", outputCol="_meta_x", withMean=True, withStd=True),
-        LogisticRegression(featuresCol="_meta_x", labelCol=label, weightCol="_w", regParam=reg,
-                           elasticNetParam=0.0, standardization=False, maxIter=200,
-                           probabilityCol="_meta_prob", rawPredictionCol="_meta_raw_pred",
-                           predictionCol="_meta_pred"),
-    ])
+def fold_average_scores(df: DataFrame, fold_models: dict[tuple[str, int], Boosted], prefix: str = "p_") -> DataFrame:
+    """Validation meta features: per learner, the mean score of its fold models."""
+    order = sorted(fold_models)
+    scored = with_probabilities(df, [fold_models[i] for i in order], [f"_f{n}" for n in range(len(order))])
+    own: dict[str, list[str]] = {}
+    for i, (n, _) in enumerate(order):
+        own.setdefault(n, []).append(f"_f{i}")
+    return scored.select(*df.columns, *[(sum(F.col(c) for c in cols) / len(cols)).alias(f"{prefix}{n}") for n, cols in own.items()])
 
 
+# ------------------------------------------------------------------ meta learner
+
 @dataclass
 class MetaModel:
-    model: PipelineModel
+    model: Logistic
     best_c: float
     cv: list[tuple[float, float]]
     p_cols: list[str]
@@ -214,37 +118,33 @@ def _auc(df: DataFrame, y: str, p: str) -> float:
 
 def fit_meta(oof: DataFrame, label: str, p_cols: Sequence[str], key: str,
              c_grid: Sequence[float] = META_C_GRID, cv_folds: int = 3) -> MetaModel:
-    """Pick C by mean 3-fold AUC (strict '>', first best in grid order), refit on all rows.
+    """Pick C by mean 3-fold AUC (strict '>', first best in grid order); the model of that C on all rows.
 
-    Class weights and the penalty 1 / (C * sum of weights) belong to the rows of each fit.
+    All (C, fold) fits and those on all rows share their passes. Class weights, mean and scale belong to
+    the rows of each fit.
     """
     f = hash_folds(oof, key, cv_folds, "meta").persist(StorageLevel.MEMORY_AND_DISK)
+    fits = [(c, k) for c in c_grid for k in (*range(cv_folds), None)]
+    found = dict(zip(fits, fit_many(f, p_cols, label, fits, "fold")))
+    held = [F.struct(F.lit(float(c)).alias("c"), F.coalesce(*[F.when(F.col("fold") == k, found[c, k].probability())
+                                                              for k in range(cv_folds)]).alias("p")) for c in c_grid]
+    long = f.select(label, "fold", F.explode(F.array(*held)).alias("s")).select(label, "fold", "s.c", "s.p")
+    auc: dict[float, list[float]] = {}
+    for r in metrics.auc_by(long, ["c", "fold"], y=label, p="p").collect():
+        auc.setdefault(r["c"], []).append(r["roc_auc"])
+    f.unpersist()
     best_c, best, table = 1.0, 0.0, []
-    shares = [balanced_weights(f.filter(F.col("fold") != k), label) for k in range(cv_folds)]
-
-    def cv_auc(c, k):
-        rows, mass = shares[k]
-        m = meta_pipeline(p_cols, label, 1.0 / (c * mass)).fit(rows)
-        s = m.transform(f.filter(F.col("fold") == k)).withColumn("_p", positive_probability("_meta_prob"))
-        return _auc(s, label, "_p")
-    grid = [(c, k) for c in c_grid for k in range(cv_folds)]
-    aucs = _parallel([lambda c=c, k=k: cv_auc(c, k) for c, k in grid])
     for c in c_grid:       # grid order, strict '>': the first best C wins
-        vals = [a for (cc, _), a in zip(grid, aucs) if cc == c]
-        mean = sum(vals) / len(vals)
+        values = [a for a in auc.get(float(c), []) if a is not None]
+        mean = sum(sorted(values)) / len(values) if values else 0.0
         table.append((float(c), float(mean)))
         if mean > best:
             best, best_c = mean, c
-    rows, mass = balanced_weights(f, label)
-    final = meta_pipeline(p_cols, label, 1.0 / (best_c * mass)).fit(rows)
-    f.unpersist()
-    return MetaModel(final, float(best_c), table, list(p_cols))
+    return MetaModel(found[best_c, None], float(best_c), table, list(p_cols))
 
 
 def meta_score(df: DataFrame, meta: MetaModel, out: str = "p_stack") -> DataFrame:
-    s = meta.model.transform(df)
-    return (s.withColumn(out, positive_probability("_meta_prob"))
-             .drop("_meta_raw", "_meta_x", "_meta_prob", "_meta_raw_pred", "_meta_pred"))
+    return df.withColumn(out, meta.model.probability())
 
 
 # ------------------------------------------------------------------ calibration
@@ -261,52 +161,35 @@ class Calibrator:
     oof_brier: float
 
 
-def _fit_one(df: DataFrame, method: str, y: str, p: str):
-    if method == "sigmoid":
-        x = VectorAssembler(inputCols=["_logit"], outputCol="_cal_x").transform(
-            df.withColumn("_logit", _logit(p)))
-        return LogisticRegression(featuresCol="_cal_x", labelCol=y, regParam=0.0, maxIter=100,
-                                  probabilityCol="_cal_prob", rawPredictionCol="_cal_raw",
-                                  predictionCol="_cal_pred").fit(x)
-    # isotonic on tied-score counts: one weighted row per distinct score
-    g = df.groupBy(p).agg(F.avg(F.col(y).cast("double")).alias("_yr"), F.count(F.lit(1)).alias("_wn"))
-    return IsotonicRegression(featuresCol=p, labelCol="_yr", weightCol="_wn",
-                              predictionCol="_cal_iso").fit(g.withColumn("_wn", F.col("_wn").cast("double")))
-
-
-def _apply_one(df: DataFrame, method: str, model, p: str, out: str) -> DataFrame:
+def calibrated(df: DataFrame, method: str, models: Sequence, p: str, outs: Sequence[str]) -> DataFrame:
+    """``df`` with one calibrated column per model."""
     if method == "sigmoid":
-        x = VectorAssembler(inputCols=["_logit"], outputCol="_cal_x").transform(
-            df.withColumn("_logit", _logit(p)))
-        s = model.transform(x).withColumn(out, positive_probability("_cal_prob"))
-        return s.drop("_logit", "_cal_x", "_cal_prob", "_cal_raw", "_cal_pred")
-    return model.setFeaturesCol(p).transform(df).withColumnRenamed("_cal_iso", out)
+        x = df.withColumn("_logit", _logit(p))
+        return x.select(*df.columns, *[m.probability().alias(o) for m, o in zip(models, outs)])
+    return isotonic.apply_steps(df, models, p, outs)
 
 
 def apply_calibrator(df: DataFrame, cal: Calibrator, p: str, out: str = "p_cal") -> DataFrame:
-    cur = df
-    cols = []
-    for i, m in enumerate(cal.models):
-        cur = _apply_one(cur, cal.method, m, p, f"_c{i}")
-        cols.append(f"_c{i}")
-    return cur.withColumn(out, sum(F.col(c) for c in cols) / len(cols)).drop(*cols)
+    outs = [f"_c{i}" for i in range(len(cal.models))]
+    scored = calibrated(df, cal.method, cal.models, p, outs)
+    return scored.select(*df.columns, (sum(F.col(c) for c in outs) / len(outs)).alias(out))
 
 
 def fit_calibrators(df: DataFrame, y: str, p: str, key: str, folds: int = 3,
                     methods: Sequence[str] = ("sigmoid", "isotonic")) -> tuple[Calibrator, DataFrame]:
-    """Cross-fitted calibrators: each fold's rows are calibrated by models fit on the
+    """Cross-fitted calibrators: each fold's rows are calibrated by the model fitted on the
     other folds; the method with the lower out-of-fold Brier wins."""
     f = hash_folds(df, key, folds, "calibration").persist(StorageLevel.MEMORY_AND_DISK)
+    outs = [f"_c{i}" for i in range(folds)]
     best = None
     for method in methods:
-        models, parts = [], []
-        for k in range(folds):
-            m = _fit_one(f.filter(F.col("fold") != k), method, y, p)
-            models.append(m)
-            parts.append(_apply_one(f.filter(F.col("fold") == k), method, m, p, "p_cal"))
-        oof = parts[0]
-        for x in parts[1:]:
-            oof = oof.unionByName(x)
+        if method == "sigmoid":
+            models = fit_many(f.withColumn("_logit", _logit(p)), ["_logit"], y, [(1e6, k) for k in range(folds)], "fold",
+                              standardise=False, balanced=False)
+        else:
+            models = isotonic.fit_steps(f, p, y, "fold", folds)
+        scored = calibrated(f, method, models, p, outs)
+        oof = scored.select(*f.columns, F.coalesce(*[F.when(F.col("fold") == k, F.col(c)) for k, c in enumerate(outs)]).alias("p_cal"))
         b = oof.agg(F.avg(F.pow(F.col("p_cal") - F.col(y), 2))).collect()[0][0]
         if best is None or b < best[0].oof_brier:
             best = (Calibrator(method, models, float(b)), oof)

@@ -42,7 +42,7 @@ def base_fit_scores(spark, sf_dir):
     b, _ = trained(spark, sf_dir)
     from ..operators import prep
     va = _split_frame(spark, sf_dir, "validation")
-    x = models.assemble(prep.apply_prep(va, b.state, keep=["patient_id", "ir_label"]), b.state.selected)
+    x = prep.apply_prep(va, b.state, keep=["patient_id", "ir_label"])
     return base_validation_metrics(b, x, "ir_label")
 
 
@@ -136,9 +136,7 @@ def model_generalisation_gap(spark, sf_dir):
     cfg = CONFIG
     data = prepare_training_frame(frames.prepared(spark, sf_dir), cfg, b.state.input_fills).filter(
         F.col("split").isin("train", "validation"))
-    x = models.assemble(prep.apply_prep(data, b.state, keep=["patient_id", "ir_label", "split"]),
-                        b.state.selected)
-    s = models.add_scores(x, b.base)
+    s = models.add_scores(prep.apply_prep(data, b.state, keep=["patient_id", "ir_label", "split"]), b.base)
     names = list(b.base)
     rows = ", ".join(f"'{n}', `p_{n}`" for n in names)
     long = s.selectExpr("ir_label", "split", f"stack({len(names)}, {rows}) AS (model, p)")

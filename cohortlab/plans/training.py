@@ -11,14 +11,16 @@ later use (evaluation, validation, scoring) takes it from there.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import json
+from dataclasses import asdict, dataclass, field
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import curves, features, metrics, models, prep, profile, split
+from ..operators import boosting, curves, features, isotonic, metrics, models, newton, prep, profile, split
 from ..operators.clean import LABEL
+from ..session import materialise
 
 
 @dataclass
@@ -56,12 +58,10 @@ class Bundle:
     def score(self, df: DataFrame, out: str = "probability") -> DataFrame:
         """All input columns plus ``out`` (calibrated stacked probability)."""
         x = prep.apply_prep(df, self.state, keep=[c for c in df.columns])
-        x = models.assemble(x, self.state.selected)
         x = models.add_scores(x, self.base)
         x = models.meta_score(x, self.meta, "_p_stack")
         x = models.apply_calibrator(x, self.calibrator, "_p_stack", out)
-        drop = ["features", "_p_stack"] + [f"p_{n}" for n in self.base]
-        return x.drop(*drop)
+        return x.drop("_p_stack", *[f"p_{n}" for n in self.base])
 
     __call__ = score
 
@@ -102,20 +102,20 @@ def train(prepared: DataFrame, cfg: TrainConfig | None = None) -> tuple[Bundle,
                           [c for c in state.selected if c in x.columns])
     if guard:
         state.selected = [c for c in state.selected if c not in guard]
-    x = models.assemble(x, state.selected).select(key, label, "split", "features")
-    x = x.persist(StorageLevel.MEMORY_AND_DISK)
+    x = x.select(key, label, "split", *state.selected).persist(StorageLevel.MEMORY_AND_DISK)
     tr, va = x.filter("split = 'train'"), x.filter("split = 'validation'")
 
     specs = models.default_specs(cfg.max_iter)
-    base = models.fit_base(tr, specs, label)
-    oof, fold_models = models.oof_scores(tr, specs, label, key, cfg.oof_folds)
+    base, fold_models = models.fit_stack_bases(tr, specs, label, key, state.selected, cfg.oof_folds)
+    oof = models.oof_scores(tr, fold_models, label, key, cfg.oof_folds)
     p_cols = [f"p_{s.name}" for s in specs]
     meta = models.fit_meta(oof, label, p_cols, key, cv_folds=cfg.meta_folds)
 
-    val = models.fold_average_scores(va, fold_models)
-    val = models.meta_score(val, meta, "p_stack")
-    cal, val_cal = models.fit_calibrators(val.drop("features"), label, "p_stack", key,
-                                          cfg.calibration_folds)
+    val = models.fold_average_scores(va, fold_models).drop(*state.selected)
+    # calibration, thresholds and every metric read these scores: compute them once
+    val = materialise(models.meta_score(val, meta, "p_stack"), "validation-scores")
+    cal, val_cal = models.fit_calibrators(val, label, "p_stack", key, cfg.calibration_folds)
+    val_cal = materialise(val_cal, "calibrated-scores")
     grid = curves.threshold_grid(val_cal, label, "p_cal")
     f1 = curves.f1_threshold(grid).collect()[0]
     yj = curves.youden(curves.score_curve(val_cal, label, "p_cal")).collect()[0]
@@ -142,36 +142,34 @@ def base_validation_metrics(bundle: Bundle, x_val: DataFrame, label: str) -> Dat
 
 
 def save_bundle(bundle: Bundle, spark, path: str) -> None:
-    """Spark ML writers for every model, JSON documents for state and thresholds."""
-    import json
+    """Node tables of the learners and JSON documents for the rest."""
     from ..operators.prep import save_state
     save_state(bundle.state, spark, f"{path}/prep_state")
-    for name, m in bundle.base.items():
-        m.write().overwrite().save(f"{path}/base/{name}")
-    bundle.meta.model.write().overwrite().save(f"{path}/meta")
+    boosting.node_table(spark, list(bundle.base.values())).write.mode("overwrite").parquet(f"{path}/base")
     for i, m in enumerate(bundle.calibrator.models):
-        m.write().overwrite().save(f"{path}/calibrator/{i}")
+        if getattr(m, "cells", None):
+            spark.read.parquet(m.cells).write.mode("overwrite").parquet(f"{path}/calibrator/{i}")
     doc = {"model_version": bundle.model_version, "thresholds": bundle.thresholds, "validation": bundle.validation,
-           "best_c": bundle.meta.best_c, "p_cols": bundle.meta.p_cols,
+           "best_c": bundle.meta.best_c, "p_cols": bundle.meta.p_cols, "meta": asdict(bundle.meta.model),
            "calibration": {"method": bundle.calibrator.method, "oof_brier": bundle.calibrator.oof_brier,
-                           "n": len(bundle.calibrator.models)},
-           "base": list(bundle.base)}
+                           "models": [asdict(m) for m in bundle.calibrator.models]},
+           "base": list(bundle.base), "features": bundle.state.selected}
     spark.createDataFrame([(json.dumps(doc, sort_keys=True),)], "doc string").coalesce(1) \
-        .write.mode("overwrite").json(f"{path}/manifest")
+        .write.mode("overwrite").text(f"{path}/manifest")
 
 
 def load_bundle(spark, path: str) -> Bundle:
-    import json
-    from pyspark.ml import PipelineModel
-    from pyspark.ml.classification import GBTClassificationModel, LogisticRegressionModel
-    from pyspark.ml.regression import IsotonicRegressionModel
     from ..operators.prep import load_state
-    doc = json.loads(spark.read.json(f"{path}/manifest").collect()[0]["doc"])
-    base = {n: GBTClassificationModel.load(f"{path}/base/{n}") for n in doc["base"]}
-    meta = models.MetaModel(PipelineModel.load(f"{path}/meta"), doc["best_c"], [], doc["p_cols"])
-    kind = LogisticRegressionModel if doc["calibration"]["method"] == "sigmoid" else IsotonicRegressionModel
-    cals = [kind.load(f"{path}/calibrator/{i}") for i in range(doc["calibration"]["n"])]
-    cal = models.Calibrator(doc["calibration"]["method"], cals, doc["calibration"]["oof_brier"])
+    doc = json.loads(spark.read.text(f"{path}/manifest", wholetext=True).collect()[0]["value"])
+    found = {m.name: m for m in boosting.from_node_table(spark.read.parquet(f"{path}/base"), doc["features"])}
+    base = {n: found[n] for n in doc["base"]}
+    meta = models.MetaModel(newton.Logistic(**doc["meta"]), doc["best_c"], [], doc["p_cols"])
+    own = doc["calibration"]
+    if own["method"] == "sigmoid":
+        cals = [newton.Logistic(**m) for m in own["models"]]
+    else:
+        cals = [isotonic.Steps(**(m | ({"cells": f"{path}/calibrator/{i}"} if m["cells"] else {}))) for i, m in enumerate(own["models"])]
+    cal = models.Calibrator(own["method"], cals, own["oof_brier"])
     return Bundle(load_state(spark, f"{path}/prep_state"), base, meta, cal, doc["thresholds"],
                   doc["validation"], doc["model_version"])
 

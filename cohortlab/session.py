@@ -21,6 +21,8 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # many short jobs with Python tasks (boosting): no wait for acknowledgements between JVM and Python
+    "spark.python.unix.domain.socket.enabled": "true",
     # keep broadcasts to sides whose size the planner has measured
     "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
 }

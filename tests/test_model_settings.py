@@ -16,5 +16,5 @@ def test_registered_learners_run_all_rounds(monkeypatch):
     q_models.trained(Session, "d")
     q_models.trained(Session, "d")
     assert [(c.max_iter, c.oof_folds) for c in handed] == [(200, 5)]          # once a session
-    rounds = [s.params["maxIter"] for s in models.default_specs(handed[0].max_iter) if "maxIter" in s.params]
-    assert rounds and set(rounds) == {200}
+    rounds = [s.rounds for s in models.default_specs(handed[0].max_iter)]
+    assert len(rounds) == 4 and set(rounds) == {200}

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from cohortlab.operators import models
+from cohortlab.operators import isotonic
 from cohortlab.plans import frames
 from cohortlab.plans.training import TrainConfig, load_bundle, save_bundle, train
 
@@ -36,8 +36,8 @@ def test_probabilities_in_unit_interval(run, spark):
 def test_isotonic_is_monotone(spark):
     df = spark.range(400).select((F.col("id") / 400.0).alias("p"),
                                  ((F.col("id") % 7) < (F.col("id") / 60)).cast("int").alias("y"))
-    m = models._fit_one(df, "isotonic", "y", "p")
-    out = [r.c for r in models._apply_one(df, "isotonic", m, "p", "c").orderBy("p").collect()]
+    m = isotonic.fit_steps(df, "p", "y")
+    out = [r.c for r in isotonic.apply_steps(df, m, "p", ["c"]).orderBy("p").collect()]
     assert all(a <= b for a, b in zip(out, out[1:]))
 
 
