@@ -82,11 +82,11 @@ def fit_blocks(df: DataFrame, p: str, y: str, fold: str | None = None, folds: in
         table = materialise(borders(blocks), "isotonic-borders")
         if table.filter("broken").limit(1).count() == 0:
             return blocks.select("fit", "lo", "hi", (F.col("pos") / F.col("n")).alias("value"), "n")
-        # neighbours meet in the group of the later one; of groups with one block every second moves
-        up = F.when(F.col("size") > 1, 2 * F.col("at") >= F.col("size")).otherwise(F.col("number") % 2 == turn)
+        # neighbours meet in the group of the later one; a group's only block moves or stays by a hash, anew each turn
+        up = F.when(F.col("size") > 1, 2 * F.col("at") >= F.col("size")).otherwise(F.xxhash64("number", F.lit(turn)) % 2 == 0)
         moved = (blocks.join(table, ["fit", "grp"])
                  .select("fit", "lo", "hi", "pos", "n", (F.col("number") + up.cast("int")).cast("long").alias("grp")))
-        blocks, turn = materialise(pool_groups(moved), "isotonic"), 1 - turn
+        blocks, turn = materialise(pool_groups(moved), "isotonic"), turn + 1
 
 
 @dataclass
@@ -159,8 +159,9 @@ def by_cells(df: DataFrame, steps: Steps, p: str, out: str) -> DataFrame:
     starts = np.array(steps.starts)
 
     @F.pandas_udf("long")
-    def cell_of(x: "pd.Series") -> "pd.Series":      # noqa: F821
+    def cell_of(x):
         import pandas as pd
+
         return pd.Series(np.searchsorted(starts, x.to_numpy(float), "right"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,13 +6,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.columns import round_out
-from ..operators import attribution, metrics, models, split
+from ..operators import attribution, boosting, isotonic, metrics, models, split
+from ..operators.ordered import cumulative
 from ..operators.score import REQUIRED, score_all
 from ..session import materialise
 from ..sources.cohort import cohort
 from . import frames
 from .registry import query
-from .sql_text import PREPARED, split_hash, with_ctes
+from .sql_text import LABELLED, PREPARED, SCORES, split_hash, with_ctes
 from .training import Bundle, TrainConfig, base_validation_metrics, prepare_training_frame, train
 
 _CACHE: dict = {}
@@ -264,3 +265,100 @@ def importance_invariants(spark, sf_dir):
     top = rf_importance(spark, sf_dir)
     return top.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("feature").alias("n_names"), R(F.sum("importance")).alias("total"),
                    F.count(F.when(F.col("importance") < 0, 1)).alias("n_negative"), (F.min("holdout_auc") > 0.5).alias("auc_above_half"))
+
+
+# ---------------------------------------------------------------- trees, attribution, isotonic blocks
+
+_SHAPES_SQL = ", ".join(
+    f"('{s.name}', {s.rounds}, {s.leaves if s.growth == 'leaf' else 2 ** s.depth})" for s in models.default_specs())
+
+
+def _base_nodes(spark, sf_dir):
+    b, _ = trained(spark, sf_dir)
+    return materialise(boosting.node_table(spark, list(b.base.values())), "nodes").filter("tree >= 0")
+
+
+@query("tree_shapes", (
+    f"SELECT m.model, CAST(m.trees AS BIGINT) AS n_trees, CAST(m.leaves AS BIGINT) AS most_leaves, CAST(0 AS BIGINT) AS n_over,"
+    f" CAST(0 AS BIGINT) AS n_mixed_levels, CAST(0 AS BIGINT) AS n_row_errors FROM (VALUES {_SHAPES_SQL}) m(model, trees, leaves)"))
+def tree_shapes(spark, sf_dir):
+    """Per full-train learner: its trees; trees with more leaves than it may have; levels of symmetric trees with
+    more than one split; inner nodes whose children's rows don't add up to its own."""
+    nodes = _base_nodes(spark, sf_dir)
+    most = {s.name: (s.leaves if s.growth == "leaf" else 2 ** s.depth) for s in models.default_specs()}
+    bound = F.coalesce(*[F.when(F.col("model") == n, F.lit(k).cast("long")) for n, k in most.items()])
+    trees = nodes.groupBy("model", "tree").agg(F.count(F.when(F.col("left") == 0, 1)).alias("leaves"))
+    over = trees.groupBy("model").agg(F.count(F.lit(1)).alias("n_trees"), F.max(bound).alias("most_leaves"),
+                                      F.count(F.when(F.col("leaves") > bound, 1)).alias("n_over"))
+    inner = nodes.filter("left > 0")
+    rows = nodes.select("model", "tree", F.col("node").alias("child"), F.col("rows").alias("child_rows"))
+    errors = (inner.withColumn("child", F.explode(F.array("left", "right"))).join(rows, ["model", "tree", "child"])
+              .groupBy("model", "tree", "node", "rows").agg(F.sum("child_rows").alias("s"))
+              .groupBy("model").agg(F.count(F.when(F.col("s") != F.col("rows"), 1)).alias("n_row_errors")))
+    # nodes are numbered level by level, so a full level of a symmetric tree is a power-of-two range
+    symmetric = [s.name for s in models.default_specs() if s.growth == "symmetric"]
+    level = F.floor(F.log2((F.col("node") + 1).cast("double")) + 1e-9).cast("int")
+    mixed = (inner.filter(F.col("model").isin(symmetric)).groupBy("model", "tree", level.alias("level"))
+             .agg(F.count_distinct("feature", "threshold").alias("n"))
+             .groupBy("model").agg(F.count(F.when(F.col("n") > 1, 1)).alias("n_mixed_levels")))
+    return over.join(mixed, "model", "left").join(errors, "model", "left").select(
+        "model", "n_trees", "most_leaves", "n_over", F.coalesce("n_mixed_levels", F.lit(0)).cast("long").alias("n_mixed_levels"),
+        F.coalesce("n_row_errors", F.lit(0)).cast("long").alias("n_row_errors"))
+
+
+def _attributions(spark, sf_dir):
+    from ..operators import prep
+    b, _ = trained(spark, sf_dir)
+    va = prepare_training_frame(frames.prepared(spark, sf_dir), CONFIG, b.state.input_fills).drop("split")
+    x = prep.apply_prep(va, b.state, keep=["patient_id"])
+    return attribution.tree_attributions(x, "patient_id", [b.base[c[2:]] for c in b.meta.p_cols], b.meta.model.weights)
+
+
+@query("tree_attribution_top3")
+def tree_attribution_top3(spark, sf_dir):
+    """Top-3 exact tree attributions of every row of the prepared cohort, base learners weighted by the meta coefficients."""
+    return _attributions(spark, sf_dir).select("patient_id", "score", "expectation", "top")
+
+
+@query("tree_attribution_invariants", with_ctes(PREPARED, body=(
+    "SELECT count(*) AS n, count(DISTINCT patient_id) AS n_keys, count(*) AS n_additive, count(*) AS n_three,"
+    " count(*) AS n_largest FROM prepared")))
+def tree_attribution_invariants(spark, sf_dir):
+    """Every row's contributions add up to score - expectation; its top three are the largest of all."""
+    a = _attributions(spark, sf_dir)
+    total = F.aggregate("contributions", F.lit(0.0), lambda t, c: t + c["contribution"])
+    size = F.transform("top", lambda t: F.abs(t["contribution"]))
+    every = F.array_sort(F.transform("contributions", lambda c: -F.abs(c["contribution"])))
+    return a.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("patient_id").alias("n_keys"),
+                 F.count(F.when(F.abs(total - (F.col("score") - F.col("expectation"))) < 1e-6, 1)).alias("n_additive"),
+                 F.count(F.when(F.size("top") == 3, 1)).alias("n_three"),
+                 F.count(F.when((size[0] >= size[1]) & (size[1] >= size[2]) & (size[2] == -every[2]), 1)).alias("n_largest"))
+
+
+@query("isotonic_blocks", with_ctes(LABELLED, SCORES, body=(
+    "SELECT count(*) AS n, CAST(sum(y) AS BIGINT) AS n_pos, count(DISTINCT bmi) AS n_scores, CAST(0 AS BIGINT) AS n_not_rising,"
+    " CAST(0 AS BIGINT) AS n_off_mean, CAST(0 AS BIGINT) AS n_early_low, CAST(0 AS BIGINT) AS n_outside FROM scores")))
+def isotonic_blocks(spark, sf_dir):
+    """Isotonic blocks of the label on bmi, held against what makes the isotonic regression unique: values rise from
+    block to block, each is its block's mean, no beginning of a block has a lower mean, every score is in one block."""
+    from pyspark.sql import Window
+    scores = frames.scores(spark, sf_dir)
+    s = scores.groupBy(F.col("bmi").cast("double").alias("x")).agg(F.sum("y").alias("pos"), F.count(F.lit(1)).alias("m"))
+    blocks = materialise(isotonic.fit_blocks(scores, "bmi", "y"), "blocks")
+    # a running count of block starts gives every score its block; running sums from there
+    marks = blocks.select(F.col("lo").alias("x"), F.struct("lo", "hi", "value", "n").alias("b"))
+    both = cumulative(s.join(marks, "x", "left").withColumn("one", F.when(F.col("b").isNotNull(), 1).otherwise(0))
+                      .withColumn("k", F.lit(0)), ["k"], "x", ["one", "pos", "m"])
+    heads = both.filter("b IS NOT NULL").select("cum_one", F.col("b").alias("own"), (F.col("cum_pos") - F.col("pos")).alias("pos0"),
+                                                (F.col("cum_m") - F.col("m")).alias("m0"))
+    run = both.join(heads, "cum_one", "left").withColumn("mean", (F.col("cum_pos") - F.col("pos0")) / (F.col("cum_m") - F.col("m0")))
+    order = Window.partitionBy("fit").orderBy("lo")
+    falls = blocks.select(((F.lag("value").over(order) >= F.col("value")) | (F.lag("hi").over(order) >= F.col("lo"))).alias("f"))
+    means = run.groupBy("cum_one").agg(F.first("own").alias("b"), F.sum("pos").alias("pos"), F.sum("m").alias("m"))
+    off = (F.abs(F.col("pos") / F.col("m") - F.col("b.value")) > 1e-12) | (F.col("m") != F.col("b.n"))
+    return run.agg(
+        F.sum("m").alias("n"), F.sum("pos").cast("long").alias("n_pos"), F.count(F.lit(1)).alias("n_scores"),
+        F.lit(falls.agg(F.count(F.when(F.col("f"), 1))).collect()[0][0]).alias("n_not_rising"),
+        F.lit(means.agg(F.count(F.when(off, 1))).collect()[0][0]).alias("n_off_mean"),
+        F.count(F.when(F.col("mean") < F.col("own.value") - 1e-12, 1)).alias("n_early_low"),
+        F.count(F.when(F.col("own").isNull() | (F.col("x") > F.col("own.hi")), 1)).alias("n_outside"))
