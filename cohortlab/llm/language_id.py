@@ -18,18 +18,19 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .alignment import piece_bytes
-from .arrays import LOWER, Hashes, U, Words, docs_of, mix, release
+from .arrays import LOWER, Hashes, U, Words, byte_view, mix, release, slices
 from .tables import id_bucket, long_rows
 
-TRAIN_DOCS = 1000             # labelled texts a language is learned from, at most
+TRAIN_DOCS = 1000             # labelled texts a language is learned from: all up to so many, then about so many by hash
 TRAIN_CHARS = 16_000          # of a longer training text so many characters are learned from; scoring reads whole texts
 ITERATIONS = 6
 UNIFORM = 0.01                # share of every language's probability spread evenly over all pieces
 UNIT_BYTES = 48               # longer words are scored in parts of so many bytes, each with all its segmentations
+SLICE = 3 << 20               # bytes of texts whose equal words are scored once
 BLOCK_BYTES = 1 << 18         # bytes of distinct words of one lattice
 LANGUAGES = 16                # columns of one forward pass
 LIFT = 12.0                   # factor per byte that keeps probabilities of whole words inside double precision
@@ -237,21 +238,33 @@ def learn(words: list[bytes], times: np.ndarray, t: Trie, iterations: int = ITER
     return count
 
 
+def texts_of(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(row range, bytes, offsets) of the slices of a batch."""
+    data, off = byte_view(batch.column("text"))
+    for i, j in slices(off, SLICE):
+        yield i, j, data[off[i]:off[j]], off[i:j + 1] - off[i]
+
+
 def training_words(docs: DataFrame) -> DataFrame:
-    """(lang, word, n): units of the training texts. At most TRAIN_DOCS texts a language, by hash; equal rows count once."""
+    """(lang, word, n): units of the training texts. Equal rows count once.
+
+    A language's sample is those of its rows whose hash lies below TRAIN_DOCS / its number of rows:
+    expected size TRAIN_DOCS, no sort, and a language of most rows is no hot key, since rows meet
+    only after the sample is taken.
+    """
     known = docs.select(
         F.col("lang").cast("string").alias("lang"), "text", F.xxhash64(F.col("doc_id").cast("long"), "text").alias("h")).filter(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & (id_bucket("doc_id", HELD_OUT) != 0))
-    order = Window.partitionBy("lang").orderBy("h")        # each task keeps its first TRAIN_DOCS before the shuffle
-    last = (known.select("lang", "h").distinct().withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= TRAIN_DOCS)
-            .groupBy("lang").agg(F.max("h").alias("_last")))
-    chosen = (known.join(last, "lang").filter(F.col("h") <= F.col("_last"))
+    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("_rows"))
+    # one row a language, as the model that every task holds
+    low = F.shiftrightunsigned("h", 1) / F.lit(2.0 ** 63) <= F.lit(TRAIN_DOCS) / F.col("_rows")
+    chosen = (known.join(F.broadcast(sizes), "lang").filter(low)
               .groupBy("lang", "h").agg(F.min(F.substring("text", 1, TRAIN_CHARS)).alias("text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs = batch.column("lang").to_pylist()
-            for i, j, data, off in docs_of(batch):
+            for i, j, data, off in texts_of(batch):
                 u = units_of(data, off)
                 n_units = len(u.first) - 1
                 key, times = np.unique(u.text * max(n_units, 1) + u.of, return_counts=True)
@@ -305,7 +318,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array([*model.languages, UNKNOWN], object)
         for batch in batches:
-            for i, j, data, off in docs_of(batch):
+            for i, j, data, off in texts_of(batch):
                 best, score = np.full(j - i, len(model.languages)), np.zeros(j - i)
                 if model.languages:
                     logs = model.log_probabilities(data, off)
