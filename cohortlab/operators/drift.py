@@ -8,8 +8,10 @@ Spark's own KS test is one-sample only, so this is ours.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,7 @@ from .profile import unpivot
 
 # fixed values: significance level of the drift test
 KS_ALPHA = 0.01
+EXACT_MOST = 10_000  # samples up to this size get an exact p-value
 KS_TERMS = 30  # terms beyond 30 are below exp(-70) once lambda >= 0.2
 
 
@@ -29,6 +32,54 @@ def kolmogorov_sf(lam: F.Column, terms: int = KS_TERMS) -> F.Column:
     return F.when(lam < 0.2, F.lit(1.0)).otherwise(F.least(F.greatest(s, F.lit(0.0)), F.lit(1.0)))
 
 
+def exact_sf(d: float, m: int, n: int) -> float:
+    """P(D >= d) of two samples of m and n values without ties, both from one distribution.
+
+    Counts the lattice paths from (0, 0) to (m, n) that stay inside the band |i / m - j / n| < d, one row of
+    the lattice at a time: paths into a row are running sums over the band of those into the row before.
+    Rows are scaled as they grow; the share of paths that stay is taken in logarithms.
+    """
+    if m > n:
+        m, n = n, m
+    h = round(d * m * n)                      # gaps are whole multiples of 1 / (m n)
+    if h <= 0:
+        return 1.0
+    i, log_scale = np.arange(m + 1), 0.0
+    low = np.maximum((i * n - h) // m + 1, 0)              # smallest and largest j with |i n - j m| < h
+    high = np.minimum(-(-(i * n + h) // m) - 1, n)
+    paths, first = np.ones(int(high[0]) + 1), 0
+    for k in range(1, m + 1):
+        if low[k] > high[k]:
+            return 1.0
+        row = np.zeros(int(high[k] - low[k]) + 1)
+        a, b = max(int(low[k]), first), min(int(high[k]), first + len(paths) - 1)
+        if a > b:
+            return 1.0
+        row[a - low[k]:b - low[k] + 1] = paths[a - first:b - first + 1]
+        paths, first = np.cumsum(row), int(low[k])
+        top = paths[-1]
+        if top > 1e200:
+            paths, log_scale = paths / top, log_scale + math.log(top)
+    if first + len(paths) - 1 < n or paths[-1] <= 0:
+        return 1.0
+    inside = math.log(paths[-1]) + log_scale - (math.lgamma(m + n + 1) - math.lgamma(m + 1) - math.lgamma(n + 1))
+    return min(max(-math.expm1(inside), 0.0), 1.0)
+
+
+def with_exact_p(ks: DataFrame, alpha: float = KS_ALPHA, most: int = EXACT_MOST) -> DataFrame:
+    """The p-value and the flag of ``ks_drift`` rows from the exact distribution where neither sample has more
+    than ``most`` values; larger samples keep the asymptotic one."""
+    @F.pandas_udf("double")
+    def exact(d, m, n):
+        import pandas as pd
+
+        return pd.Series([exact_sf(*t) for t in zip(d.tolist(), m.tolist(), n.tolist())], dtype="float64")
+
+    small = F.greatest("n_ref", "n_new") <= most
+    p = F.when(small, exact("d", F.when(small, F.col("n_ref")).otherwise(1), F.when(small, F.col("n_new")).otherwise(1))).otherwise(F.col("p_value"))
+    return ks.withColumn("p_value", p).withColumn("drifted", F.col("p_value") < alpha)
+
+
 def _long(df: DataFrame, ids: Sequence[str], feats: Sequence[str]) -> DataFrame:
     return unpivot(df.select(*ids, *feats), list(ids), list(feats)).filter(F.col("value").isNotNull())
 
@@ -76,8 +127,7 @@ def ks_drift(ref: DataFrame, new: DataFrame, features: Sequence[str],
     NULLs and NaNs are dropped per feature; a feature with an empty side is skipped.
     With ``by`` (e.g. a window), ``new`` is tested group by group against the one
     reference, all groups in one plan. p uses the asymptotic distribution with
-    n_eff = n_ref*n_new/(n_ref+n_new); the exact small-sample p of some libraries
-    can differ near the cut.
+    n_eff = n_ref*n_new/(n_ref+n_new); ``with_exact_p`` replaces it for small samples.
     """
     feats = [f for f in features if f in ref.columns and f in new.columns]
     if not feats:

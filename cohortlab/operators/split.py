@@ -111,3 +111,30 @@ def ordered_split(df: DataFrame, order: str, share: float = 0.7,
         long = df.select(F.col(order).cast("double").alias("value"))
         cut = exact_quantiles(long, [], "value", share).collect()[0]["quantile"]
     return df.withColumn("split", F.when(F.col(order) <= F.lit(cut), "train").otherwise("test"))
+
+
+def long_hash_unit(text: F.Column) -> F.Column:
+    """Uniform number in [0, 1) from 52 bits of the text's md5."""
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("bigint") / F.lit(2.0 ** 52)
+
+
+def bootstrap(df: DataFrame, key: str, label: str, replicates: int = 3) -> DataFrame:
+    """(replicate, n_draws, n_distinct, prevalence, base, abs_diff): resamples of exactly as many draws as rows.
+
+    Draw i of a replicate takes the row whose rank by ``key`` (unique) is floor(hash(replicate, i) * n).
+    Draws are counted per rank before they meet the ranked rows; ranks come from ranges, so nothing is
+    gathered or sorted in one task. Works for any n; an empty table gives no rows.
+    """
+    ranked = cumulative(df.select(key, label).withColumn("_k", F.lit(0)).withColumn("_one", F.lit(1)), ["_k"], key, ["_one"])
+    rows = ranked.select((F.col("cum__one") - 1).alias("_at"), F.col(label).cast("double").alias("_y"))
+    n = rows.count()
+    draws = df.sparkSession.range(n * replicates).select(
+        F.expr(f"id div {max(n, 1)}").cast("int").alias("replicate"), (F.col("id") % max(n, 1)).alias("_i"))
+    text = F.concat_ws(":", F.lit("draw"), F.col("replicate").cast("string"), F.col("_i").cast("string"))
+    weights = (draws.select("replicate", F.floor(long_hash_unit(text) * n).cast("long").alias("_at"))
+               .groupBy("replicate", "_at").agg(F.count(F.lit(1)).alias("_w")))
+    base = rows.agg(F.avg("_y").alias("base"))
+    drawn = weights.join(rows, "_at").groupBy("replicate").agg(
+        F.sum("_w").alias("n_draws"), F.count(F.lit(1)).alias("n_distinct"), (F.sum(F.col("_w") * F.col("_y")) / F.sum("_w")).alias("prevalence"))
+    one = drawn.crossJoin(F.broadcast(base))          # a row per replicate beside one row
+    return one.withColumn("abs_diff", F.abs(F.col("prevalence") - F.col("base")))

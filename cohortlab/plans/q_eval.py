@@ -90,6 +90,24 @@ def poisson_bootstrap(spark, sf_dir):
                     R("base").alias("base"), R("abs_diff").alias("abs_diff"))
 
 
+_DRAW = "((('0x' || substr(md5(concat('draw:', r.replicate, ':', d.i)), 1, 13))::BIGINT / 4503599627370496.0) * n.n)"
+
+
+@query("bootstrap", with_ctes(PREPARED, f"""
+n AS (SELECT count(*) AS n, avg(CAST(ir_label AS DOUBLE)) AS base FROM prepared),
+ranked AS (SELECT row_number() OVER (ORDER BY patient_id) - 1 AS rank, ir_label FROM prepared),
+draws AS (SELECT r.replicate, CAST(floor({_DRAW}) AS BIGINT) AS place FROM n
+          CROSS JOIN (VALUES (0), (1), (2)) r(replicate) CROSS JOIN (SELECT row_number() OVER () - 1 AS i FROM prepared) d)""", body=(
+    "SELECT replicate, count(*) AS n_draws, count(DISTINCT place) AS n_distinct, round(avg(CAST(ir_label AS DOUBLE)), 6) AS prevalence,"
+    " round(any_value(n.base), 6) AS base, round(abs(avg(CAST(ir_label AS DOUBLE)) - any_value(n.base)), 6) AS abs_diff"
+    " FROM draws JOIN ranked ON place = rank CROSS JOIN n GROUP BY replicate")))
+def bootstrap(spark, sf_dir):
+    """Resamples of exactly as many draws as rows."""
+    b = split.bootstrap(frames.prepared(spark, sf_dir), "patient_id", "ir_label", 3)
+    return b.select("replicate", "n_draws", "n_distinct", R("prevalence").alias("prevalence"), R("base").alias("base"),
+                    R("abs_diff").alias("abs_diff"))
+
+
 @query("ordered_split", with_ctes(PREPARED, body=(
     "SELECT patient_id, bmi, CASE WHEN bmi <= (SELECT quantile_cont(bmi, 0.7) FROM prepared)"
     " THEN 'train' ELSE 'test' END AS split FROM prepared")))

@@ -64,6 +64,46 @@ def ks_drift(spark, sf_dir):
     return k.select("feature", "d", "n_ref", "n_new", R("p_value").alias("p_value"), "drifted")
 
 
+BUFFER = 200                  # rows of the buffered check, on both sides here
+EXACT_FEATURES = ("hdl_cholesterol", "hip_circumference")      # without nulls: samples of equal size
+
+
+def _ks_exact_sql():
+    """Equal sizes have a closed form: P(D >= k/n) = 2 sum (-1)^(i+1) C(2n, n - ik) / C(2n, n)."""
+    long = " UNION ALL ".join(f"SELECT '{f}' AS feature, CAST({f} AS DOUBLE) AS value, {s} AS side FROM {t}"
+                              for t, s in (("few_ref", 0), ("few_new", 1)) for f in EXACT_FEATURES)
+    h = split_hash(salt="reference")
+    return f"""
+ref AS (SELECT * FROM cohort WHERE ts < TIMESTAMP '{DRIFT_CUT}'),
+new AS (SELECT * FROM cohort WHERE ts >= TIMESTAMP '{DRIFT_CUT}'),
+size AS (SELECT least({BUFFER}, (SELECT count(*) FROM new), (SELECT count(*) FROM ref)) AS n),
+few_ref AS (SELECT * FROM ref ORDER BY {h}, patient_id LIMIT (SELECT n FROM size)),
+few_new AS (SELECT * FROM new ORDER BY {h}, patient_id LIMIT (SELECT n FROM size)),
+long AS ({long}),
+cnt AS (SELECT feature, value, sum(1 - side) AS c_ref, sum(side) AS c_new FROM long GROUP BY feature, value),
+cum AS (SELECT feature, sum(c_ref) OVER w - sum(c_new) OVER w AS gap FROM cnt
+        WINDOW w AS (PARTITION BY feature ORDER BY value ROWS UNBOUNDED PRECEDING)),
+top AS (SELECT feature, max(abs(gap)) AS k, any_value(n) AS n FROM cum CROSS JOIN size GROUP BY feature),
+terms AS (SELECT feature, k, n, i, 2 * lgamma(n + 1) - lgamma(n - i * k + 1) - lgamma(n + i * k + 1) AS e
+          FROM top, generate_series(1, {BUFFER}) g(i) WHERE k > 0 AND i * k <= n),
+ks AS (SELECT t.feature, CAST(t.k AS DOUBLE) / t.n AS d, CAST(t.n AS BIGINT) AS n_ref, CAST(t.n AS BIGINT) AS n_new,
+              CASE WHEN t.k = 0 THEN 1.0 ELSE least(2 * (SELECT sum(CASE WHEN i % 2 = 1 THEN exp(e) ELSE -exp(e) END) FROM terms s
+                                                         WHERE s.feature = t.feature), 1.0) END AS p_value FROM top t)"""
+
+
+@query("ks_exact", with_ctes(_ks_exact_sql(), body=(
+    "SELECT feature, round(d, 6) AS d, n_ref, n_new, round(p_value, 6) AS p_value, p_value < 0.01 AS drifted FROM ks")))
+def ks_exact(spark, sf_dir):
+    """Exact small-sample p-values and flags: a buffer of new rows against a reference sample of the same size."""
+    c = cohort(spark, sf_dir)
+    ref = c.filter(F.col("ts") < F.lit(DRIFT_CUT).cast("timestamp_ntz"))
+    new = c.filter(F.col("ts") >= F.lit(DRIFT_CUT).cast("timestamp_ntz"))
+    few = split.reference_sample(new, "patient_id", BUFFER)
+    n = min(few.count(), ref.count())
+    k = drift.with_exact_p(drift.ks_drift(split.reference_sample(ref, "patient_id", n), few.limit(n), EXACT_FEATURES))
+    return k.select("feature", R("d").alias("d"), "n_ref", "n_new", R("p_value").alias("p_value"), "drifted")
+
+
 @query("drift_alerts", with_ctes(_ks_sql(), body=(
     "SELECT list(feature ORDER BY feature) AS drift_features, count(*) AS n_drifted,"
     " (SELECT max(ts) FROM new) AS alert_ts FROM ks WHERE p_value < 0.01 HAVING count(*) > 0")))
