@@ -146,3 +146,16 @@ def stream_drift(spark, sf_dir):
     return ks.join(alerts, "window_start", "left").select(
         "window_start", "feature", R("d").alias("d"), "n_ref", "n_new", R("p_value").alias("p_value"), "drifted",
         F.col("drift_features").isNotNull().alias("alerted"), F.coalesce("drift_features", F.lit("")).alias("drift_features"))
+
+
+@query("stream_ring_drift")
+def stream_ring_drift(spark, sf_dir):
+    """Alerts of the buffered drift check, one buffer per event type, over all events against the first week."""
+    from ..streaming import ring
+    out, ck = _dirs(spark, "stream-ring")
+    events = read_table(spark, sf_dir, "events")
+    first_week = ev.to_predictions(events.filter(F.col("ts") < F.lit("2024-01-08").cast("timestamp_ntz")))
+    reference = ring.reference_values(first_week, "trace_id", ["probability", "latency_ms"])
+    pred = ev.to_predictions(ev.read_event_stream(spark, f"{sf_dir}/events.parquet"))
+    ring.run_ring(ring.ring_alerts(pred, "event_type", "ts", "trace_id", reference), out, ck)
+    return spark.read.schema(ring.ALERTS).parquet(out)
