@@ -129,3 +129,13 @@ def test_without_chunks(monkeypatch, small, sides):
 def test_pairs_are_bounded_by_the_vocabularies():
     t = al.tables(A, B)
     assert len(t.keys) < 1_000_000 and (np.diff(t.keys) > 0).all()
+
+
+@pytest.mark.parametrize("text", ["two words " * 150_000, "ab" * 600_000, " " * 1_100_000])
+def test_text_over_a_megabyte(text):
+    raw = np.frombuffer(text.encode(), np.uint8)
+    x = al.align_slice(raw, np.array([0, len(raw)]), A, B)
+    assert x.a_end[-1] == x.b_end[-1] == len(raw) + 1
+    ends = np.intersect1d(x.a_end, x.b_end)
+    assert x.overlaps.end[x.overlaps.closes].tolist() == ends.tolist()
+    assert len(al.group_texts(x, 1 << 16)) == 1

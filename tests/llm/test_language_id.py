@@ -136,3 +136,13 @@ def test_more_texts_than_learned(spark, monkeypatch):
 @pytest.mark.parametrize("byte", [0, 32, 255])
 def test_every_byte_is_a_piece(byte):
     assert bytes([byte]) in set(li.trie(PATH).pieces)
+
+
+def test_text_over_a_megabyte():
+    """A long text's score is that of its words, as often as they occur; one endless word is finite too."""
+    t = li.trie(PATH)
+    p = np.random.default_rng(2).dirichlet(np.full(len(t.pieces), 0.05), 3).T * (1 - li.UNIFORM) + li.UNIFORM / len(t.pieces)
+    model = li.Model(PATH, list("abc"), p)
+    few, many = model.log_probabilities(*slice_of(["eine zwei drei"])), model.log_probabilities(*slice_of(["eine zwei drei " * 100_000]))
+    assert np.allclose(many, few * 100_000)
+    assert np.isfinite(model.log_probabilities(*slice_of(["é漢x" * 250_000]))).all()
