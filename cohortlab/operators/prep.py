@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from ..session import scratch_path
 from .clean import INSULIN
 from .features import MISSING_CATEGORY
+from .neighbours import neighbour_mi
 from .ordered import by_ranges
 from .profile import MAX_ONE_HOT_CARDINALITY, exact_medians, numeric_columns, string_columns
 from .select import MI_BINS, MI_THRESHOLD, binned_mi
@@ -113,14 +114,16 @@ def ordinal(df: DataFrame, col: str, dictionary: DataFrame) -> DataFrame:
 def fit_prep(df: DataFrame, label: str, key: Sequence[str] = (), exact: bool = False,
              mi_bins: int = MI_BINS, threshold: float = MI_THRESHOLD,
              include_categoricals: bool = False, max_card: int = MAX_ONE_HOT_CARDINALITY,
-             path: str | None = None) -> PrepState:
+             path: str | None = None, estimator: str = "binned") -> PrepState:
     """Fit fills, encoders and the MI selection on ``df`` (the training split).
 
     The frame is persisted (recoverable from lineage) for the fit's passes:
     one aggregate for non-null counts, medians, the insulin mean and HLL
     cardinalities; one for the category sets of low-cardinality columns;
-    then the ordinal dictionaries and the MI table.
+    then the ordinal dictionaries and the MI table (``estimator``: ``binned`` or ``neighbours``).
     """
+    if estimator not in ("binned", "neighbours"):
+        raise ValueError(f"no MI estimator {estimator!r}")
     spark = df.sparkSession
     df = df.persist(StorageLevel.MEMORY_AND_DISK)
     skip = set(key) | {label}
@@ -168,7 +171,11 @@ def fit_prep(df: DataFrame, label: str, key: Sequence[str] = (), exact: bool = F
         ordinal_paths[c] = p
 
     filled = df.fillna({**medians, **means})
-    mi_rows = binned_mi(filled, label, numeric, mi_bins, threshold).collect() if numeric else []
+    if estimator == "neighbours":
+        found = neighbour_mi(filled, label, numeric, threshold=threshold)
+    else:
+        found = binned_mi(filled, label, numeric, mi_bins, threshold)
+    mi_rows = found.collect() if numeric else []
     df.unpersist()
     mi = sorted(((r["feature"], float(r["mi"])) for r in mi_rows), key=lambda t: (-t[1], t[0]))
     picked = {f for f, v in mi if v >= threshold}

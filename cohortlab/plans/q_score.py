@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.columns import round_out
-from ..operators import drift, features, prep, score, select, split
+from ..operators import drift, features, neighbours, prep, profile, score, select, split
 from ..operators.drift import KS_TERMS
 from ..session import materialise
 from ..sources.cohort import cohort
@@ -171,6 +171,52 @@ def mi_top_5(spark, sf_dir):
     return select.top_by_mi(_mi(spark, sf_dir), 5).select("feature", R("mi").alias("mi"))
 
 
+KNN = neighbours.NEIGHBOURS
+
+
+def _psi_sql(n):
+    x = f"({n} + 6.0)"
+    return (f"(ln({x}) - 0.5 / {x} - 1 / (12 * {x} ** 2) + 1 / (120 * {x} ** 4) - 1 / (252 * {x} ** 6) + 1 / (240 * {x} ** 8)"
+            + "".join(f" - 1.0 / ({n} + {j}.0)" for j in range(6)) + ")")
+
+
+def _knn_sql(k=KNN, src="engineered", feats=MI_FEATURES):
+    """Points one by one in whole-label windows, counts inside the distances by as-of joins."""
+    long = " UNION ALL ".join(
+        f"SELECT ir_label, '{f}' AS feature, coalesce(CAST({f} AS DOUBLE), (SELECT median(CAST({f} AS DOUBLE)) FROM {src}))"
+        f" AS value FROM {src}" for f in feats)
+    near = ", ".join(f"{s}(value, {i}) OVER w" for s in ("lag", "lead") for i in range(1, k + 1))
+    inside = "list_filter(vs, lambda x: abs(x - value) <= r)"
+    return f"""
+long AS ({long}),
+pts AS (SELECT feature, ir_label, value, list_filter([{near}], lambda x: x IS NOT NULL) AS vs,
+          count(*) OVER (PARTITION BY feature, ir_label) AS ny FROM long WHERE value IS NOT NULL
+        WINDOW w AS (PARTITION BY feature, ir_label ORDER BY value)),
+reach AS (SELECT *, list_sort(list_transform(vs, lambda x: abs(x - value)))[least({k}, ny - 1)] AS r FROM pts WHERE ny > 1),
+ends AS (SELECT feature, ir_label, value, ny, least(value - r, list_min({inside})) AS lo,
+           greatest(value + r, list_max({inside})) AS hi FROM reach),
+alls AS (SELECT feature, value, sum(count(*)) OVER (PARTITION BY feature ORDER BY value) AS cum FROM ends
+         GROUP BY feature, value),
+own AS (SELECT feature, ir_label, value, sum(count(*)) OVER (PARTITION BY feature, ir_label ORDER BY value) AS cum FROM ends
+        GROUP BY feature, ir_label, value),
+counted AS (SELECT e.feature, e.ny, ah.cum - coalesce(al.cum, 0) - 1 AS m, oh.cum - coalesce(ol.cum, 0) - 1 AS k FROM ends e
+  ASOF JOIN alls ah ON e.feature = ah.feature AND e.hi >= ah.value
+  ASOF LEFT JOIN alls al ON e.feature = al.feature AND e.lo > al.value
+  ASOF JOIN own oh ON e.feature = oh.feature AND e.ir_label = oh.ir_label AND e.hi >= oh.value
+  ASOF LEFT JOIN own ol ON e.feature = ol.feature AND e.ir_label = ol.ir_label AND e.lo > ol.value),
+mi AS (SELECT feature, count(*) AS n, greatest(0.0, {_psi_sql('count(*)')} + avg({_psi_sql('k')} - {_psi_sql('ny')}
+         - {_psi_sql('m')})) AS mi FROM counted GROUP BY feature)"""
+
+
+@query("mi_neighbours", with_ctes(PREPARED, engineered_cte(), _knn_sql(), body=(
+    "SELECT feature, round(mi, 6) AS mi, n, mi >= 0.001 AS selected FROM mi")))
+def mi_neighbours(spark, sf_dir):
+    """Nearest-neighbour MI (k = 3) of the median-filled features with the label."""
+    df = frames.engineered(spark, sf_dir, fill=False)
+    m = neighbours.neighbour_mi(df, "ir_label", MI_FEATURES, profile.column_medians(df, MI_FEATURES))
+    return m.select("feature", R("mi").alias("mi"), "n", "selected")
+
+
 # ---------------------------------------------------------------- encoders
 
 SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")

@@ -31,6 +31,7 @@ class TrainConfig:
     calibration_folds: int = 3
     include_categoricals: bool = False
     exact_medians: bool = True
+    mi_estimator: str = "binned"  # or "neighbours"
     key: str = "patient_id"
     label: str = LABEL
 
@@ -94,7 +95,7 @@ def train(prepared: DataFrame, cfg: TrainConfig | None = None) -> tuple[Bundle,
     fills = fit_input_fills(prepared, cfg)
     data = prepare_training_frame(prepared, cfg, fills).persist(StorageLevel.MEMORY_AND_DISK)
     train_df = data.filter("split = 'train'").drop("split")
-    state = prep.fit_prep(train_df, label, key=[key], exact=cfg.exact_medians,
+    state = prep.fit_prep(train_df, label, key=[key], exact=cfg.exact_medians, estimator=cfg.mi_estimator,
                           include_categoricals=cfg.include_categoricals)
     state.input_fills = fills
     x = prep.apply_prep(data, state, keep=[key, label, "split"])
