@@ -7,6 +7,9 @@
     python -m cohortlab.jobs score    --input T --bundle DIR/bundle --out DIR
     python -m cohortlab.jobs drift    --reference T --new T --out DIR [--features a,b]
     python -m cohortlab.jobs stream   --events DIR --out DIR [--processing-time "1 minute"]
+    python -m cohortlab.jobs stream-score --input DIR --bundle DIR/bundle --out DIR [--processing-time "1 minute"]
+    python -m cohortlab.jobs stream-drift --input DIR --reference T --out DIR [--features a,b] [--source s]
+                                          [--window "1 day"] [--delay "1 hour"] [--processing-time "1 minute"]
     python -m cohortlab.jobs metrics  --input T --out DIR [--label y --score p]
 
 ``T`` is a parquet table (a ``.csv`` path is read with a header), or
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 from .operators import clean, drift, features, metrics, models, profile, score
 from .plans.training import (TrainConfig, base_validation_metrics, load_bundle,
                              prepare_training_frame, save_bundle, train)
-from .session import get_spark
+from .session import get_spark, temporary_tables
 from .sources import io
 from .sources.cohort import cohort
 
@@ -185,7 +188,63 @@ def job_stream(spark, a):
             "closed_windows": spark.read.parquet(f"{a.out}/windows").count()}
 
 
-JOBS = {"train": job_train, "audit": job_audit, "evaluate": job_evaluate, "validate": job_validate,
+def _row_stream(spark, folder: str) -> DataFrame:
+    """Stream of the Parquet files of a folder; the files that are there now give the columns."""
+    return spark.readStream.schema(spark.read.parquet(folder).schema).parquet(folder)
+
+
+def job_stream_score(spark, a):
+    """Patient rows scored by a bundle as they arrive, with the running metrics of the newest scores.
+
+    ``--input`` is a folder of Parquet files. Output: ``scored/batch_id=/status=`` and, beside it,
+    ``recent`` and ``metrics`` of the newest 500 scored rows after each batch.
+    """
+    from .streaming import events as ev
+    from .streaming.recent import recent_sink
+    bundle = load_bundle(spark, a.bundle)
+    rows = _row_stream(spark, a.input)
+    ts = a.ts if a.ts in clean.canonicalize(rows).columns else None
+
+    def prepare(batch):
+        raw = clean.nan_to_null(clean.canonicalize(batch))
+        return features.engineer(clean.harmonise_names(raw), bundle.state.input_fills)
+
+    sink = ev.scored_sink(prepare, bundle.score, f"{a.out}/scored", a.key, then=[recent_sink(a.out)], threshold=bundle.threshold,
+                          model_version=bundle.model_version, ts=ts, features=bundle.state.selected)
+    q = ev.run_batches(rows, sink, f"{a.out}/_checkpoints/scored", a.processing_time)
+    if q is not None:
+        q.awaitTermination()
+    return score.batch_outcome(spark.read.parquet(f"{a.out}/scored")).collect()[0].asDict()
+
+
+def job_stream_drift(spark, a):
+    """Rows tested for drift as they arrive, against a reference that is counted once and stored.
+
+    Windows of event time are tested when closed (``ks``, ``alerts``); with ``--source`` the last rows of
+    each source are tested row by row instead (``ring_alerts``). ``--input`` is a folder of Parquet files.
+    """
+    from .streaming import events as ev, ring
+    reference = read_input(spark, a.reference)
+    rows = clean.canonicalize(_row_stream(spark, a.input))
+    feats = a.features.split(",") if a.features else [f for f in profile.numeric_columns(reference, exclude=[a.key])
+                                                      if f in rows.columns]
+    if a.source:
+        stream = ring.ring_alerts(rows, a.source, a.ts, _key(rows, a.key), ring.reference_values(reference, a.key, feats))
+        q = ring.run_ring(stream, f"{a.out}/ring_alerts", f"{a.out}/_checkpoints/ring", a.processing_time)
+        alerts, schema = f"{a.out}/ring_alerts", ring.ALERTS
+    else:
+        drift.value_counts(reference, feats).write.mode("overwrite").parquet(f"{a.out}/reference")
+        stored = spark.read.parquet(f"{a.out}/reference")
+        counts = ev.window_counts(rows.withColumn("ts", F.col(a.ts).cast("timestamp")), feats, a.window, a.delay)
+        q = ev.run_batches(counts, ev.drift_sink(stored, a.out), f"{a.out}/_checkpoints/drift", a.processing_time)
+        alerts, schema = f"{a.out}/alerts", None
+    if q is not None:
+        q.awaitTermination()
+    found = spark.read.schema(schema).parquet(alerts) if schema else spark.read.parquet(alerts)
+    return {"alerts": found.count()}
+
+
+JOBS = {"stream-score": job_stream_score, "stream-drift": job_stream_drift, "train": job_train, "audit": job_audit, "evaluate": job_evaluate, "validate": job_validate,
         "score": job_score, "drift": job_drift, "stream": job_stream, "metrics": job_metrics}
 
 
@@ -207,10 +266,14 @@ def main(argv=None) -> int:
     p.add_argument("--label", default="y")
     p.add_argument("--score", default="p")
     p.add_argument("--processing-time")
+    p.add_argument("--source")
+    p.add_argument("--window", default="1 day")
+    p.add_argument("--delay", default="1 hour")
     p.add_argument("--master")
     a = p.parse_args(argv)
     spark = get_spark(a.master)
-    result = JOBS[a.job](spark, a)
+    with temporary_tables(spark):
+        result = JOBS[a.job](spark, a)
     print(json.dumps(result, default=str))
     return 0
 

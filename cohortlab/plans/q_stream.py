@@ -159,3 +159,29 @@ def stream_ring_drift(spark, sf_dir):
     pred = ev.to_predictions(ev.read_event_stream(spark, f"{sf_dir}/events.parquet"))
     ring.run_ring(ring.ring_alerts(pred, "event_type", "ts", "trace_id", reference), out, ck)
     return spark.read.schema(ring.ALERTS).parquet(out)
+
+
+def _last_n_sql():
+    batch = ("SELECT {k} AS batch_id, count(*) AS requests_total, round(coalesce(avg(coalesce(probability, 0.0)), 0.0), 6) AS avg_prob,"
+             " round(coalesce(avg(coalesce(CAST(latency_ms AS DOUBLE), 0.0)), 0.0), 6) AS avg_latency_ms FROM"
+             " (SELECT * FROM pe WHERE trace_id % 3 <= {k} ORDER BY ts DESC NULLS LAST, trace_id DESC LIMIT 500)")
+    return with_ctes(PE, body=" UNION ALL ".join(f"({batch.format(k=k)})" for k in range(3)))
+
+
+@query("stream_last_n", _last_n_sql())
+def stream_last_n(spark, sf_dir):
+    """Request metrics of the newest 500 events after each of three micro-batches.
+
+    The events arrive in three files, each drained by a run of its own and spread over the whole
+    time, so that later batches bring older events and push out only some of the held ones.
+    """
+    from ..streaming import recent
+    out, ck = _dirs(spark, "stream-last-n")
+    base = scratch_path(spark, f"stream-last-n-{uuid.uuid4().hex}")
+    events = read_table(spark, sf_dir, "events")
+    for k in range(3):
+        events.filter(F.col("event_id") % 3 == k).write.mode("append").parquet(f"{base}/events")
+        pred = ev.to_predictions(ev.read_event_stream(spark, f"{base}/events"))
+        ev.run_batches(pred, recent.recent_sink(out), ck)
+    m = spark.read.parquet(f"{out}/metrics")
+    return m.select("batch_id", "requests_total", R("avg_prob").alias("avg_prob"), R("avg_latency_ms").alias("avg_latency_ms"))

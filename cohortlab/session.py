@@ -10,6 +10,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -68,8 +71,40 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}"
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder on whatever file system it is; one that is not there is no error."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """At the end delete what ``materialise`` has written inside, also after an error.
+
+    Results must have been written out or collected by then. Scopes may be nested; each
+    deletes its own tables.
+    """
+    paths: list[str] = []
+    token = _written.set(paths)
+    try:
+        yield
+    finally:
+        _written.reset(token)
+        for path in paths:
+            delete_path(spark, path)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: fixed values, short lineage."""
+    """Write ``df`` to the shared folder and read it back: fixed values, short lineage.
+
+    The table stays until the surrounding ``temporary_tables`` ends; without one it stays.
+    """
     path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    paths = _written.get()
+    if paths is not None:
+        paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

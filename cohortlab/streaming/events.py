@@ -12,7 +12,7 @@ idempotent, batch-keyed sink.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +22,7 @@ from pyspark.sql.types import (DoubleType, LongType, StringType, StructField, St
 from ..functions.columns import risk_level
 from ..operators.drift import drift_alerts, ks_from_counts
 from ..operators.score import score_all
+from ..session import temporary_tables
 
 EVENT_SCHEMA = StructType([
     StructField("event_id", LongType()), StructField("ts", TimestampNTZType()),
@@ -115,24 +116,55 @@ def drift_sink(reference: DataFrame, path: str, min_rows: int = 50, alpha: float
 
     ``reference`` holds stored value counts (``value_counts``). Results go to
     ``ks/batch_id=<id>`` and ``alerts/batch_id=<id>`` with overwrite, so a replayed batch
-    rewrites, never duplicates. The alerts are taken from the written KS rows.
+    rewrites, never duplicates. The alerts are taken from the written KS rows. Range tables of
+    the running sums are deleted with each batch.
     """
     def fn(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
         batch = batch.persist()
         big = batch.filter((F.col("feature") == ALL_ROWS) & (F.col("n") >= min_rows)).select("window_start")
         counts = batch.filter(F.col("feature") != ALL_ROWS).join(big, "window_start", "left_semi")
         where = f"batch_id={batch_id}"
-        ks_from_counts(reference, counts, ["window_start"], alpha).write.mode("overwrite").parquet(f"{path}/ks/{where}")
-        found = batch.sparkSession.read.parquet(f"{path}/ks/{where}")
+        with temporary_tables(spark):
+            ks_from_counts(reference, counts, ["window_start"], alpha).write.mode("overwrite").parquet(f"{path}/ks/{where}")
+        found = spark.read.parquet(f"{path}/ks/{where}")
         drift_alerts(found, by=["window_start"]).write.mode("overwrite").parquet(f"{path}/alerts/{where}")
         batch.unpersist()
     return fn
 
 
-def run_drift(stream: DataFrame, sink, checkpoint: str) -> None:
-    """Drain what has arrived since the last run into the drift sink; the state stays in ``checkpoint``."""
-    q = stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
+def run_batches(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, processing_time: str | None = None):
+    """Each micro-batch through ``sink``; the state and the progress stay in ``checkpoint``.
+
+    By default drains what has arrived since the last run; with ``processing_time`` the running
+    query is returned.
+    """
+    w = stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
+    if processing_time:
+        return w.trigger(processingTime=processing_time).start()
+    w.trigger(availableNow=True).start().awaitTermination()
+    return None
+
+
+run_drift = run_batches
+
+
+def scored_sink(prepare: Callable[[DataFrame], DataFrame], scorer, path: str, key: str, then: Sequence[Callable] = (), **kw):
+    """``foreachBatch`` function: rows prepared, scored and written to ``batch_id=<id>/status=<status>``.
+
+    ``prepare`` makes the scorer's input of raw rows; ``kw`` goes to ``score_all``. Every
+    function of ``then`` gets the written rows of the batch that were scored, and its number: they see
+    the very values that were stored. A replayed batch rewrites its own folder.
+    """
+    def fn(batch: DataFrame, batch_id: int) -> None:
+        spark, where = batch.sparkSession, f"{path}/batch_id={batch_id}"
+        with temporary_tables(spark):
+            rows = score_all(prepare(batch), scorer, key, **kw)
+            rows.write.mode("overwrite").partitionBy("status").parquet(where)
+            kept = spark.read.schema(rows.schema).parquet(where).filter("status = 'scored'")
+            for sink in then:
+                sink(kept, batch_id)
+    return fn
 
 
 def scored_events(stream: DataFrame, scorer, key: str, **kw) -> DataFrame:
