@@ -1,9 +1,9 @@
 """Quality rules: base counts and compression bands.
 
 Repetitive text compresses too well, noise too badly. Each text is compressed
-with zstandard as a whole and in fixed chunks; the ratio (bytes / compressed
-bytes) must lie inside a band that depends on the length, since the ratio of
-ordinary prose rises with it.
+with zstandard as a whole and in fixed chunks that cover all its bytes; the ratio
+(bytes / compressed bytes) must lie inside limits that depend on the length, since
+the ratio of ordinary prose rises with it.
 """
 
 from __future__ import annotations
@@ -22,11 +22,12 @@ SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 NOT_CONTINUATION = (np.arange(256) & 0xC0) != 0x80
 MIN_WORDS = 50                    # fewer words fail the base rule
 MAX_REPEAT_PERCENT = 50           # more words inside repeated windows fail it
-CHUNK = 4096
-#: length below which a band holds -> (lowest, highest) ratio of a whole text
-BANDS = ((512, 1.02, 3.6), (2048, 1.15, 4.6), (8192, 1.35, 6.0), (32768, 1.5, 8.0), (float("inf"), 1.5, 12.0))
-CHUNK_BAND = (1.25, 7.0)
-MAX_BAD_CHUNKS = 0.5              # more bad chunks than this share reject a text
+#: length below which a row holds -> (lowest, highest) ratio, of whole texts and of chunks of that length alike.
+#: The lowest lie between random letters, digits and signs (also in base64) and prose, code or tables of that length.
+LIMITS = ((256, 1.0, 2.6), (512, 1.09, 3.0), (1024, 1.22, 3.6), (4096, 1.32, 4.6), (32768, 1.4, 8.0), (float("inf"), 1.4, 12.0))
+#: texts of fewer bytes than the first are cut into chunks of so many bytes
+CHUNKS = ((4096, 256), (float("inf"), 1024))
+MAX_BAD_CHUNKS = 0.2              # more bad chunks than this share reject a text
 
 SCHEMA = ("doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long,"
           " n_repeat_words long, base_failed boolean, kept boolean, ratio double, bad_chunks double")
@@ -78,23 +79,34 @@ def base_counts(data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     }
 
 
+def inside(n_bytes: int, ratio: float) -> bool:
+    low, high = next((lo, hi) for limit, lo, hi in LIMITS if n_bytes < limit)
+    return low <= ratio <= high
+
+
+def chunk_starts(n: int, size: int) -> list[int]:
+    """Starts of chunks that cover every byte: the last one ends with the text and may overlap the one before.
+
+    A text shorter than a chunk has none; its whole ratio decides.
+    """
+    starts = list(range(0, n - size + 1, size))
+    return starts + [n - size] if starts and n % size else starts
+
+
 def compression(text: memoryview, packer: zstandard.ZstdCompressor) -> tuple[float, float]:
-    """(ratio of the whole text, share of full chunks outside the chunk band)."""
+    """(ratio of the whole text, share of its chunks outside their limits)."""
     n = len(text)
     if not n:
         return 1.0, 0.0
     ratio = n / len(packer.compress(text))
-    bad = chunks = 0
-    for i in range(0, n - CHUNK + 1, CHUNK):
-        r = CHUNK / len(packer.compress(text[i:i + CHUNK]))
-        chunks += 1
-        bad += not CHUNK_BAND[0] <= r <= CHUNK_BAND[1]
-    return ratio, bad / chunks if chunks else 0.0
+    size = next(size for limit, size in CHUNKS if n < limit)
+    starts = chunk_starts(n, size)
+    bad = sum(not inside(size, size / len(packer.compress(text[i:i + size]))) for i in starts)
+    return ratio, bad / len(starts) if starts else 0.0
 
 
 def verdict(n_bytes: int, ratio: float, bad: float) -> bool:
-    low, high = next((lo, hi) for limit, lo, hi in BANDS if n_bytes < limit)
-    return low <= ratio <= high and bad <= MAX_BAD_CHUNKS
+    return inside(n_bytes, ratio) and bad <= MAX_BAD_CHUNKS
 
 
 def score_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

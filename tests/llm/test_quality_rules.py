@@ -47,3 +47,56 @@ def test_accepted_keeps_columns(edge):
     assert out.schema == edge.schema
     kept = [r.doc_id for r in q.quality_rules(edge).filter("kept").collect()]
     same([r.doc_id for r in out.collect()], kept)
+
+
+def prose_of(n_bytes, seed=0):
+    common = [w for w in brute_words() if w.isalpha()]
+    rnd = random.Random(seed)
+    text = ""
+    while len(text) < n_bytes:
+        text += rnd.choice(common) + " "
+    return text[:n_bytes]
+
+
+def brute_words():
+    return ("the of and a to in is you that it he was for on are as with his they at be this have from or one had by word but not what all"
+            " were we when your can said there use an each which she do how their if will up other about out many then them these so some"
+            " her would make like him into time has look two more write go see number no way could people my than first water been call"
+            " who oil its now find long down day did get come made may part over new sound take only little work know place year live me"
+            " back give most very after thing our just name good sentence man think say great where help through much before line right").split()
+
+
+def noise_of(n_bytes, seed=0):
+    rnd = random.Random(seed)
+    return "".join(" " if i % 6 == 5 else chr(rnd.randint(33, 126)) for i in range(n_bytes))
+
+
+def test_noise_and_repetition_in_tails_and_short_texts(spark):
+    line = "click here to subscribe now "
+    texts = {
+        "long": prose_of(20_000), "page": prose_of(8190, 1), "short": prose_of(700, 2), "tiny": prose_of(280, 3), "odd": prose_of(4097, 4),
+        "noise tail": prose_of(4096, 5) + noise_of(4094), "noise head": noise_of(3000, 1) + prose_of(6000, 6),
+        "short noise tail": prose_of(350, 7) + " " + noise_of(350, 2), "all noise": noise_of(900, 3),
+        "tail of one page": prose_of(3000, 8) + noise_of(1000, 4),
+        "repeated tail": prose_of(6000, 9) + line * 120, "short repeated tail": prose_of(500, 10) + line * 30,
+    }
+    df = spark.createDataFrame(list(enumerate(texts.values())), "doc_id long, text string")
+    got = dict(zip(texts, (r for r in sorted(q.quality_rules(df).collect(), key=lambda r: r.doc_id))))
+    kept = {name for name, r in got.items() if r.kept}
+    assert kept == {"long", "page", "short", "tiny", "odd"}, {n: (r.ratio, r.bad_chunks, r.base_failed) for n, r in got.items()}
+    assert not any(got[n].base_failed for n in ("noise tail", "noise head", "short noise tail", "all noise", "tail of one page"))
+
+
+def test_chunks_cover_every_byte():
+    for n in (0, 1, 255, 256, 257, 511, 512, 4095, 4096, 5000):
+        for size in (256, 1024):
+            starts = q.chunk_starts(n, size)
+            assert {i for s in starts for i in range(s, s + size)} == (set(range(n)) if n >= size else set())
+
+
+def test_nearly_all_clean_documents_stay_on_the_larger_tables(spark):
+    d = "/root/testdata/sf0.1"
+    good = spark.read.parquet(f"{d}/labels.parquet").filter("quality = 1").select("doc_id")
+    rows = q.quality_rules(spark.read.parquet(f"{d}/documents.parquet")).join(good, "doc_id").filter("not base_failed")
+    n, kept = rows.selectExpr("count(*)", "count_if(kept)").first()
+    assert n > 1000 and kept >= 0.99 * n
