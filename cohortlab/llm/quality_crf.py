@@ -237,7 +237,11 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
-    """Rows of ``docs`` that the model predicts to be good, every column as it was."""
+    """Rows of ``docs`` that the model predicts to be good, every column as it was.
+
+    A null or empty text is one line without content and is judged by it. Ids are not read, so null
+    and repeated ids make no difference; repeated rows are judged alike. An empty table stays empty.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = [model.scores(line_features(data, off)) >= 0.5 for _, _, data, off in docs_of(batch)]

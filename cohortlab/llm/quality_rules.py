@@ -138,7 +138,11 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
 
 def accepted(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs`` that the rules keep, every column as it was."""
+    """Rows of ``docs`` that the rules keep, every column as it was.
+
+    A null or empty text has no words and goes. Ids are not read, so null and repeated ids make no
+    difference; repeated rows are judged alike. An empty table stays empty.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), batch.column("text")], ["doc_id", "text"])

@@ -672,7 +672,10 @@ def dedup(docs: DataFrame) -> DataFrame:
 def without_repeats(docs: DataFrame) -> DataFrame:
     """All rows of ``docs`` with the repeated bytes cut out of ``text``, other columns as they were.
 
-    ``n_chars``, where there is one, is counted anew for texts that changed.
+    ``n_chars``, where there is one, is counted anew for texts that changed. Null and empty texts stay
+    as they are. The order of rows, also of null and repeated ids, is that of ``dedup``: of rows with the
+    same whole text those with the smallest id keep it, later ones lose it from 100 bytes on. An empty
+    table stays empty.
     """
     key, first, kept, new = (free_name(docs, c) for c in ("_key", "_first", "_kept", "_new"))
     digest = F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
