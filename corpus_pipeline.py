@@ -18,13 +18,21 @@ ORACLE_SQL = None   # no SQL form of the classifier and the packing; the tests h
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier predicts to be good; every column as it was."""
+    """Documents that the classifier predicts to be good; every column as it was.
+
+    Null and empty texts are judged as one line without content, repeated rows alike; an empty
+    table stays empty.
+    """
     model = quality_crf.fit(quality_crf.labelled_features(docs, table(spark, sf_dir, "labels")))
     return quality_crf.accepted(docs, model)
 
 
 def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that base rules and compression bands keep; every column as it was."""
+    """Documents that base rules and compression bands keep; every column as it was.
+
+    Null and empty texts have no words and go, repeated rows are judged alike; an empty table
+    stays empty.
+    """
     long_rows(spark)
     return quality_rules.accepted(docs)
 
@@ -45,12 +53,20 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the bytes that repeat earlier ones; ``n_chars`` follows the text."""
+    """All documents, without the bytes that repeat earlier ones; ``n_chars`` follows the text.
+
+    Null and empty texts stay as they are; rows come in the order of their ids, null first; an
+    empty table stays empty.
+    """
     return suffix_dedup.without_repeats(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents with their sequences and offsets."""
+    """Pieces of all documents with their sequences and offsets.
+
+    A null or empty text is its end id alone, repeated rows are packed each for itself; an empty
+    table gives no rows.
+    """
     return packing.pack(docs, TOKENIZER)
 
 
