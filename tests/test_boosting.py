@@ -145,6 +145,22 @@ def test_many_partitions_add_in_tasks(table, monkeypatch):
     assert bo.fit_all(table, "k", "y", FEATURES, fit)[0].trees == want[0].trees
 
 
+def test_blocks_are_dealt_over_all_tasks(table, monkeypatch):
+    """Many blocks in one stored partition still keep every task busy; the last children of a tree need no job."""
+    monkeypatch.setattr(bo, "BLOCK_ROWS", 20)
+    monkeypatch.setattr(bo, "WORK_ROWS", 100)
+    monkeypatch.setattr(bo, "ROWS_PER_TASK", 180)
+    dealt, counted = [], bo.added
+
+    def watched(rdd, count):
+        dealt.append([sum(n) for n in rdd.map(lambda b: len(b.y)).glom().collect()] if hasattr(rdd.first(), "margins") else None)
+        return counted(rdd, count)
+    monkeypatch.setattr(bo, "added", watched)
+    bo.fit_all(table.coalesce(1), "k", "y", FEATURES, [bo.Fit(bo.Learner("s", "level", depth=3, rounds=1), -1)])
+    jobs = [d for d in dealt if d]
+    assert len(jobs) == 3 and all(len(d) >= 5 and sum(d) == 900 and max(d) <= 240 for d in jobs)
+
+
 def test_edges(table, spark):
     fit = [bo.Fit(bo.Learner("s", "level", depth=2, rounds=2), -1)]
     for rows, start in (("y = 1", 20.0), ("y = 0", -20.0), ("y > 5", 0.0)):
