@@ -21,6 +21,7 @@ from .profile import unpivot
 # fixed values: significance level of the drift test
 KS_ALPHA = 0.01
 EXACT_MOST = 10_000  # samples up to this size get an exact p-value
+VALUES_PER_TASK = 1_000_000  # values that a task counts, whatever the size of the samples
 KS_TERMS = 30  # terms beyond 30 are below exp(-70) once lambda >= 0.2
 
 
@@ -89,6 +90,16 @@ def value_counts(df: DataFrame, features: Sequence[str], by: Sequence[str] = ())
     return _long(df, by, features).groupBy(*by, "feature", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
+def dealt(df: DataFrame, features: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """``by`` and ``features`` of ``df``, dealt so that the values a task counts have a bounded number.
+
+    Measured values hardly repeat, so a task's table of counts is about as large as its rows.
+    """
+    few = df.select(*by, *features)
+    tasks = -(-df.count() * len(features) // VALUES_PER_TASK)
+    return few.repartition(tasks, *features) if tasks > 1 else few
+
+
 def ks_from_counts(ref: DataFrame, new: DataFrame, by: Sequence[str] = (), alpha: float = KS_ALPHA) -> DataFrame:
     """KS of each (by..., feature) group of ``new`` against the feature's one reference, both as value counts.
 
@@ -133,7 +144,7 @@ def ks_drift(ref: DataFrame, new: DataFrame, features: Sequence[str],
     if not feats:
         return ref.sparkSession.createDataFrame(
             [], "feature string, d double, n_ref bigint, n_new bigint, p_value double, drifted boolean")
-    return ks_from_counts(value_counts(ref, feats), value_counts(new, feats, by), by, alpha)
+    return ks_from_counts(value_counts(dealt(ref, feats), feats), value_counts(dealt(new, feats, by), feats, by), by, alpha)
 
 
 def drift_alerts(ks: DataFrame, at: F.Column | None = None, by: Sequence[str] = ()) -> DataFrame:

@@ -69,3 +69,13 @@ def test_ks_skips_absent_and_empty(spark):
 def test_alerts_empty_when_no_drift(spark):
     ref = spark.range(100).select((F.col("id") * 1.0).alias("x"))
     assert drift.drift_alerts(drift.ks_drift(ref, ref, ["x"])).count() == 0
+
+
+def test_ks_counts_a_bounded_number_of_values_a_task(spark, monkeypatch):
+    df = spark.range(3000).select(F.col("id").cast("double").alias("a"), F.when(F.col("id") % 3 > 0, F.sqrt("id")).alias("b"))
+    shifted = df.filter("a >= 500")
+    want = sorted(map(tuple, drift.ks_drift(df, shifted, ["a", "b"]).collect()))
+    monkeypatch.setattr(drift, "VALUES_PER_TASK", 500)
+    parts = drift.dealt(df.coalesce(1), ["a", "b"])
+    assert parts.rdd.getNumPartitions() == 12 and max(len(p) for p in parts.rdd.glom().collect()) <= 2 * 500
+    assert sorted(map(tuple, drift.ks_drift(df, shifted, ["a", "b"]).collect())) == want
