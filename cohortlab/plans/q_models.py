@@ -358,7 +358,7 @@ def isotonic_blocks(spark, sf_dir):
     off = (F.abs(F.col("pos") / F.col("m") - F.col("b.value")) > 1e-12) | (F.col("m") != F.col("b.n"))
     return run.agg(
         F.sum("m").alias("n"), F.sum("pos").cast("long").alias("n_pos"), F.count(F.lit(1)).alias("n_scores"),
-        F.lit(falls.agg(F.count(F.when(F.col("f"), 1))).collect()[0][0]).alias("n_not_rising"),
-        F.lit(means.agg(F.count(F.when(off, 1))).collect()[0][0]).alias("n_off_mean"),
+        F.lit(falls.agg(F.count(F.when(F.col("f"), 1))).collect()[0][0]).cast("long").alias("n_not_rising"),
+        F.lit(means.agg(F.count(F.when(off, 1))).collect()[0][0]).cast("long").alias("n_off_mean"),
         F.count(F.when(F.col("mean") < F.col("own.value") - 1e-12, 1)).alias("n_early_low"),
         F.count(F.when(F.col("own").isNull() | (F.col("x") > F.col("own.hi")), 1)).alias("n_outside"))
