@@ -45,18 +45,15 @@ def critical_gap(m: int, n: int, alpha: float) -> int:
     return high
 
 
-def drifted_features(rows: np.ndarray, reference: Mapping[str, np.ndarray], features: Sequence[str], alpha: float) -> list[str]:
-    """Features whose buffered values differ from the reference (exact two-sample KS); an empty side is skipped."""
-    out = []
-    for i, f in enumerate(features):
-        new, ref = np.sort(rows[~np.isnan(rows[:, i]), i]), reference[f]
-        if not len(new) or not len(ref):
-            continue
-        at = np.concatenate([new, ref])
-        gap = np.abs(np.searchsorted(new, at, "right") * len(ref) - np.searchsorted(ref, at, "right") * len(new)).max()
-        if gap >= critical_gap(len(ref), len(new), alpha):
-            out.append(f)
-    return sorted(out)
+def largest_gap(new: np.ndarray, ref: np.ndarray) -> int:
+    """Largest distance of the two empirical distributions in multiples of 1 / (m n); ``ref`` is sorted."""
+    new = np.sort(new)
+    # between two new values only the reference rises: the largest gap is at a new value or just before one
+    at, n = np.searchsorted(ref, new, "right"), len(new)
+    before = np.searchsorted(ref, new, "left")
+    here = np.searchsorted(new, new, "right") * len(ref) - at * n
+    below = np.searchsorted(new, new, "left") * len(ref) - before * n
+    return int(max(np.abs(here).max(), np.abs(below).max()))
 
 
 class Ring:
@@ -70,12 +67,40 @@ class Ring:
 
     def add(self, row: Sequence[float]) -> tuple[list[str], int]:
         """(drifted features, rows tested) after one more row; an alert empties the buffer."""
-        self.rows = np.concatenate([self.rows, [row]])[-self.keep:]
-        n = len(self.rows)
-        found = drifted_features(self.rows, self.reference, self.features, self.alpha) if n >= self.least else []
-        if found:
-            self.rows = self.rows[:0]
-        return found, n
+        n = min(len(self.rows) + 1, self.keep)
+        return next(((found, n) for _, found, n in self.extend([row])), ([], n))
+
+    def extend(self, rows: Sequence[Sequence[float]]) -> list[tuple[int, list[str], int]]:
+        """(place in ``rows``, drifted features, rows tested) of every alert, the rows taken one by one.
+
+        One more row moves a feature's gap by at most the size of its reference, so a feature is compared again
+        only when the gap last found could have reached the critical one; no alert is missed.
+        """
+        every = np.concatenate([self.rows, np.asarray(rows, float).reshape(-1, len(self.features))])
+        told = ~np.isnan(every)
+        n_told = np.concatenate([np.zeros((1, len(self.features)), int), np.cumsum(told, axis=0)])
+        refs = [self.reference[f] for f in self.features]
+        held, start, out = len(self.rows), 0, []
+        end, most = held, [None] * len(refs)                # largest possible gap of each feature; None: not known
+        while end < len(every):
+            end = max(end + 1, min(start + self.least, len(every)))
+            n = min(end - start, self.keep)
+            if n < self.least:
+                continue
+            first, found = end - n, []
+            for i, ref in enumerate(refs):
+                m, own = len(ref), int(n_told[end, i] - n_told[first, i])
+                most[i] = None if most[i] is None else most[i] + m
+                if not m or not own or (most[i] is not None and most[i] < critical_gap(m, own, self.alpha)):
+                    continue
+                most[i] = largest_gap(every[first:end, i][told[first:end, i]], ref)
+                if most[i] >= critical_gap(m, own, self.alpha):
+                    found.append(self.features[i])
+            if found:
+                out.append((end - 1 - held, sorted(found), n))
+                start, most = end, [None] * len(refs)
+        self.rows = every[max(start, len(every) - self.keep):].copy()
+        return out
 
 
 ALERTS = "source string, ts timestamp, drift_features string, n_rows int"
@@ -93,11 +118,8 @@ def ring_alerts(stream: DataFrame, source: str, ts: str, order: str, reference:
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         own = pd.concat(list(batches)).sort_values(["_ts", "_order"], kind="stable")
         ring = Ring(reference, features, keep, least, alpha, state.get[0] if state.exists else ())
-        out = []
-        for at, row in zip(own["_ts"], own[features].to_numpy(float)):
-            found, n = ring.add(row)
-            if found:
-                out.append((key[0], at, ",".join(found), n))
+        found, at = ring.extend(own[features].to_numpy(float)), own["_ts"]
+        out = [(key[0], at.iloc[i], ",".join(names), n) for i, names, n in found]
         state.update((ring.rows.ravel().tolist(),))
         yield pd.DataFrame(out, columns=["source", "ts", "drift_features", "n_rows"])
 
