@@ -36,34 +36,32 @@ def digamma(n: Column) -> Column:
 
 
 def _with_neighbours(ranked: DataFrame, label: str, k: int, block: int) -> DataFrame:
-    """``_near``: (distance, count, value) of the row itself and of up to k distinct values on either side."""
+    """``_d<i>``, ``_n<i>``, ``_v<i>``: distance, count and value of up to k distinct values on either side, else null."""
     at = F.col("cum__one") - 1
     home, place = F.floor(at / block), at % block
-    copies = F.array_compact(F.array(home, F.when((place < k) & (home > 0), home - 1),
-                                     F.when(place >= block - k, home + 1)))
-    dealt = ranked.withColumn("_home", home).withColumn("_block", F.explode(copies))
+    copies = F.array(home, F.when((place < k) & (home > 0), home - 1), F.when(place >= block - k, home + 1))
+    dealt = ranked.withColumn("_home", home).withColumn("_block", F.explode(copies)).filter("_block IS NOT NULL")
     w = Window.partitionBy("feature", label, "_block").orderBy("value")
-
-    def neighbour(shift, i):
-        v = shift("value", i).over(w)
-        return F.struct(F.abs(F.col("value") - v).alias("d"), shift("_c", i).over(w).alias("c"), v.alias("v"))
-    own = F.struct(F.lit(0.0).alias("d"), (F.col("_c") - 1).alias("c"), F.col("value").alias("v"))
-    near = F.array(own, *[neighbour(s, i) for s in (F.lag, F.lead) for i in range(1, k + 1)])
-    return dealt.withColumn("_near", F.filter(near, lambda x: x["d"].isNotNull())).filter("_block = _home")
+    sides = [(shift, i) for shift in (F.lag, F.lead) for i in range(1, k + 1)]
+    near = dealt.withColumns({f"_{name}{j}": shift(c, i).over(w) for j, (shift, i) in enumerate(sides)
+                              for name, c in (("v", "value"), ("n", "_c"))}).filter("_block = _home")
+    return near.withColumns({f"_d{j}": F.abs(F.col("value") - F.col(f"_v{j}")) for j in range(2 * k)})
 
 
 def _ends(near: DataFrame, k: int) -> DataFrame:
     """``_k``, ``_lo``, ``_hi``: values of the same label within the k-th distance, and where that distance ends."""
+    sides = range(2 * k)
+
     def within(d):
-        return F.aggregate("_near", F.lit(0).cast("long"), lambda n, x: n + F.when(x["d"] <= d, x["c"]).otherwise(0))
+        return sum((F.when(F.col(f"_d{j}") <= d, F.col(f"_n{j}")).otherwise(0) for j in sides), F.col("_c") - 1)
     enough = F.least(F.lit(k), F.col("_ny") - 1)
-    far = F.array_min(F.transform(F.filter("_near", lambda x: within(x["d"]) >= enough), lambda x: x["d"]))
-    near = near.withColumn("_r", far)
-    inside = F.transform(F.filter("_near", lambda x: x["d"] <= F.col("_r")), lambda x: x["v"])
+    distances = [F.lit(0.0), *[F.col(f"_d{j}") for j in sides]]
+    near = near.withColumn("_r", F.least(*[F.when(within(d) >= enough, d) for d in distances]))
+    inside = [F.when(F.col(f"_d{j}") <= F.col("_r"), F.col(f"_v{j}")) for j in sides]
     # a rounded end must not leave out the neighbour that defines it
-    return (near.withColumn("_inside", inside).withColumn("_k", within(F.col("_r")))
-                .withColumn("_lo", F.least(F.col("value") - F.col("_r"), F.array_min("_inside")))
-                .withColumn("_hi", F.greatest(F.col("value") + F.col("_r"), F.array_max("_inside"))))
+    return (near.withColumn("_k", within(F.col("_r")))
+                .withColumn("_lo", F.least(F.col("value") - F.col("_r"), F.col("value"), *inside))
+                .withColumn("_hi", F.greatest(F.col("value") + F.col("_r"), F.col("value"), *inside)))
 
 
 def neighbour_mi(df: DataFrame, label: str, features: Sequence[str], fills: Mapping[str, float] | None = None,
@@ -89,15 +87,12 @@ def neighbour_mi(df: DataFrame, label: str, features: Sequence[str], fills: Mapp
     ends = _ends(_with_neighbours(ranked, label, k, block), k)
     ends = materialise(ends.select("feature", label, "value", "_c", "_ny", "_k", "_lo", "_hi"), "neighbour-ends")
 
-    # at one place: lower ends, then values, then upper ends; only values weigh
+    # at one place: lower ends, then values, then upper ends; only values weigh, and equal values of several labels need not be one row
+    def place(at, kind, weight):
+        return F.struct(F.col(at).alias("_at"), F.lit(kind).alias("_kind"), weight.alias("_w"))
     none = F.lit(0).cast("long")
-    values = kept.groupBy("feature", "value").agg(F.sum("_c").alias("_w"))
-    places = values.select("feature", F.col("value").alias("_at"), F.lit(1).alias("_kind"), "_w",
-                           F.lit(None).cast("double").alias("value"))
-    for end, kind in (("_lo", 0), ("_hi", 2)):
-        rows = ends.select("feature", F.col(end).alias("_at"), F.lit(kind).alias("_kind"), none.alias("_w"),
-                           "value", label, "_c", "_ny", "_k")
-        places = places.unionByName(rows, allowMissingColumns=True)
+    three = F.array(place("_lo", 0, none), place("value", 1, F.col("_c")), place("_hi", 2, none))
+    places = ends.withColumn("_p", F.explode(three)).select("feature", "_p.*", "value", label, "_c", "_ny", "_k")
     run = cumulative(places, ["feature"], "_at", ["_w"], tiebreak=["_kind"]).filter("_kind != 1")
     m = run.groupBy("feature", label, "value", "_c", "_ny", "_k").agg(
         (F.sum(F.when(F.col("_kind") == 2, F.col("cum__w")).otherwise(-F.col("cum__w"))) - 1).alias("_m"))

@@ -212,7 +212,8 @@ mi AS (SELECT feature, count(*) AS n, greatest(0.0, {_psi_sql('count(*)')} + avg
     "SELECT feature, round(mi, 6) AS mi, n, mi >= 0.001 AS selected FROM mi")))
 def mi_neighbours(spark, sf_dir):
     """Nearest-neighbour MI (k = 3) of the median-filled features with the label."""
-    df = frames.engineered(spark, sf_dir, fill=False)
+    # read twice: by the medians and by the estimate
+    df = materialise(frames.engineered(spark, sf_dir, fill=False).select("ir_label", *MI_FEATURES), "mi-input")
     m = neighbours.neighbour_mi(df, "ir_label", MI_FEATURES, profile.column_medians(df, MI_FEATURES))
     return m.select("feature", R("mi").alias("mi"), "n", "selected")
 

@@ -77,3 +77,17 @@ def test_selection_by_neighbours(spark):
     assert state.selected == ["told"] and dict(state.mi)["told"] > 0.2
     with pytest.raises(ValueError):
         prep.fit_prep(df, "y", key=["patient_id"], estimator="other")
+
+
+def test_neighbours_are_plain_columns(spark, monkeypatch):
+    """Distances and counts of a row are compared column by column; no lambda runs for every row."""
+    plans = []
+    written = neighbours.materialise
+
+    def noted(df, name):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return written(df, name)
+    monkeypatch.setattr(neighbours, "materialise", noted)
+    df = spark.createDataFrame([(i % 2, float(i * i % 17)) for i in range(40)], "y int, a double")
+    got = neighbours.neighbour_mi(df, "y", ["a"]).collect()
+    assert got[0].n == 40 and len(plans) == 2 and not any("lambda" in p for p in plans)
