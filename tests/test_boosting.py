@@ -161,6 +161,44 @@ def test_blocks_are_dealt_over_all_tasks(table, monkeypatch):
     assert len(jobs) == 3 and all(len(d) >= 5 and sum(d) == 900 and max(d) <= 240 for d in jobs)
 
 
+def test_jobs_map_stored_rows_and_leave_nothing(table, spark, monkeypatch):
+    """No job reads rows that Spark holds for Python: blocks and scores are files of the shared folder, deleted at the end."""
+    import glob
+    from cohortlab.session import ensure_checkpoint_dir
+    root = ensure_checkpoint_dir(spark).replace("file:", "")
+    held, kept, counted = [], [], bo.added
+
+    def watched(rdd, count):
+        found = counted(rdd, count)
+        held.append(spark.sparkContext._jsc.getPersistentRDDs().size())
+        kept.append(len(glob.glob(f"{root}/boosting-rows-*/*/*")))
+        return found
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    monkeypatch.setattr(bo, "added", watched)
+    monkeypatch.setattr(bo, "BLOCK_ROWS", 100)
+    monkeypatch.setattr(bo, "WORK_ROWS", 200)
+    bo.fit_all(table, "k", "y", FEATURES, [bo.Fit(bo.Learner("s", "level", depth=2, rounds=4), f) for f in (-1, 0)], "fold")
+    assert set(held) == {before} and len(held) == 1 + 4 * 2 and max(kept) > 1
+    assert not glob.glob(f"{root}/boosting-rows-*")
+
+
+def test_gradients_are_whole_numbers_of_the_plain_formula():
+    rng = np.random.default_rng(6)
+    m, y = (rng.normal(size=5000) * 4).astype(np.float32), rng.integers(0, 2, 5000).astype(np.uint8)
+    g, packed = np.empty(5000), np.empty(5000)
+    bo.gradients(m, y, g, packed)
+    p = 1 / (1 + np.exp(-m.astype(float)))
+    assert np.array_equal(g, np.rint((p - y) * bo.UNIT)) and np.array_equal(packed, np.rint(p * (1 - p) * bo.UNIT) + bo.PACKED)
+
+
+def test_largest_joined_block_keeps_its_sums_whole():
+    """Rows of the largest second derivative, as many as a joined block may have: counts and sums stay apart."""
+    n = bo.WORK_ROWS + 2 * bo.BLOCK_ROWS
+    block = bo.Block(np.ones((1, n), np.uint8), np.zeros(n, np.uint8), np.zeros(n, np.int16), np.arange(n), np.zeros((1, n), np.float32))
+    found = bo.histograms(block, bo.Level(0, [0], [[(0, 0, 0, 0)]], [[1]], [[0]]), [bo.Fit(bo.Learner("s"), -1)], bo.BINS)
+    assert found[:, 0, 0, 1].tolist() == [n * bo.UNIT / 2, n * bo.UNIT / 4, n]
+
+
 def test_edges(table, spark):
     fit = [bo.Fit(bo.Learner("s", "level", depth=2, rounds=2), -1)]
     for rows, start in (("y = 1", 20.0), ("y = 0", -20.0), ("y > 5", 0.0)):
