@@ -335,3 +335,33 @@ def test_isotonic_folds_and_application(spark):
         xs, ys = [v for lo, hi, _ in blocks for v in (lo, hi)], [v for *_, v in blocks for _ in range(2)]
         for r in new.collect()[1:]:
             assert a[r.id][k] == pytest.approx(np.interp(r.p, xs, ys), abs=1e-12) == b[r.id][k]
+
+
+def test_tables_of_neighbouring_leaves_equal_the_leaves_alone(monkeypatch):
+    """Trees of many leaves over values on, between and beyond the thresholds, some missing, in tables of few cells and of many."""
+    rng = np.random.default_rng(8)
+
+    def grown(n_leaves):
+        tree = [bo.Node(0, 0.0, 0, 0, 1.0, 1000)]
+        while sum(not n.left for n in tree) < n_leaves:
+            i = int(rng.choice([k for k, n in enumerate(tree) if not n.left and n.rows > 1]))
+            rows = int(rng.integers(1, tree[i].rows))
+            edge = -np.inf if rng.random() < 0.1 else float(rng.integers(0, 8))
+            tree[i] = bo.Node(int(rng.integers(0, 4)), edge, len(tree), len(tree) + 1, 0.0, tree[i].rows)
+            tree += [bo.Node(0, 0.0, 0, 0, float(rng.normal()), r) for r in (rows, tree[i].rows - rows)]
+        return attribution.leaves_of(tree)
+    models = [(0.7, [grown(20) for _ in range(5)]), (-1.3, [grown(8) for _ in range(5)])]
+    x = rng.integers(-1, 9, (500, 4)) + rng.choice([0.0, 0.5], (500, 4))
+    x[rng.random(x.shape) < 0.1] = np.nan
+    want = np.zeros((4, 500))
+    for weight, trees in models:
+        for leaf in (leaf for t in trees for leaf in t if len(leaf.features)):
+            attribution.add_leaf(want, weight, leaf, np.where(np.isnan(x), -np.inf, x).T)
+    n_leaves = sum(len(t) for _, trees in models for t in trees)
+    for cells in (1, 12, 100, 1024):
+        monkeypatch.setattr(attribution, "TABLE_CELLS", cells)
+        tables: dict = {}
+        for part in (x[:300], x[300:]):
+            got = attribution.contributions(models, part, tables)
+            assert np.allclose(got, want.T[:300] if len(part) == 300 else want.T[300:], atol=1e-12)
+    assert len(tables["cells"]) < n_leaves / 4
